@@ -40,9 +40,40 @@ def placed(points: DataFrame, id_col: str, x: str, y: str) -> DataFrame:
     return df.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
 
 
-def _pairs(df: DataFrame, home: Column, visits: Column, close: Column) -> DataFrame:
-    homes = df.select(home.alias("cell"), F.col("id").alias("id_lo"), F.col("x").alias("ax"), F.col("y").alias("ay"))
-    visitors = df.select(F.explode(visits).alias("cell"), F.col("id").alias("id_hi"), F.col("x").alias("bx"), F.col("y").alias("by"))
+def _located(df: DataFrame, radius: float, sphere: bool) -> DataFrame:
+    """``df`` with the home cell of each point and the cells that it visits."""
+    if not sphere:
+        side = SIDE * radius
+        span = lambda c: F.sequence(_floor((c - radius) / side), _floor((c + radius) / side))
+        visits = F.flatten(F.transform(span(F.col("x")), lambda i: F.transform(span(F.col("y")), lambda j: _packed(i, j))))
+        return df.withColumns({"home": _packed(_floor(F.col("x") / side), _floor(F.col("y") / side)), "visits": visits})
+    # bands of latitude, each cut into as many cells as keep them a few radii wide at its edge nearer to a pole
+    step = min(180.0, math.degrees(SIDE * radius / EARTH_M))
+    reach = math.degrees(radius / EARTH_M) * 1.000001
+
+    def columns(row: Column) -> Column:
+        edge = F.least(F.lit(90.0), F.greatest(F.abs(row * step), F.abs((row + 1) * step)))
+        return F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / step)).cast("long")
+
+    east = F.pmod(F.col("x") + 180.0, F.lit(360.0))
+    home_row = _floor(F.col("y") / step)
+    home = _packed(home_row, F.pmod(_floor(east / (F.lit(360.0) / columns(home_row))), columns(home_row)))
+
+    def visited(row: Column) -> Column:
+        top = F.least(F.lit(90.0), F.abs(F.col("y")) + reach)
+        # the widest stretch of longitude within reach; near a pole all of it
+        wide = F.when(top >= 90 - reach, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(reach))) / F.cos(F.radians(top))))) * 1.000001)
+        n, width = columns(row), F.lit(360.0) / columns(row)
+        cells = F.sequence(_floor((east - wide) / width), _floor((east + wide) / width))
+        return F.array_distinct(F.transform(cells, lambda c: _packed(row, F.pmod(c, n))))
+
+    rows = F.sequence(_floor((F.col("y") - reach) / step), _floor((F.col("y") + reach) / step))
+    return df.where(F.col("y").between(-90, 90)).withColumns({"home": home, "visits": F.flatten(F.transform(rows, visited))})
+
+
+def _pairs(df: DataFrame, close: Column) -> DataFrame:
+    homes = df.select(F.col("home").alias("cell"), F.col("id").alias("id_lo"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    visitors = df.select(F.explode("visits").alias("cell"), F.col("id").alias("id_hi"), F.col("x").alias("bx"), F.col("y").alias("by"))
     joined = salted_join(visitors, homes, ["cell"], F.col("id_hi"), "inner")
     return joined.where((F.col("id_lo") < F.col("id_hi")) & close).select("id_lo", "id_hi")
 
@@ -52,12 +83,8 @@ def near_planar(points: DataFrame, id_col: str, x: str, y: str, radius: float) -
 
     Points at one place pair with each other. Ids must be unique; rows without both coordinates are left out.
     """
-    side = SIDE * radius
-    df = placed(points, id_col, x, y)
-    span = lambda c: F.sequence(_floor((c - radius) / side), _floor((c + radius) / side))
-    visits = F.flatten(F.transform(span(F.col("x")), lambda i: F.transform(span(F.col("y")), lambda j: _packed(i, j))))
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
-    return _pairs(df, _packed(_floor(F.col("x") / side), _floor(F.col("y") / side)), visits, dx * dx + dy * dy <= F.lit(float(radius) ** 2))
+    return _pairs(_located(placed(points, id_col, x, y), radius, False), dx * dx + dy * dy <= F.lit(float(radius) ** 2))
 
 
 def great_circle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -68,34 +95,19 @@ def great_circle(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
 
 
 def near_sphere(points: DataFrame, id_col: str, lng: str, lat: str, radius_m: float) -> DataFrame:
-    """Pairs of points at most ``radius_m`` apart along the great circle, across the antimeridian and at the poles too.
-
-    Rows of cells are bands of latitude; a band is cut into as many cells as keep them a few radii wide at its edge
-    nearer to a pole, so near the poles a band is one cell.
-    """
-    step = min(180.0, math.degrees(SIDE * radius_m / EARTH_M))
-    reach = math.degrees(radius_m / EARTH_M) * 1.000001
-    df = placed(points, id_col, lng, lat)
-    df = df.where(F.col("y").between(-90, 90))
-
-    def columns(row: Column) -> Column:
-        edge = F.least(F.lit(90.0), F.greatest(F.abs(row * step), F.abs((row + 1) * step)))
-        return F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(edge)) / step)).cast("long")
-
-    east = F.pmod(F.col("x") + 180.0, F.lit(360.0))
-    cell_of = lambda row, e: _packed(row, F.pmod(_floor(e / (F.lit(360.0) / columns(row))), columns(row)))
-    rows = F.sequence(_floor((F.col("y") - reach) / step), _floor((F.col("y") + reach) / step))
+    """Pairs of points at most ``radius_m`` apart along the great circle, across the antimeridian and at the poles too."""
+    return _pairs(_located(placed(points, id_col, lng, lat), radius_m, True), great_circle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= radius_m)
 
-    def visited(row: Column) -> Column:
-        top = F.least(F.lit(90.0), F.abs(F.col("y")) + reach)
-        # the widest stretch of longitude within reach; near a pole all of it
-        wide = F.when(top >= 90 - reach, F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(F.lit(1.0), F.sin(F.radians(F.lit(reach))) / F.cos(F.radians(top))))) * 1.000001)
-        n, width = columns(row), F.lit(360.0) / columns(row)
-        cells = F.sequence(_floor((east - wide) / width), _floor((east + wide) / width))
-        return F.array_distinct(F.transform(cells, lambda c: _packed(row, F.pmod(c, n))))
 
-    visits = F.flatten(F.transform(rows, visited))
-    return _pairs(df, cell_of(_floor(F.col("y") / step), east), visits, great_circle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= radius_m)
+def near_pairs_between(left: DataFrame, right: DataFrame, id_col: str, distance: float, sphere: bool = False) -> DataFrame:
+    """(_t, _s) of points x, y of two tables at most ``distance`` apart, without repeats; hot cells are salted."""
+    places = [_located(placed(df, id_col, "x", "y"), distance, sphere) for df in (left, right)]
+    visitors = places[0].select(F.explode("visits").alias("cell"), F.col("id").alias("_t"), F.col("x").alias("ax"), F.col("y").alias("ay"))
+    homes = places[1].select(F.col("home").alias("cell"), F.col("id").alias("_s"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    joined = salted_join(visitors, homes, ["cell"], F.col("_t"), "inner")
+    dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
+    close = great_circle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= distance if sphere else dx * dx + dy * dy <= F.lit(float(distance) ** 2)
+    return joined.where(close).select("_t", "_s").distinct()
 
 
 def near_counts(points: DataFrame, id_col: str, x: str, y: str, radius: float) -> DataFrame:
