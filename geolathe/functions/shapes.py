@@ -368,16 +368,17 @@ def clip_line(line: Ring, box: tuple[float, float, float, float], erase: bool =
 # --- planar arrangement --------------------------------------------------------------------------------------------
 
 
-def _snapped(points: np.ndarray) -> np.ndarray:
-    """Coordinates rounded so that equal places have equal coordinates."""
-    size = float(np.abs(points).max()) if len(points) else 1.0
+def _snapped(points: np.ndarray, size: float | None = None) -> np.ndarray:
+    """Coordinates rounded so that equal places have equal coordinates; ``size``: the largest one of the map."""
+    size = size or (float(np.abs(points).max()) if len(points) else 1.0)
     digits = 12 - int(math.floor(math.log10(size or 1.0))) - 1
     return np.round(points, digits) + 0.0
 
 
-def split_segments(a: np.ndarray, b: np.ndarray, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
+def split_segments(a: np.ndarray, b: np.ndarray, size: float | None = None, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
     """Segments cut wherever they meet one another; each undirected segment once. Points are snapped."""
-    a, b = _snapped(a), _snapped(b)
+    size = size or (float(max(np.abs(a).max(), np.abs(b).max())) if len(a) else 1.0)
+    a, b = _snapped(a, size), _snapped(b, size)
     for _ in range(rounds):
         swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
         a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
@@ -386,14 +387,14 @@ def split_segments(a: np.ndarray, b: np.ndarray, rounds: int = 6) -> tuple[np.nd
         a, b = seg[:, :2], seg[:, 2:]
         cuts: dict[int, list[np.ndarray]] = defaultdict(list)
         for i, j in _overlapping(a, b):
-            for k, p in _meetings(a, b, i, j):
+            for k, p in _meetings(a, b, i, j, size):
                 cuts[k].append(p)
         if not cuts:
             return a, b
         na, nb = [], []
         for k, ps in cuts.items():
             d = b[k] - a[k]
-            q = _snapped(np.array(ps))
+            q = _snapped(np.array(ps), size)
             order = np.argsort((q - a[k]) @ d)
             chain = np.vstack([a[k], q[order], b[k]])
             na.append(chain[:-1])
@@ -427,7 +428,7 @@ def _overlapping(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndar
     return out
 
 
-def _meetings(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def _meetings(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, size: float) -> list[tuple[int, np.ndarray]]:
     """(segment, point) where a segment must be cut: at crossings, and at ends of others that lie on it."""
     if not len(i):
         return []
@@ -443,7 +444,7 @@ def _meetings(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> lis
     eps = 1e-12
     ok = ~par & (t >= -eps) & (t <= 1 + eps) & (u >= -eps) & (u <= 1 + eps)
     if ok.any():
-        at = _snapped(p[ok] + t[ok, None] * r[ok])
+        at = _snapped(p[ok] + t[ok, None] * r[ok], size)
         for k, l, x, tt, uu in zip(i[ok], j[ok], at, t[ok], u[ok]):
             if tt <= eps or tt >= 1 - eps:
                 x = a[k] if tt <= eps else b[k]
@@ -456,11 +457,11 @@ def _meetings(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> lis
     for k, l in zip(i[par], j[par]):  # along one line: ends within the other
         for m, o in ((k, l), (l, k)):
             dm = b[m] - a[m]
-            size = float(dm @ dm)
+            square = float(dm @ dm)
             for x in (a[o], b[o]):
                 w = x - a[m]
-                f = float(w @ dm) / size
-                if 0 < f < 1 and abs(dm[0] * w[1] - dm[1] * w[0]) <= 1e-11 * size and (x != a[m]).any() and (x != b[m]).any():
+                f = float(w @ dm) / square
+                if 0 < f < 1 and abs(dm[0] * w[1] - dm[1] * w[0]) <= 1e-11 * square and (x != a[m]).any() and (x != b[m]).any():
                     out.append((int(m), x))
     return out
 
@@ -516,7 +517,7 @@ def faces(a: np.ndarray, b: np.ndarray) -> list[list[Ring]]:
     return out
 
 
-def mosaic(shapes: list[list[Ring]]) -> list[tuple[list[Ring], list[int]]]:
+def mosaic(shapes: list[list[Ring]], size: float | None = None) -> list[tuple[list[Ring], list[int]]]:
     """Tiles of overlapping polygons: (rings, numbers of the polygons that cover the tile); gaps have none."""
     a, b = [], []
     for rings in shapes:
@@ -528,7 +529,7 @@ def mosaic(shapes: list[list[Ring]]) -> list[tuple[list[Ring], list[int]]]:
                 b.append(xy[1:])
     if not a:
         return []
-    sa, sb = split_segments(np.vstack(a), np.vstack(b))
+    sa, sb = split_segments(np.vstack(a), np.vstack(b), size)
     tiles = faces(sa, sb)
     spots = [face_point(t) for t in tiles]
     index = Regions((i, [rings]) for i, rings in enumerate(shapes))

@@ -315,5 +315,6 @@ def fuzzy_join(polygons: Layer, points: Layer, name: str, no_dropouts: bool = Fa
         back = lost.groupBy("_v").agg(F.min_by("region", F.struct(-F.col("_n"), F.col("_i"))).alias("region"))
         back = back.groupBy("region").agg(F.min("_v").alias("_w"))
         best = best.join(back, "region", "left").select("region", F.coalesce("_w", "_v").alias("_v"))
-    out = polygons.df.drop(name).join(best, F.col(FID) == best["region"], "left").withColumn(name, F.col("_v")).drop("region", "_v")
+    best = best.withColumnRenamed("region", "_region")
+    out = polygons.df.drop(name).join(best, F.col(FID) == F.col("_region"), "left").withColumn(name, F.col("_v")).drop("_region", "_v")
     return polygons.with_df(out)
