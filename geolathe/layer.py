@@ -57,6 +57,17 @@ class Layer:
     def lat_long(self) -> bool:
         return self.crs in ("wgs84", "EPSG:4326", "longlat")
 
+    @property
+    def settled(self) -> DataFrame:
+        """``df`` with its geometry computed before anything that reads it: Python functions take it as a plain column.
+
+        The optimizer merges projections, and Python functions over merged nested lambdas can't be planned; a
+        projection with a non-deterministic part isn't merged.
+        """
+        if GEOM not in self.df.columns:
+            return self.df
+        return self.df.withColumn(GEOM, F.when(F.monotonically_increasing_id() >= 0, F.col(GEOM)))
+
     def ordered(self) -> DataFrame:
         """The fields in row order, for output."""
         return self.df.orderBy(FID).drop(FID)

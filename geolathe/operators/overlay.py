@@ -54,8 +54,8 @@ def candidates(target: Layer, source: Layer) -> DataFrame:
 
 def overlap_areas(target: Layer, source: Layer) -> DataFrame:
     """(_t, _s, area) of polygons that share area, pair by pair."""
-    t = target.df.select(F.col(FID).alias("_t"), F.col(GEOM).alias("_tg"))
-    s = source.df.select(F.col(FID).alias("_s"), F.col(GEOM).alias("_sg"))
+    t = target.settled.select(F.col(FID).alias("_t"), F.col(GEOM).alias("_tg"))
+    s = source.settled.select(F.col(FID).alias("_s"), F.col(GEOM).alias("_sg"))
     pairs = candidates(target, source).join(t, "_t").join(s, "_s")
     shared = kernel(lambda a, b: S.clipped(a, [b]))(F.col("_tg"), F.col("_sg"))
     return pairs.withColumn("_g", shared).select("_t", "_s", G.area(F.col("_g")).alias("area")).where(F.col("area") > 0)
@@ -63,9 +63,9 @@ def overlap_areas(target: Layer, source: Layer) -> DataFrame:
 
 def _by_target(target: Layer, source: Layer, f, kept_alone: bool) -> Layer:  # noqa: ANN001
     """``f(parts, shapes)`` for each target with the source polygons near it; alone it stays (or goes)."""
-    s = source.df.select(F.col(FID).alias("_s"), F.col(GEOM).alias("_sg"))
+    s = source.settled.select(F.col(FID).alias("_s"), F.col(GEOM).alias("_sg"))
     near = candidates(target, source).join(s, "_s").groupBy("_t").agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_sg"))), lambda x: x["_sg"]).alias("_near"))
-    df = target.df.join(near, target.df[FID] == near["_t"], "left")
+    df = target.settled.join(near, F.col(FID) == near["_t"], "left")
     new = kernel(lambda parts, shapes: f(parts, shapes) or None)(F.col(GEOM), F.col("_near"))
     out = df.withColumn(GEOM, F.when(F.col("_t").isNull(), F.col(GEOM) if kept_alone else F.lit(None).cast(SHAPE)).otherwise(new))
     return target.with_df(out.where(F.col(GEOM).isNotNull()).drop("_t", "_near"))
@@ -99,7 +99,7 @@ def divide(lines: Layer, polygons: Layer, fields: list[str] | None = None, force
     names = [n for n in names if force or n not in lines.fields]
     pairs = candidates(lines, polygons)
     s = polygons.df.select(F.col(FID).alias("_s"), F.col(GEOM).alias("_sg"), *[F.col(f"`{n}`").alias(f"_v_{n}") for n in names])
-    joined = lines.df.join(pairs, lines.df[FID] == pairs["_t"]).join(s, "_s")
+    joined = lines.settled.join(pairs, F.col(FID) == pairs["_t"]).join(s, "_s")
     inside = joined.withColumn(GEOM, kernel(lambda a, b: S.line_clipped(a, [b]) or None)(F.col(GEOM), F.col("_sg"))).where(F.col(GEOM).isNotNull())
     inside = inside.drop("_t", "_sg", *[n for n in names if n in lines.fields]).withColumnsRenamed({f"_v_{n}": n for n in names})
     outside = clip(lines, polygons, erase=True).df.withColumn("_s", F.lit(None).cast("long"))
@@ -259,7 +259,7 @@ def check_geometry(layer: Layer) -> int:
         sa, sb = S.split_segments(a, b)
         return [[float(len({tuple(p) for p in np.vstack([sa, sb]).tolist()} - before))]]
 
-    out = layer.df.select(kernel(count, "array<array<double>>")(F.col(GEOM)).alias("n"))
+    out = layer.settled.select(kernel(count, "array<array<double>>")(F.col(GEOM)).alias("n"))
     return int(out.agg(F.sum(F.col("n")[0][0])).first()[0] or 0)
 
 

@@ -38,7 +38,7 @@ def changed(layer: Layer, f: Callable[[list], list], where: str | None = None, d
     """The layer with ``f`` applied to each feature's parts; features left without parts become null."""
     layer.need_geometry("polyline", "polygon")
     new = kernel(lambda parts: f(parts) or (None if empty_null else []))(F.col(GEOM))
-    return layer.with_df(layer.df.withColumn(GEOM, F.when(strict(layer, where, defs), new).otherwise(F.col(GEOM)) if where else new))
+    return layer.with_df(layer.settled.withColumn(GEOM, F.when(strict(layer, where, defs), new).otherwise(F.col(GEOM)) if where else new))
 
 
 def explode(layer: Layer, naive: bool = False) -> Layer:
@@ -53,7 +53,7 @@ def explode(layer: Layer, naive: bool = False) -> Layer:
         groups = kernel(S.nested, "array<array<array<array<double>>>>")(g)
     else:
         groups = F.transform(g, lambda p: F.array(p))
-    rows = layer.df.select(F.col(FID), F.posexplode_outer(groups).alias("_i", "_part"), *[F.col(f"`{f}`") for f in layer.fields])
+    rows = layer.settled.select(F.col(FID), F.posexplode_outer(groups).alias("_i", "_part"), *[F.col(f"`{f}`") for f in layer.fields])
     out = with_fid(rows.withColumn(GEOM, F.col("_part")).orderBy(FID, "_i").drop(FID, "_i", "_part"))
     return layer.with_df(out)
 
@@ -65,7 +65,7 @@ def inner_point_layer(layer: Layer) -> Layer:
         p = S.inner_point(parts)
         return [p] if p else None
 
-    return layer.with_df(layer.df.withColumn(GEOM, kernel(run, POINT)(F.col(GEOM))), geometry_type="point")
+    return layer.with_df(layer.settled.withColumn(GEOM, kernel(run, POINT)(F.col(GEOM))), geometry_type="point")
 
 
 def line_points(layer: Layer, how: str, interval: float | None = None) -> Layer:
@@ -94,7 +94,7 @@ def line_points(layer: Layer, how: str, interval: float | None = None) -> Layer:
         return [min(longest, key=lambda p: S.hop(p, c, False))]
 
     f = {"midpoints": midpoints, "interpolated": spaced, "central": central}[how]
-    return layer.with_df(layer.df.withColumn(GEOM, kernel(f, POINT)(F.col(GEOM))), geometry_type="point")
+    return layer.with_df(layer.settled.withColumn(GEOM, kernel(f, POINT)(F.col(GEOM))), geometry_type="point")
 
 
 def segments(layer: Layer) -> Layer:
@@ -151,7 +151,7 @@ def simplify(layer: Layer, percentage: float | None = None, interval: float | No
     def thresholds(arc: list) -> list[float]:
         return S.dp_thresholds(arc, sphere) if method == "dp" else S.visvalingam_thresholds(arc, weighting if method == "weighted" else 0.0, sphere)
 
-    df = layer.df
+    df = layer.settled
     df = df.join(node_flags(layer), FID, "left") if topology else df.withColumn("_nodes", F.transform(GEOM, lambda p: F.transform(p, lambda q: F.lit(False))))
     if resolution:
         b = layer_bounds(layer) or [0, 0, 0, 0]

@@ -327,7 +327,7 @@ def with_wkb(layer: Layer, column: str = "geometry") -> DataFrame:
     def encode(g: pa.Array) -> pa.Array:
         return pa.array([None if not v else fmt.to_wkb(kind, v) for v in g.to_pylist()], type=pa.binary())
 
-    return layer.df.withColumn(column, encode(F.col(GEOM))).drop(GEOM)
+    return layer.settled.withColumn(column, encode(F.col(GEOM))).drop(GEOM)
 
 
 def write_parquet(layer: Layer, path: str, compression: str = "snappy", level: int | None = None) -> None:
@@ -377,7 +377,7 @@ def feature_json(layer: Layer, rfc7946: bool = False, id_field: str | None = Non
     head = F.concat(F.lit('{"type":"Feature","geometry":'), g, F.lit(',"properties":'), props)
     if id_field:
         head = F.concat(head, F.lit(',"id":'), F.regexp_replace(F.to_json(F.struct(F.col(f"`{id_field}`").alias("v")), {"ignoreNullFields": "false"}), r'^\{"v":|\}$', ""))
-    return layer.df.select(FID, F.concat(head, F.lit("}")).alias("j"))
+    return layer.settled.select(FID, F.concat(head, F.lit("}")).alias("j"))
 
 
 def record_json(layer: Layer) -> DataFrame:
