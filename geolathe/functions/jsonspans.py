@@ -33,16 +33,21 @@ class Spans:
         for s in self.starts[[t[:3] == b"\xef\xbb\xbf" for t in texts]] if len(texts) else []:
             b[s : s + 3] = 32
         self.broken = np.zeros(len(texts), dtype=bool)
+        quote = self._quotes(b)
+        if len(texts):
+            self._drop(b, ends, np.add.reduceat(quote, self.starts, dtype=np.int64) % 2 == 1)
+        self._drop(b, ends, self._index(b, ends))
         self._index(b, ends)
-        if self.broken.any():  # blank these texts out, so that they can't reach into others
-            for i in np.flatnonzero(self.broken):
-                b[self.starts[i] : ends[i]] = 32
-            gone = self.broken.copy()
-            self._index(b, ends)
-            self.broken |= gone
         self._values(b, ends)
 
-    def _index(self, b: np.ndarray, ends: np.ndarray) -> None:
+    def _drop(self, b: np.ndarray, ends: np.ndarray, bad: np.ndarray) -> None:
+        """Blanks broken texts out, so that they can't reach into others."""
+        for i in np.flatnonzero(bad):
+            b[self.starts[i] : ends[i]] = 32
+        self.broken |= bad
+
+    def _quotes(self, b: np.ndarray) -> np.ndarray:
+        """Quotes that aren't escaped: not behind an odd number of backslashes."""
         quote = b == QUOTE
         slash = np.flatnonzero(b == BACKSLASH)
         if len(slash):
@@ -50,9 +55,11 @@ class Spans:
             nth = np.arange(len(slash)) - np.maximum.accumulate(np.where(head, np.arange(len(slash)), 0))
             escaped = slash[nth % 2 == 0] + 1
             quote[escaped[escaped < len(b)]] = False
-        per = np.add.reduceat(quote, self.starts, dtype=np.int64) if len(self.starts) else np.zeros(0, np.int64)
-        self.broken |= per % 2 == 1
-        inside = np.bitwise_xor.accumulate(quote.view(np.uint8)).view(bool)
+        return quote
+
+    def _index(self, b: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sets the structural characters and their depths; the texts whose brackets don't pair up."""
+        inside = np.bitwise_xor.accumulate(self._quotes(b).view(np.uint8)).view(bool)
         kind = np.zeros(256, dtype=bool)
         kind[[COMMA, COLON, OPEN_A, CLOSE_A, OPEN_O, CLOSE_O]] = True
         self.at = np.flatnonzero(kind[b] & ~inside)
@@ -62,13 +69,15 @@ class Spans:
         self.level = depth + closes
         self.opens, self.closes = opens, closes
         text = np.searchsorted(ends, self.at, side="right")
+        bad = np.zeros(len(ends), dtype=bool)
         if len(self.at):
             first = np.flatnonzero(np.concatenate([[True], np.diff(text) != 0]))
             last = np.concatenate([first[1:] - 1, [len(text) - 1]])
             before = np.concatenate([[0], depth[last[:-1]]])
             low = np.minimum.reduceat(np.where(closes, depth, self.level - opens), first)
-            self.broken[text[first[(depth[last] != before) | (low < before)]]] = True
+            bad[text[first[(depth[last] != before) | (low < before)]]] = True
         self.token_text = text
+        return bad
 
     def _values(self, b: np.ndarray, ends: np.ndarray) -> None:
         order = np.argsort(self.level, kind="stable")

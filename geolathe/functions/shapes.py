@@ -651,7 +651,7 @@ def delaunay(points: list[Point]) -> list[tuple[int, int, int]]:
         return []
     low, high = p.min(axis=0), p.max(axis=0)
     mid, span = (low + high) / 2, float((high - low).max()) or 1.0
-    pts = [*map(tuple, p.tolist()), (mid[0] - 30 * span, mid[1] - span), (mid[0] + 30 * span, mid[1] - span), (mid[0], mid[1] + 30 * span)]
+    pts = [*map(tuple, p.tolist()), (mid[0] - 3e3 * span, mid[1] - 2e3 * span), (mid[0] + 3e3 * span, mid[1] - 2e3 * span), (mid[0], mid[1] + 3e3 * span)]
     triangles: dict[tuple[int, int, int], tuple[float, float, float]] = {}
 
     def circle(t: tuple[int, int, int]) -> tuple[float, float, float]:

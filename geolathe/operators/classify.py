@@ -8,9 +8,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolathe.functions.expressions import NUM, blend
+from geolathe.functions.expressions import NUM, blend, text
 from geolathe.layer import FID, Layer, LayerError, with_fid
 from geolathe.operators.table import translator
+from geolathe.plans.skew import salted_join
+from geolathe.session import written
 
 # Sequential colour ramps by their common names, light to dark.
 SCHEMES = {
@@ -149,15 +151,16 @@ class Classifier:
         k = len(edges) - 1
         return out * (k - 1) / k if k > 1 else F.lit(0.0)
 
-    def column(self, x: Column, low: float = 0.0, high: float = 1.0) -> Column:
+    def column(self, x: Column, low: float = 0.0, high: float = 1.0, shown: Column | None = None) -> Column:
+        """The output for a value; ``shown`` is the value as text, where that isn't its plain cast."""
         null = F.lit(self.null_value)
         if self.categories is not None:
             outs = self.outputs or list(range(len(self.categories)))
             out = F.lit(self.other if self.other is not None else self.null_value)
-            text = x.cast("string")
+            label = x.cast("string") if shown is None else shown
             for c, o in reversed(list(zip(self.categories, outs))):
-                out = F.when(text == c, F.lit(o)).otherwise(out)
-            return F.when(x.isNull() | (text == ""), null).otherwise(out)
+                out = F.when(label == c, F.lit(o)).otherwise(out)
+            return F.when(x.isNull() | (label == ""), null).otherwise(out)
         if self.continuous and self.outputs:
             at = self.position(x, *(self.outer or (low, high)))
             out = None
@@ -226,8 +229,8 @@ def classifier(layer: Layer, name: str, options: dict) -> Classifier:
     if method == "categorical":
         cats = options.get("categories")
         if not cats or cats == ["*"]:
-            text = F.col(f"`{name}`").cast("string")
-            firsts = layer.df.where(text.isNotNull() & (text != "")).groupBy(text.alias("v")).agg(F.min(FID).alias("i")).orderBy("i").limit(1000)
+            shown = text(translator(layer).fields[name], "")
+            firsts = layer.df.where(shown != "").groupBy(shown.alias("v")).agg(F.min(FID).alias("i")).orderBy("i").limit(1000)
             cats = [r["v"] for r in firsts.collect()]
         c.categories = [str(x) for x in cats]
         if outputs:
@@ -276,7 +279,8 @@ def classify(layer: Layer, name: str, save_as: str | None = None, **options: obj
     if c.continuous and not c.outer:
         r = values(layer, name).agg(F.min("v"), F.max("v")).first()
         low, high = (float(r[0]), float(r[1])) if r[0] is not None else (0.0, 1.0)
-    return layer.with_df(layer.df.withColumn(target, c.column(F.col(f"`{name}`"), low, high)))
+    shown = text(translator(layer).fields[name], "")
+    return layer.with_df(layer.df.withColumn(target, c.column(F.col(f"`{name}`"), low, high, shown)))
 
 
 def colorizer(options: dict):  # noqa: ANN201
@@ -303,21 +307,24 @@ def text_hash(text: Column) -> Column:
 def components(df: DataFrame, id_col: str, members: str, rounds: int = 60) -> DataFrame:
     """(id, component) of rows that share members of an array, directly or through others: the smallest id reached.
 
-    Rounds of least labels over (row, member) pairs with a jump to the label's own label; each round is written to
-    the shared folder. Labels only fall, and a round without change ends it. Rows without members stand alone.
+    Each round every row takes the least label among the rows it shares a member with, every label takes the least
+    that any of its rows reached, and labels are followed one step further: components at least halve, so rounds
+    grow with the logarithm of the rows. A round is written to the shared folder; joins on hot labels are salted.
+    Rows without members stand alone; null ids are left out.
     """
-    from geolathe.session import written
-
-    links = written(df.select(F.col(id_col).alias("id"), F.explode_outer(F.array_distinct(F.col(members))).alias("m")), "links")
+    links = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode_outer(F.array_distinct(F.col(members))).alias("m"))
+    links = written(links, "links")
     labels = links.groupBy("id").agg(F.min("id").alias("l"))
+    shared = links.where(F.col("m").isNotNull())
     for _ in range(rounds):
-        per = links.where(F.col("m").isNotNull()).join(labels, "id").groupBy("m").agg(F.min("l").alias("l"))
-        reached = links.join(per, "m").groupBy("id").agg(F.min("l").alias("n"))
-        jump = labels.select(F.col("id").alias("l"), F.col("l").alias("j"))
-        new = labels.join(reached, "id", "left").join(jump, "l", "left").select("id", F.least("l", F.coalesce("n", "l"), F.coalesce("j", "l")).alias("n"), "l")
-        new = written(new, "labels")
-        changed = new.where(F.col("n") < F.col("l")).limit(1).count()
-        labels = new.select("id", F.col("n").alias("l"))
-        if not changed:
+        least = shared.join(labels, "id").groupBy("m").agg(F.min("l").alias("n"), F.max("l").alias("x"))
+        touched = salted_join(shared, least.where(F.col("n") < F.col("x")).select("m", "n"), ["m"], F.col("id"), "inner").groupBy("id").agg(F.min("n").alias("n"))
+        reached = labels.join(touched, "id", "left")
+        roots = reached.groupBy("l").agg(F.min(F.least("l", F.coalesce("n", "l"))).alias("r"))
+        step = written(salted_join(reached, roots, ["l"], F.col("id"), "inner").select("id", "l", F.least("r", F.coalesce("n", "r")).alias("n")), "labels")
+        if step.where(F.col("n") < F.col("l")).limit(1).count() == 0:
             break
+        # a label's own new label: the row that gave it its name
+        follow = step.select(F.col("id").alias("n"), F.col("n").alias("j"))
+        labels = written(salted_join(step, follow, ["n"], F.col("id"), "left").select("id", F.least("n", F.coalesce("j", "n")).alias("l")), "labels")
     return labels.select(F.col("id").alias(id_col), F.col("l").alias("component"))

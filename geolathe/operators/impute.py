@@ -117,7 +117,7 @@ def decided(near: DataFrame, specs: list[Filled], gap_days: float) -> DataFrame:
     time, prev, nxt = F.col("_time"), F.col("prev"), F.col("next")
     dp, dn = days(time, prev.t), days(time, nxt.t)
     both = prev.isNotNull() & nxt.isNotNull()
-    back = prev.isNull() | (dn < dp)
+    back = prev.isNull() | F.coalesce(dn < dp, F.lit(False))
     between = (prev.v.try_cast("double") * dn + nxt.v.try_cast("double") * dp) / (dp + dn)
     inter = both & F.col("field").isin(measures) & (F.least(dp, dn) <= gap_days) if measures else F.lit(False)
     agreed = both & (F.upper(prev.v) == F.upper(nxt.v))

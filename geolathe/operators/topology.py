@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from geolathe.functions import geometry as G
 from geolathe.functions import shapes as S
 from geolathe.functions.expressions import Value
-from geolathe.layer import FID, GEOM, Layer
+from geolathe.layer import FID, GEOM, Layer, with_fid
 from geolathe.operators.table import dissolve, translator
 from geolathe.session import written
 
@@ -81,8 +81,7 @@ def innerlines(layer: Layer, where: str | None = None, defs: dict | None = None)
     if where:
         pairs = _tested(layer, pairs, where, defs)
     lines = _lines_of(pairs, ["a", "b"], "a bigint, b bigint")
-    ranked = lines.withColumn(FID, F.col("a") * F.lit(1 << 31) + F.col("b"))
-    return layer.with_df(ranked.drop("a", "b"), geometry_type="polyline")
+    return layer.with_df(with_fid(lines.orderBy("a", "b").drop("a", "b")), geometry_type="polyline")
 
 
 def _pairs(layer: Layer) -> DataFrame:

@@ -139,7 +139,7 @@ def read_json(spark: SparkSession, path: str, json_path: str | None = None, ndjs
     if ndjson:
         lines = spark.read.text(path).where(F.trim("value") != "")
         return from_json_rows(lines.select(F.col("value").alias("j")), name)
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return json_layers(whole, json_path, name)
 
 
