@@ -56,6 +56,11 @@ def to_double(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
+def once(c: Column) -> Column:
+    """The column, computed once per row: a filter on it isn't pushed below and spelled out again for every use."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def judged(rows: DataFrame, raw: str, fields: list[Field]) -> DataFrame:
     """``rows`` with ``_fields`` (array of texts, null if the row can't be cut into fields) and ``reasons``.
 
@@ -68,7 +73,7 @@ def judged(rows: DataFrame, raw: str, fields: list[Field]) -> DataFrame:
     led = F.concat(F.lit(","), text)
     cut = F.regexp_extract_all(led, F.lit(FIELD), F.lit(1))
     plain = F.transform(cut, lambda f: F.when(f.startswith('"'), F.replace(f.substr(F.lit(2), F.length(f) - 2), F.lit('""'), F.lit('"'))).otherwise(f))
-    df = rows.withColumn("_ok", led.rlike(ROW)).withColumn("_fields", F.when(F.col("_ok"), plain))
+    df = rows.withColumn("_ok", once(led.rlike(ROW))).withColumn("_fields", once(F.when(F.col("_ok"), plain)))
     at = [F.get(F.col("_fields"), F.lit(i)) for i in range(len(fields))]
     values = F.array_compact(F.array(*[F.when(~F.coalesce(f.valid(a), F.lit(False)), F.lit(f"value:{f.name}")) for f, a in zip(fields, at)]))
     reasons = (
@@ -77,7 +82,7 @@ def judged(rows: DataFrame, raw: str, fields: list[Field]) -> DataFrame:
         .when(F.size("_fields") != len(fields), F.array(F.lit("column_count")))
         .otherwise(values)
     )
-    return df.withColumn("reasons", reasons).drop("_ok")
+    return df.withColumn("reasons", once(reasons)).drop("_ok")
 
 
 def rejects(rows: DataFrame, raw: str, fields: list[Field]) -> DataFrame:
