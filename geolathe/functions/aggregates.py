@@ -164,17 +164,23 @@ def grouped(df: DataFrame, keys: list[str], plan: Plan, extra: dict[str, Column]
         widths = df.groupBy(*keys).agg(first.alias("_w"))
         parts = df.select(*keys, F.posexplode(value).alias("_i", "_x")).groupBy(*keys, "_i").agg(F.sum(F.col("_x").cast("double")).alias("_x"))
         listed = parts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_l"))
+        if not keys:
+            width = widths.first()["_w"]
+            side.append(([name], listed.select(F.slice(F.transform("_l", lambda z: z["_x"]), 1, max(0, width or 0)).alias(name))))
+            continue
         joined = null_safe(widths, listed, keys)
         side.append(([name], joined.select(*keys, F.slice(F.transform("_l", lambda z: z["_x"]), F.lit(1), F.col("_w")).alias(name))))
-    for _, table in side:
-        out = null_safe(out, table, keys)
+    for names, table in side:
+        if keys:
+            out = null_safe(out, table, keys)
+        else:  # one row: its value
+            row = table.first()
+            out = out.withColumns({n: F.lit(row[n] if row else None).cast(table.schema[n].dataType) for n in names})
     return out
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join on keys of the same names where null meets null; the left keys are kept."""
-    if not keys:
-        return left.crossJoin(F.broadcast(right))  # one row each
     renamed = right.select(*[F.col(f"`{k}`").alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = [F.col(f"`{k}`").eqNullSafe(F.col(f"`_r_{k}`")) for k in keys]
     cond = on[0]

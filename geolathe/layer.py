@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geolathe.session import cut
+
 FID, GEOM = "_fid", "_geom"
 
 #: Points of a feature, and parts (rings or lines) of points.
@@ -73,12 +75,14 @@ class Layer:
         return self.df.orderBy(FID).drop(FID)
 
 
-def with_fid(df: DataFrame) -> DataFrame:
+def with_fid(df: DataFrame, shuffled: bool = False) -> DataFrame:
     """``df`` with dense row numbers in the order of its partitions: two passes and no shuffle or single task.
 
     The second pass adds to each row's place in its partition the rows of the partitions before; their number, not
-    that of the rows, is what goes through the driver.
+    that of the rows, is what goes through the driver. Both passes must see the same partitions: what comes out of a
+    sort or another shuffle (``shuffled``) is checkpointed first, as range bounds are drawn anew on every run.
     """
+    df = cut(df) if shuffled else df
     own = df.withColumn("_mono", F.monotonically_increasing_id())
     part = F.shiftright("_mono", 33)
     counts = {r["p"]: r["n"] for r in own.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}

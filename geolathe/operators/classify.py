@@ -35,7 +35,7 @@ def ranked_values(vals: DataFrame, ranks: list[int]) -> list[float]:
     """The values at some ranks (from 0) of the sorted values: a distributed sort, then only those rows come back."""
     if not ranks:
         return []
-    numbered = with_fid(vals.orderBy("v"))
+    numbered = with_fid(vals.orderBy("v"), shuffled=True)
     got = {r[FID]: r["v"] for r in numbered.where(F.col(FID).isin(sorted(set(ranks)))).collect()}
     return [got[r] for r in ranks]
 

@@ -246,7 +246,7 @@ def join(target: Layer, source: Layer, pairs: DataFrame, options: JoinOptions |
         # copies are numbered after the last row, by target row and match
         late = F.col("_nth") > 1
         out = out.withColumn("_order", F.struct(F.coalesce(late, F.lit(False)).cast("int"), F.col(FID), F.coalesce("_nth", F.lit(1))))
-        out = with_fid(out.orderBy("_order").drop(FID, "_order", "_t", "_s", "_nth", *[f"_v_{n}" for n in wanted]))
+        out = with_fid(out.orderBy("_order").drop(FID, "_order", "_t", "_s", "_nth", *[f"_v_{n}" for n in wanted]), shuffled=True)
     else:
         out = out.drop("_t", "_hit", *[f"_v_{n}" for n, _ in copy], *[f"_sum_{n}" for n in options.sum_fields])
     result = target.with_df(out)

@@ -105,7 +105,7 @@ def divide(lines: Layer, polygons: Layer, fields: list[str] | None = None, force
     outside = clip(lines, polygons, erase=True).df.withColumn("_s", F.lit(None).cast("long"))
     outside = outside.drop(*[n for n in names if n in lines.fields])
     both = inside.unionByName(outside, allowMissingColumns=True)
-    return lines.with_df(with_fid(both.orderBy(FID, "_s").drop(FID, "_s")))
+    return lines.with_df(with_fid(both.orderBy(FID, "_s").drop(FID, "_s"), shuffled=True))
 
 
 # --- mosaics -------------------------------------------------------------------------------------------------------
@@ -142,7 +142,7 @@ def tiles(shapes: DataFrame, bounds: list[float] | None, vertices: int) -> DataF
     made = placed.groupBy("tx", "ty").applyInPandas(run, f"owners array<bigint>, {GEOM} {SHAPE}")
     if n == 1:
         return made
-    owned = with_fid(made.where(F.size("owners") > 0))
+    owned = with_fid(made.where(F.size("owners") > 0), shuffled=True)
     keys = owned.groupBy("owners").agg(F.min(FID).alias("_g"))
     faces = Layer(owned.select(FID, GEOM), "", "polygon")
     merged = outlines(edges(faces).join(owned.select(FID, "owners").join(keys, "owners").select(FID, "_g"), FID))
@@ -158,7 +158,7 @@ def mosaic(layer: Layer, calc: str | None = None, defs: dict | None = None) -> L
     """Overlapping polygons as tiles without overlaps; ``calc`` runs over the polygons of a tile."""
     layer.need_geometry("polygon")
     faces = tiles(layer.df.select(F.col(FID).alias("id"), GEOM), layer_bounds(layer), _vertices(layer)).where(F.size("owners") > 0)
-    out = with_fid(faces.orderBy("owners"))
+    out = with_fid(faces.orderBy("owners"), shuffled=True)
     if not calc:
         return layer.with_df(out.drop("owners"))
     rows = out.select(F.col(FID).alias("_tile"), F.explode("owners").alias(FID)).join(layer.df.drop(GEOM), FID)
@@ -185,7 +185,7 @@ def union(layers: list[Layer], fields: list[str] | None = None) -> Layer:
         offset += top
         b = layer_bounds(x)
         box = b if box is None else box if b is None else [min(box[0], b[0]), min(box[1], b[1]), max(box[2], b[2]), max(box[3], b[3])]
-    faces = with_fid(tiles(shapes, box, sum(_vertices(x) for x in layers)).where(F.size("owners") > 0).orderBy("owners"))
+    faces = with_fid(tiles(shapes, box, sum(_vertices(x) for x in layers)).where(F.size("owners") > 0).orderBy("owners"), shuffled=True)
     out, taken = faces, set()
     for i, low, high, names, x in parts:
         first = F.array_min(F.filter("owners", _between(low, high)))
@@ -219,14 +219,14 @@ def clean(layer: Layer, gap_area: float = 0.0, allow_overlaps: bool = False) ->
     faces = tiles(layer.df.select(F.col(FID).alias("id"), GEOM), layer_bounds(layer), _vertices(layer))
     owned = faces.where(F.size("owners") > 0).select(F.get("owners", F.lit(0)).alias("_g"), GEOM)
     if gap_area:
-        gaps = with_fid(faces.where((F.size("owners") == 0) & (G.area(F.col(GEOM)) <= gap_area)).drop("owners"))
-        gl, ol = Layer(gaps, "", "polygon"), Layer(with_fid(owned), "", "polygon")
+        gaps = with_fid(faces.where((F.size("owners") == 0) & (G.area(F.col(GEOM)) <= gap_area)).drop("owners"), shuffled=True)
+        gl, ol = Layer(gaps, "", "polygon"), Layer(with_fid(owned, shuffled=True), "", "polygon")
         ge = edges(gl).select(F.col(FID).alias("gap"), "p", "q")
         oe = edges(ol).join(ol.df.select(FID, "_g"), FID).select("_g", "p", "q")
         size = G.distance(F.col("p")["x"], F.col("p")["y"], F.col("q")["x"], F.col("q")["y"])
         best = ge.join(oe, ["p", "q"]).groupBy("gap", "_g").agg(F.sum(size).alias("n")).groupBy("gap").agg(F.min_by("_g", F.struct(-F.col("n"), F.col("_g"))).alias("_g"))
         owned = owned.unionByName(gaps.join(best, gaps[FID] == best["gap"]).select("_g", GEOM))
-    pieces = with_fid(owned)
+    pieces = with_fid(owned, shuffled=True)
     merged = outlines(edges(Layer(pieces.select(FID, GEOM), "", "polygon")).join(pieces.select(FID, "_g"), FID))
     out = layer.df.drop(GEOM).join(merged, layer.df[FID] == merged["_g"], "left").drop("_g")
     return layer.with_df(out)

@@ -54,7 +54,7 @@ def explode(layer: Layer, naive: bool = False) -> Layer:
     else:
         groups = F.transform(g, lambda p: F.array(p))
     rows = layer.settled.select(F.col(FID), F.posexplode_outer(groups).alias("_i", "_part"), *[F.col(f"`{f}`") for f in layer.fields])
-    out = with_fid(rows.withColumn(GEOM, F.col("_part")).orderBy(FID, "_i").drop(FID, "_i", "_part"))
+    out = with_fid(rows.withColumn(GEOM, F.col("_part")).orderBy(FID, "_i").drop(FID, "_i", "_part"), shuffled=True)
     return layer.with_df(out)
 
 
@@ -102,7 +102,7 @@ def segments(layer: Layer) -> Layer:
     layer.need_geometry("polyline", "polygon")
     pairs = F.flatten(F.transform(GEOM, lambda part: F.when(F.size(part) > 1, F.zip_with(F.slice(part, 1, F.size(part) - 1), F.slice(part, 2, F.size(part) - 1), lambda a, b: F.array(a, b))).otherwise(F.array().cast(PATH))))
     rows = layer.df.select(F.col(FID), F.posexplode(pairs).alias("_i", "_s"), *[F.col(f"`{f}`") for f in layer.fields])
-    return layer.with_df(with_fid(rows.withColumn(GEOM, F.array("_s")).orderBy(FID, "_i").drop(FID, "_i", "_s")), geometry_type="polyline")
+    return layer.with_df(with_fid(rows.withColumn(GEOM, F.array("_s")).orderBy(FID, "_i").drop(FID, "_i", "_s"), shuffled=True), geometry_type="polyline")
 
 
 def lines_from_points(layer: Layer, group_by: str | None = None) -> Layer:

@@ -224,7 +224,7 @@ def sort(layer: Layer, expression: str, descending: bool = False, defs: dict | N
     v = translator(layer, defs).column(expression)
     key = F.when(~F.isnan(v.col), v.col) if v.kind == NUM and dict(layer.df.dtypes).get(expression, "double") in ("double", "float") else v.col
     ranked = layer.df.withColumn("_key", key).orderBy(F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_last(), FID)
-    return layer.with_df(with_fid(ranked.drop("_key", FID)))
+    return layer.with_df(with_fid(ranked.drop("_key", FID), shuffled=True))
 
 
 def uniq(layer: Layer, expression: str, max_count: int = 1, index: bool = False, invert: bool = False, defs: dict | None = None) -> Layer:

@@ -81,7 +81,7 @@ def innerlines(layer: Layer, where: str | None = None, defs: dict | None = None)
     if where:
         pairs = _tested(layer, pairs, where, defs)
     lines = _lines_of(pairs, ["a", "b"], "a bigint, b bigint")
-    return layer.with_df(with_fid(lines.orderBy("a", "b").drop("a", "b")), geometry_type="polyline")
+    return layer.with_df(with_fid(lines.orderBy("a", "b").drop("a", "b"), shuffled=True), geometry_type="polyline")
 
 
 def _pairs(layer: Layer) -> DataFrame:
@@ -171,8 +171,9 @@ def dissolve_lines(layer: Layer, fields: list[str] | None = None, calc: str | No
     segs = edges(layer).join(layer.df.select(FID, *keys), FID).select(*keys, "p", "q").distinct()
     types = ", ".join([f"`{k}` {dict(layer.df.dtypes)[k]}" for k in keys] + ["_all int"])
     made = _lines_of(segs.withColumn("_all", F.lit(1)), [*keys, "_all"], types).drop("_all")
-    if not keys:
-        return layer.with_df(table.df.crossJoin(F.broadcast(made)))
+    if not keys:  # one row: its values
+        row = table.df.first()
+        return layer.with_df(made.select(*([F.lit(row[c]).cast(table.df.schema[c].dataType).alias(c) for c in table.df.columns] if row else []), GEOM))
     on = [table.df[k].eqNullSafe(made[k]) for k in keys]
     cond = on[0]
     for c in on[1:]:

@@ -39,6 +39,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a reliable checkpoint: computed once, with its partitions and their order kept."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder once and read back: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -126,8 +126,8 @@ def read_fixed_width(spark: SparkSession, path: str, name: str = "") -> Layer:
     ends = [*starts[1:], width + 1000]
     names = unique_names([head[0][a:b].strip() for a, b in zip(starts, ends)])
     df = with_fid(rows).where(F.col(FID) > 0)
-    cut = [F.trim(F.substring("value", a + 1, b - a)).alias(n) for n, a, b in zip(names, starts, ends)]
-    return Layer(with_fid(inferred(df.orderBy(FID).select(*cut))), name or Path(path).stem)
+    cells_ = [F.trim(F.substring("value", a + 1, b - a)).alias(n) for n, a, b in zip(names, starts, ends)]
+    return Layer(with_fid(inferred(df.orderBy(FID).select(*cells_)), shuffled=True), name or Path(path).stem)
 
 
 # --- JSON ----------------------------------------------------------------------------------------------------------
@@ -237,7 +237,7 @@ def decoded(files: DataFrame, decode: Callable[[dict[str, bytes]], Iterator[fmt.
                 yield pd.DataFrame(rows, columns=["layer", "kind", "pt", "path", "p"])
 
     both = files.groupBy("stem").agg(F.collect_list(F.struct("ext", "content")).alias("f")).select(F.transform("f", lambda x: x["ext"]).alias("exts"), F.transform("f", lambda x: x["content"]).alias("contents"))
-    df = with_fid(both.mapInPandas(run, f"layer string, kind string, pt {POINT}, path {PATH}, p string"))
+    df = with_fid(both.mapInPandas(run, f"layer string, kind string, pt {POINT}, path {PATH}, p string"), shuffled=True)
     df = written(df, "decoded")
     out: dict[str, Layer] = {}
     groups = df.groupBy("layer", "kind").agg(F.count(F.lit(1)).alias("n")).orderBy("layer", F.col("kind").asc_nulls_last()).collect()
