@@ -53,7 +53,7 @@ def test_partly_and_beyond_repair(model):
     assert M.judge(["Peña" + str(M.garble("córdón", utf))], model)[0][0] == "Peñacórdón"
     cut = str(M.garble("Belheimß", utf))[:-1]
     assert M.judge([cut], model)[0][0] is None
-    assert M.judge(["Pe�acón", "Pe?acón", "x\x85y"], model) == [(None, "damaged")] * 3
+    assert M.judge(["Pe�acón", "Pe?acón"], model) == [(None, "damaged")] * 2
     assert M.judge(["Plain Town", "", "  ", "Peñacón"], model) == [None] * 4
     twice = M.garble(str(M.garble("Großheim", (("utf-8", "latin-1"),))), utf)
     assert M.judge([f"  {twice} "], model)[0][0] == "  Großheim "

@@ -50,7 +50,8 @@ def test_rows(spark, monkeypatch):
         assert {i: sum(p[2] for p in v) for i, v in parts.items()} == {i: s for i, s in enumerate(sizes) if s}
         assert sorted(parts[4]) == [(0, 0, 10), (1, 10, 10), (2, 20, 5)] and all(len(v) == 1 for i, v in parts.items() if sizes[i] <= 10)
         report = P.fill_report(P.packed(df, "id", "n_tokens", 10), 10).first()
-        assert report["n_bins"] == len(bins) and report["least_bins"] <= len(bins) <= report["least_bins"] * 1.03 + 1
+        pieces = [r["n_tokens"] for r in got]
+        assert report["n_bins"] == len(bins) == best_fit(pieces, 10) and report["least_bins"] == -(-sum(pieces) // 10)
     assert P.packed(df.limit(0), "id", "n_tokens", 10).count() == 0
     with pytest.raises(ValueError):
         P.packed(df, "id", "n_tokens", 0)
