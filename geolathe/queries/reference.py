@@ -563,12 +563,162 @@ def innerlines(spark: SparkSession, root: str) -> DataFrame:
     return x.settled.select(FID, F.round(G.length(F.col(GEOM)), 6).alias("length")).withColumnRenamed(FID, "id")
 
 
-@query(None)
-def mosaic_tiles(spark: SparkSession, root: str) -> DataFrame:
+SHIFTED = f"WITH a AS ({BOXES}), b AS (SELECT n_nationkey AS k, x0 + 20 AS u0, y0 + 10 AS v0, x1 + 20 AS u1, y1 + 10 AS v1 FROM a), o AS (SELECT n_nationkey AS i, k AS j, (least(x1, u1) - greatest(x0, u0)) * (least(y1, v1) - greatest(y0, v0)) AS s FROM a JOIN b ON x0 < u1 AND u0 < x1 AND y0 < v1 AND v0 < y1)"
+
+
+@query(f"{SHIFTED} SELECT i AS n_nationkey, j AS n_nationkey_2, round(s, 6) AS area FROM o UNION ALL SELECT n_nationkey, NULL, round((x1 - x0) * (y1 - y0) - coalesce((SELECT sum(s) FROM o WHERE i = n_nationkey), 0), 6) FROM a UNION ALL SELECT NULL, k, round((u1 - u0) * (v1 - v0) - coalesce((SELECT sum(s) FROM o WHERE j = k), 0), 6) FROM b")
+def union_tiles(spark: SparkSession, root: str) -> DataFrame:
+    a = boxes(spark, root)
+    x = O.union([a, P.affine(a, shift=(20.0, 10.0))])
+    tiles = x.settled.select("n_nationkey", "n_nationkey_2", G.area(F.col(GEOM)).alias("a"))
+    return tiles.groupBy("n_nationkey", "n_nationkey_2").agg(F.round(F.sum("a"), 6).alias("area"))
+
+
+@query(f"{SHIFTED} SELECT CAST(2 AS DOUBLE) AS n, round(sum(s), 5) AS area FROM o UNION ALL SELECT 1.0, round((SELECT sum((x1 - x0) * (y1 - y0)) FROM a) * 2 - 2 * sum(s), 5) FROM o")
+def mosaic_calc(spark: SparkSession, root: str) -> DataFrame:
+    from geolathe.operators.table import merge_layers as merged
+
+    a = boxes(spark, root)
+    x = O.mosaic(merged([a, P.affine(a, shift=(20.0, 10.0))]), "n = count()")
+    return x.settled.select("n", G.area(F.col(GEOM)).alias("a")).groupBy("n").agg(F.round(F.sum("a"), 5).alias("area"))
+
+
+@query(f"{SHIFTED} SELECT n_nationkey, round((x1 - x0) * (y1 - y0), 6) AS area FROM a UNION ALL SELECT k + 100, round((u1 - u0) * (v1 - v0) - coalesce((SELECT sum(s) FROM o WHERE j = k), 0), 6) FROM b")
+def clean_overlaps(spark: SparkSession, root: str) -> DataFrame:
+    from geolathe.operators.table import merge_layers as merged
+
     a = boxes(spark, root)
     b = P.affine(a, shift=(20.0, 10.0))
-    x = O.union([a, b])
-    return x.settled.select("n_nationkey", "n_nationkey_2", F.round(G.area(F.col(GEOM)), 6).alias("area"))
+    x = O.clean(merged([a, b.with_df(b.df.withColumn("n_nationkey", F.col("n_nationkey") + 100))]))
+    return x.settled.select("n_nationkey", F.round(G.area(F.col(GEOM)), 6).alias("area"))
+
+
+@query(f"{SHIFTED} SELECT n_nationkey, round(sum(s / ((u1 - u0) * (v1 - v0)) * (k + 1)), 6) AS v FROM a LEFT JOIN (SELECT i, j, s, u0, u1, v0, v1, k FROM o JOIN b ON j = k) ON i = n_nationkey GROUP BY 1")
+def join_interpolate(spark: SparkSession, root: str) -> DataFrame:
+    a = boxes(spark, root)
+    b = T.each(P.affine(a, shift=(20.0, 10.0)), "v = n_nationkey + 1")
+    return J.interpolated(a, b, ["v"]).df.select("n_nationkey", F.round("v", 6).alias("v"))
+
+
+@query(f"{SHIFTED} SELECT n_nationkey, j AS other FROM a LEFT JOIN (SELECT i, j FROM o QUALIFY row_number() OVER (PARTITION BY i ORDER BY round(s, 6) DESC, j DESC) = 1) ON i = n_nationkey")
+def join_largest_overlap(spark: SparkSession, root: str) -> DataFrame:
+    a = boxes(spark, root)
+    b = P.affine(a, shift=(20.0, 10.0))
+    pairs = O.overlap_areas(a, b).withColumn("area", F.round("area", 6))
+    best = pairs.groupBy("_t").agg(F.max(F.struct("area", "_s")).alias("b")).select("_t", F.col("b")["_s"].alias("_s"))
+    return J.join(a, T.each(b, "other = n_nationkey"), best, J.JoinOptions(fields=["other"])).layer.df.select("n_nationkey", F.col("other").cast("int").alias("other"))
+
+
+@query(f"WITH c AS (SELECT c_custkey, c_mktsegment, {CUSTOMER_XY} FROM customer), b AS ({BOXES}) SELECT n_nationkey, v AS c_mktsegment FROM b LEFT JOIN (SELECT n_nationkey AS i, c_mktsegment AS v, count(*) AS n, min(c_custkey) AS f FROM c JOIN b ON x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY count(*) DESC, min(c_custkey)) = 1) ON i = n_nationkey")
+def fuzzy_join(spark: SparkSession, root: str) -> DataFrame:
+    return J.fuzzy_join(boxes(spark, root), customer_points(spark, root), "c_mktsegment").df.select("n_nationkey", "c_mktsegment")
+
+
+@query(f"SELECT n_nationkey, CAST(2 * ceil((x1 - x0) / 7) + 2 * ceil((y1 - y0) / 7) + 1 AS BIGINT) AS vertices FROM ({BOXES})")
+def densify_boxes(spark: SparkSession, root: str) -> DataFrame:
+    x = PA.densify(boxes(spark, root), 7.0)
+    return x.settled.select("n_nationkey", F.size(F.col(GEOM)[0]).cast("bigint").alias("vertices"))
+
+
+@query(f"SELECT n_nationkey, CAST(i AS BIGINT) AS side, CAST(ceil((CASE WHEN i % 2 = 0 THEN y1 - y0 ELSE x1 - x0 END - 1.5) / 5) AS BIGINT) AS dashes FROM ({BOXES}), range(4) t(i)")
+def dashlines_segments(spark: SparkSession, root: str) -> DataFrame:
+    x = PA.dashlines(PA.segments(boxes(spark, root)), 2.0, 3.0)
+    side = F.row_number().over(T.Window.partitionBy("n_nationkey").orderBy(FID)) - 1
+    return x.settled.select("n_nationkey", side.cast("bigint").alias("side"), F.size(GEOM).cast("bigint").alias("dashes"))
+
+
+@query("SELECT c_custkey, round(72 / 2 * 2.5 * 2.5 * sin(2 * pi() / 72), 6) AS area FROM customer")
+def buffer_points(spark: SparkSession, root: str) -> DataFrame:
+    x = P.point_buffer(customer_points(spark, root), 2.5)
+    return x.settled.select("c_custkey", F.round(G.area(F.col(GEOM)), 6).alias("area"))
+
+
+@query(f"SELECT c_custkey, round(6378137.0 * radians(x), 3) AS x, round(6378137.0 * ln(tan(pi() / 4 + radians(y) / 2)), 3) + 0.0 AS y FROM (SELECT c_custkey, {CUSTOMER_XY} FROM customer) WHERE abs(y) < 80")
+def proj_webmercator(spark: SparkSession, root: str) -> DataFrame:
+    x = T.filter_rows(customer_points(spark, root), "y < 80 && y > -80")
+    p = Pipeline(spark, {"c.parquet": x}).run("-i c.parquet -proj webmercator")
+    g = F.col(GEOM)[0]
+    return p.layer().settled.select("c_custkey", F.round(g[0], 3).alias("x"), F.round(g[1], 3).alias("y"))
+
+
+@query(f"SELECT n_nationkey, x0, y0, x1, y1 FROM ({BOXES})")
+def rectangles_of(spark: SparkSession, root: str) -> DataFrame:
+    b = G.bounds(F.col(GEOM), False)
+    return P.rectangles(boxes(spark, root)).settled.select("n_nationkey", b["xmin"].alias("x0"), b["ymin"].alias("y0"), b["xmax"].alias("x1"), b["ymax"].alias("y1"))
+
+
+@query("SELECT n_nationkey, 4::BIGINT AS n FROM nation")
+def points_vertices(spark: SparkSession, root: str) -> DataFrame:
+    return P.vertices(boxes(spark, root)).df.select("n_nationkey", F.size(GEOM).cast("bigint").alias("n"))
+
+
+@query(f"SELECT n_nationkey, round(x0 + (x1 - x0) / 2, 6) AS x, round((y0 + y1) / 2, 6) AS y FROM ({BOXES})")
+def points_inner(spark: SparkSession, root: str) -> DataFrame:
+    g = F.col(GEOM)[0]
+    return PA.inner_point_layer(boxes(spark, root)).settled.select("n_nationkey", F.round(g[0], 6).alias("x"), F.round(g[1], 6).alias("y"))
+
+
+@query(f"SELECT n_nationkey, round(greatest(0, least(x1, 50) - greatest(x0, -50)) * CASE WHEN y1 BETWEEN -40 AND 40 THEN 1 ELSE 0 END, 6) AS top FROM ({BOXES}) WHERE y1 BETWEEN -40 AND 40 AND x0 < 50 AND x1 > -50")
+def clip_bbox_lines(spark: SparkSession, root: str) -> DataFrame:
+    b = G.bounds(F.col(GEOM), False)
+    x = PA.clip_bbox(PA.segments(boxes(spark, root)), [-50, -40, 50, 40])
+    sides = x.settled.select("n_nationkey", b["ymin"].alias("lo"), b["ymax"].alias("hi"), G.length(F.col(GEOM)).alias("l"))
+    tops = sides.where("lo = hi").groupBy("n_nationkey").agg(F.max(F.struct("hi", "l")).alias("m"), F.count(F.lit(1)).alias("c"))
+    y1 = F.floor(F.col("n_nationkey") / 5) * 35 - 85 + 30.5
+    return tops.where(F.col("m")["hi"] == y1).select("n_nationkey", F.round(F.col("m")["l"], 6).alias("top"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN 'red' WHEN c_acctbal < 5000 THEN 'white' ELSE 'blue' END AS colour FROM customer")
+def colorizer_breaks(spark: SparkSession, root: str) -> DataFrame:
+    return commands(spark, root, ["customer"], "-i customer.parquet -colorizer name=shade colors=red,white,blue breaks=0,5000 -each 'colour = shade(c_acctbal)' -filter-fields c_custkey,colour")
+
+
+@query("SELECT 'meridian' AS type, CAST(i * 10 - 180 AS DOUBLE) AS value FROM range(37) t(i) UNION ALL SELECT 'parallel', CAST(i * 10 - 80 AS DOUBLE) FROM range(17) t(i)")
+def graticule_lines(spark: SparkSession, root: str) -> DataFrame:
+    return P.graticule(spark).df.select("type", "value")
+
+
+@query("SELECT n_nationkey FROM nation WHERE n_nationkey % 2 = 0")
+def filter_slivers(spark: SparkSession, root: str) -> DataFrame:
+    x = boxes(spark, root)
+    thin = F.transform(GEOM, lambda r: F.transform(r, lambda p: F.array(p[0] * 1e-6, p[1])))
+    mixed = x.with_df(x.df.withColumn(GEOM, F.when(F.col("n_nationkey") % 2 == 0, F.col(GEOM)).otherwise(thin)))
+    return PA.filter_slivers(mixed, min_area=1.0, remove_empty=True).df.select("n_nationkey")
+
+
+@query("SELECT n_nationkey, i AS part FROM nation, range(2) t(i)")
+def explode_parts(spark: SparkSession, root: str) -> DataFrame:
+    x = boxes(spark, root)
+    moved = F.transform(F.col(GEOM)[0], lambda p: F.array(p[0] + 1000, p[1]))
+    two = x.with_df(x.df.withColumn(GEOM, F.array(F.col(GEOM)[0], moved)))
+    part = F.row_number().over(T.Window.partitionBy("n_nationkey").orderBy(FID)) - 1
+    return PA.explode(two).df.select("n_nationkey", part.cast("bigint").alias("part"))
+
+
+@query(None)
+def cluster_precincts(spark: SparkSession, root: str) -> DataFrame:
+    return TO.cluster(precinct_layer(spark, root), pct=0.2, group_by="county").df.select("precinct_code", "cluster")
+
+
+@query(None)
+def non_adjacent(spark: SparkSession, root: str) -> DataFrame:
+    return TO.coloured(precinct_layer(spark, root)).withColumnRenamed(FID, "id")
+
+
+@query(None)
+def alpha_shapes(spark: SparkSession, root: str) -> DataFrame:
+    return TO.alpha_shapes(supplier_points(spark, root), 12.0).settled.select(F.round(G.area(F.col(GEOM)), 4).alias("area"))
+
+
+@query(None)
+def smooth_precincts(spark: SparkSession, root: str) -> DataFrame:
+    x = PA.smooth(precinct_layer(spark, root), 0.02)
+    return x.settled.select("precinct_code", F.round(G.area(F.col(GEOM)), 8).alias("area"))
+
+
+@query(None)
+def subdivide_customers(spark: SparkSession, root: str) -> DataFrame:
+    return T.subdivide(customer_points(spark, root), "count() > 100").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT n_nationkey, CAST(i AS INTEGER) AS side, round(CASE WHEN i % 2 = 0 THEN y1 - y0 ELSE x1 - x0 END, 6) AS length FROM ({BOXES}), range(4) t(i)")
