@@ -75,6 +75,10 @@ class Layer:
         return self.df.orderBy(FID).drop(FID)
 
 
+#: Partitions up to which their offsets are part of the expression.
+LITERALS = 1_000
+
+
 def with_fid(df: DataFrame, shuffled: bool = False) -> DataFrame:
     """``df`` with dense row numbers in the order of its partitions: two passes and no shuffle or single task.
 
@@ -90,7 +94,12 @@ def with_fid(df: DataFrame, shuffled: bool = False) -> DataFrame:
     for p in range(max(counts, default=-1) + 1):
         offsets.append(before)
         before += counts.get(p, 0)
-    at = F.get(F.array(*[F.lit(o) for o in offsets]), part.cast("int")) if offsets else F.lit(0)
+    if len(offsets) > LITERALS:
+        table = df.sparkSession.createDataFrame(list(enumerate(offsets)), "_part int, _before bigint")
+        own = own.withColumn("_part", part.cast("int")).join(F.broadcast(table), "_part")  # a row per partition
+        at = F.col("_before")
+    else:
+        at = F.get(F.array(*[F.lit(o) for o in offsets]), part.cast("int")) if offsets else F.lit(0)
     return own.select((at + F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))).cast("long").alias(FID), *[F.col(f"`{c}`") for c in df.columns if c != FID])
 
 

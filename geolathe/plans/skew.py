@@ -17,8 +17,11 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: in
     The counts are combined before the shuffle; at most 1 / share rows come back, so the result may be broadcast.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    rows = counts.where(F.col("_n") > least).orderBy(F.desc("_n")).limit(int(1 / share) + 1).collect()
+    if not rows:
+        return None
     total = df.count()
-    rows = counts.where(F.col("_n") > max(least, int(total * share))).select(*keys).collect()
+    rows = [tuple(r[k] for k in keys) for r in rows if r["_n"] > total * share]
     if not rows:
         return None
     schema = counts.select(*keys).schema
@@ -35,7 +38,10 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     if heavy is None:
         return left.join(right, keys, how)
     heavy = F.broadcast(heavy.withColumn("_hot", F.lit(True)))
-    left = left.join(heavy, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+    apart = F.col("_hot")
+    for k in keys:  # rows with a null key match nothing and may go anywhere
+        apart = apart | F.col(f"`{k}`").isNull()
+    left = left.join(heavy, keys, "left").withColumn("_salt", F.when(apart, F.pmod(F.xxhash64(spread), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
     pieces = F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long")))
     right = right.join(heavy, keys, "left").withColumn("_salt", F.explode(pieces)).drop("_hot")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
