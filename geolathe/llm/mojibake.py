@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from geolathe.plans.sampling import hashed_sample
+
 #: Distinct values the classifier is fitted on, at most (those with the smallest hashes).
 SAMPLE = 12_000
 #: Buckets that byte bigrams are hashed into.
@@ -291,10 +293,18 @@ def _damaged(text: str) -> bool:
     return bool(re.search(r"\w\?+\w|\w\?\?+|\?\?+\w", text)) or any(c == "�" or (unicodedata.category(c) == "Cc" and c not in "\t\n\r") for c in text)
 
 
+def _below(values: DataFrame, size: int, about: int) -> DataFrame:
+    """The values whose hashes make up somewhat more than ``size`` distinct ones of ``about``."""
+    return values.where(F.pmod(F.xxhash64("v", F.lit(5)), F.lit(1 << 32)) < F.lit(int(min(1.0, 1.5 * size / about) * (1 << 32))))
+
+
 def sample(df: DataFrame, columns: list[str], size: int = SAMPLE) -> list[str]:
     """At most ``size`` distinct values of the columns, those with the smallest hashes: the same on every run."""
-    values = df.select(F.explode(F.array(*[F.trim(F.col(c)) for c in columns])).alias("v")).where(F.length("v") > 0).distinct()
-    return [r["v"] for r in values.orderBy(F.xxhash64("v"), "v").limit(size).collect()]
+    values = df.select(F.explode(F.array(*[F.trim(F.col(c)) for c in columns])).alias("v")).where(F.length("v") > 0)
+    about = values.agg(F.approx_count_distinct("v")).first()[0]
+    # the cut on the hash comes first, so only the sample is made distinct
+    few = values if about <= size else _below(values, size, about)
+    return [r["v"] for r in hashed_sample(few.distinct(), ["v"], size, size).collect()]
 
 
 def restored(df: DataFrame, id_col: str, columns: list[str], model: Model) -> DataFrame:
