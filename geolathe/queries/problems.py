@@ -161,5 +161,28 @@ def _p5() -> str:
     return f"SELECT seg_id, field FROM (SELECT *, max(has) OVER (PARTITION BY precinct_code, field) AS any_has FROM ({cells}) WHERE precinct_code IS NOT NULL) WHERE has IS NULL AND any_has = 1"
 
 
+def _members(source: str, keep: str, parent: str, name: str, kind: str) -> str:
+    """Objects under a key in any letter case: one that stands alone, or those of an array, with their place in it."""
+    listed = f"SELECT {keep}, CASE WHEN json_type(v) = 'OBJECT' THEN json_array(v) ELSE v END AS a FROM (SELECT {keep}, json_extract(o, '$.\"' || k || '\"') AS v FROM (SELECT {keep}, {parent} AS o, unnest(json_keys({parent})) AS k FROM {source}) WHERE lower(k) = '{name}')"
+    return f"SELECT {keep}, i AS {kind}, e FROM (SELECT {keep}, i, json_extract(a, '$[' || i || ']') AS e FROM (SELECT {keep}, a, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS i FROM ({listed}) WHERE json_type(a) = 'ARRAY')) WHERE json_type(e) = 'OBJECT'"
+
+
+P2 = f"""
+WITH a AS (SELECT packet_id, CASE WHEN json_type(j) = 'ARRAY' THEN j WHEN json_extract_string(j, '$.type') = 'FeatureCollection' THEN json_extract(j, '$.features') ELSE json_array(j) END AS a FROM (SELECT packet_id, CAST(body AS JSON) AS j FROM feature_packets WHERE body <> '')),
+f AS (SELECT packet_id, n, json_extract(a, '$[' || n || ']') AS f FROM (SELECT packet_id, a, unnest(range(CAST(json_array_length(a) AS BIGINT))) AS n FROM a)),
+g AS (SELECT packet_id, n, CASE WHEN json_extract_string(f, '$.geometry.type') = 'GeometryCollection' THEN json_extract(f, '$.geometry.geometries') ELSE json_array(json_extract(f, '$.geometry')) END AS gs FROM f WHERE json_type(json_extract(f, '$.geometry')) = 'OBJECT'),
+h AS (SELECT packet_id, n, gi, json_extract(gs, '$[' || gi || ']') AS g FROM (SELECT packet_id, n, gs, unnest(range(CAST(json_array_length(gs) AS BIGINT))) AS gi FROM g)),
+l AS (SELECT packet_id, n, gi, CASE WHEN json_extract_string(g, '$.type') = 'LineString' THEN json_array(json_extract(g, '$.coordinates')) ELSE json_extract(g, '$.coordinates') END AS ls FROM h WHERE json_extract_string(g, '$.type') IN ('LineString', 'MultiLineString')),
+m AS (SELECT packet_id, n, gi, li, json_extract(ls, '$[' || li || ']') AS line FROM (SELECT packet_id, n, gi, ls, unnest(range(CAST(json_array_length(ls) AS BIGINT))) AS li FROM l WHERE json_type(ls) = 'ARRAY')),
+p AS (SELECT packet_id, n, CASE WHEN json_type(json_extract(f, '$.properties')) = 'VARCHAR' THEN CAST(json_extract_string(f, '$.properties') AS JSON) ELSE json_extract(f, '$.properties') END AS p FROM f),
+o AS (SELECT packet_id, n, p FROM p WHERE json_type(p) = 'OBJECT'),
+w AS ({_members("o", "packet_id, n", "p", "wui", "wi")}),
+r AS ({_members("w", "packet_id, n, wi", "e", "rev", "ri")})
+SELECT packet_id, CAST(n AS INTEGER) AS feature_no, 'part' AS child, CAST(row_number() OVER (PARTITION BY packet_id, n ORDER BY gi, li) - 1 AS INTEGER) AS child_no, -1 AS sub_no FROM m WHERE json_array_length(line) > 0
+UNION ALL SELECT packet_id, CAST(n AS INTEGER), 'wui', CAST(wi AS INTEGER), -1 FROM w
+UNION ALL SELECT packet_id, CAST(n AS INTEGER), 'rev', CAST(wi AS INTEGER), CAST(ri AS INTEGER) FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p3_found": P3, "p4_found": P4, "p4_near_counts": P4_COUNTS, "p4_near_sphere": P4_SPHERE, "p5_found": _p5()}
+    return {"p2_found": P2, "p3_found": P3, "p4_found": P4, "p4_near_counts": P4_COUNTS, "p4_near_sphere": P4_SPHERE, "p5_found": _p5()}

@@ -707,7 +707,7 @@ def non_adjacent(spark: SparkSession, root: str) -> DataFrame:
 
 @query(None)
 def alpha_shapes(spark: SparkSession, root: str) -> DataFrame:
-    return TO.alpha_shapes(supplier_points(spark, root), 12.0).settled.select(F.round(G.area(F.col(GEOM)), 4).alias("area"))
+    return TO.alpha_shapes(supplier_points(spark, root), 60.0).settled.select(F.round(G.area(F.col(GEOM)), 4).alias("area"))
 
 
 @query(None)
