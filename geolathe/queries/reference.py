@@ -353,6 +353,13 @@ def blacki_components(spark: SparkSession, root: str) -> DataFrame:
     return CL.components(o.select("o_orderkey", ids.alias("m")), "o_orderkey", "m")
 
 
+@query(None)
+def blacki_components_all(spark: SparkSession, root: str) -> DataFrame:
+    """Every order with both of its memberships: too many links for recursive SQL, so tests compare with union-find."""
+    o = table(spark, root, "orders")
+    return CL.components(o.select("o_orderkey", F.array("o_custkey", F.floor(F.col("o_orderkey") / 8) + 10000000).alias("m")), "o_orderkey", "m")
+
+
 # --- points and grids ----------------------------------------------------------------------------------------------
 
 
