@@ -8,7 +8,8 @@ Labels are per document, while abuse is a sentence in it, and some labels are wr
 in rounds: first by words that labelled documents hold far more often, then by the distance itself, where a window is
 judged by dictionaries built without its own document and must exceed what ordinary windows reach. Documents without a
 label then add windows found in the same way. Labelled and further documents used for fitting are bounded samples
-(``LABELLED``, ``FURTHER``); every document is scored, over the whole of its text.
+(``LABELLED``, ``FURTHER``); every document is scored, over the whole of its text, and the scale of scores and the
+rate that the threshold allows for are taken from all of them.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolathe.plans.sampling import hashed_sample
+from geolathe.session import written
+
+#: Documents by raw score and characters (at most a window).
+Histogram = dict[tuple[float, int], int]
 
 #: Labelled documents and documents without labels that the dictionaries are fitted on, at most (smallest hashes).
 LABELLED, FURTHER = 6_000, 3_000
@@ -173,11 +178,21 @@ def learn(abusive: list[str], ordinary: list[str], others: list[list[bytes]]) ->
     return share, [w for p in [*added, *picked] for w in p]
 
 
-def scale(ordinary, abusive, parts: list[list[bytes]]) -> tuple[float, float]:  # noqa: ANN001
-    """Middle and spread (median, and median distance from it) of the scores of some documents."""
-    scores = np.array([document_score(distances(ordinary, abusive, p)) for p in parts]) if parts else np.zeros(1)
-    middle = float(np.median(scores))
-    return middle, max(1.0, float(np.median(np.abs(scores - middle))))
+def median_of(values: np.ndarray, counts: np.ndarray) -> float:
+    """The median of values that occur ``counts`` times each."""
+    order = np.argsort(values)
+    ends = np.cumsum(counts[order])
+    low, high = np.searchsorted(ends, [(ends[-1] - 1) // 2, ends[-1] // 2], side="right")
+    return float(values[order][low] + values[order][high]) / 2
+
+
+def scale(seen: Histogram) -> tuple[float, float]:
+    """Middle and spread (median, and median distance from it) of the raw scores that were counted."""
+    if not seen:
+        return 0.0, 1.0
+    raw, counts = np.array([r for r, _ in seen], dtype=float), np.array(list(seen.values()), dtype=np.int64)
+    middle = median_of(raw, counts)
+    return middle, max(1.0, median_of(np.abs(raw - middle), counts))
 
 
 def threshold_of(scores: np.ndarray, labels: np.ndarray, ordinary_weight: float = 1.0) -> tuple[float, float]:
@@ -196,29 +211,61 @@ def threshold_of(scores: np.ndarray, labels: np.ndarray, ordinary_weight: float
     return float((s[best] + s[best + 1]) / 2 if best + 1 < len(s) else s[best]), float(f1[best])
 
 
-def fit(labelled: list[tuple[str, bool]], further: list[str]) -> Model:
-    """Dictionaries from all labelled texts, the threshold from scores of texts whose fold was left out.
+@dataclass
+class Learnt:
+    """Dictionaries (ordinary, abusive): of all labelled texts, then of each fold; and what they say of held-out texts."""
 
-    Without a single abusive label nothing can be learnt, and nothing will be flagged.
+    pairs: list[tuple[list[bytes], list[bytes]]]
+    held: np.ndarray
+    chars: np.ndarray
+    labels: np.ndarray
+    copies: np.ndarray
+
+    def scorers(self) -> list[tuple]:
+        return [(compressor(a), compressor(b)) for a, b in self.pairs]
+
+
+def learnt(labelled: list[tuple[str, bool]], further: list[str], copies: list[int] | None = None) -> Learnt:
+    """Dictionaries from all labelled texts and from all but a fold, and raw scores of the fold that was left out.
+
+    ``copies``: documents that each labelled text stands for.
     """
     y = np.array([v for _, v in labelled], dtype=bool)
     others = [windows(t) for t in further]
-    scores = np.zeros(len(labelled))
+    held = np.zeros(len(labelled))
+    pairs = [learn([t for t, v in labelled if v], [t for t, v in labelled if not v], others)]
     for k in range(FOLDS) if y.any() else []:
         rest = [x for i, x in enumerate(labelled) if i % FOLDS != k]
-        a, b = map(compressor, learn([t for t, v in rest if v], [t for t, v in rest if not v], others[k::FOLDS]))
-        middle, spread = scale(a, b, others[::4])
+        pairs.append(learn([t for t, v in rest if v], [t for t, v in rest if not v], others[k::FOLDS]))
+        a, b = map(compressor, pairs[-1])
         for i in range(k, len(labelled), FOLDS):
-            scores[i] = standing(document_score(distances(a, b, windows(labelled[i][0]))), len(labelled[i][0]), middle, spread)
+            held[i] = document_score(distances(a, b, windows(labelled[i][0])))
+    return Learnt(pairs, held, np.array([len(t) for t, _ in labelled]), y, np.array(copies or [1] * len(labelled)))
+
+
+def calibrated(found: Learnt, seen: list[Histogram]) -> Model:
+    """Scale and threshold from the raw scores of all documents by each pair of dictionaries.
+
+    ``seen`` leaves out the labelled texts, as their own windows are in the dictionaries; they count for the corpus
+    rate by their held-out scores. Without a single abusive label nothing can be learnt, and nothing will be flagged.
+    """
+    y = found.labels
+    scales = [scale(h) for h in seen]
+    scores = np.array([standing(s, c, *scales[1 + i % FOLDS]) for i, (s, c) in enumerate(zip(found.held, found.chars))]) if y.any() else found.held
     threshold, f1 = threshold_of(scores, y)
-    ordinary, abusive = learn([t for t, v in labelled if v], [t for t, v in labelled if not v], others)
-    a, b = compressor(ordinary), compressor(abusive)
-    middle, spread = scale(a, b, others[::4])
-    if others and y.any():  # labels were given to abusive documents more often than the corpus holds them
-        rate = np.mean([(document_score(distances(a, b, p)) - middle) / spread > threshold for p in others])
-        rate, held = max(float(rate), 0.005), float(y.mean())
+    middle, spread = scales[0]
+    if seen[0] and y.any():  # labels were given to abusive documents more often than the corpus holds them
+        over = sum(n for (r, c), n in seen[0].items() if standing(r, c, middle, spread) > threshold) + found.copies[scores > threshold].sum()
+        rate, held = max(float(over / (sum(seen[0].values()) + found.copies.sum())), 0.005), float(y.mean())
         threshold, _ = threshold_of(scores, y, max(1.0, (1 - rate) / rate * held / (1 - held)) if held < 1 else 1.0)
-    return Model(ordinary, abusive, max(threshold, LEAST), middle, spread, f1)
+    return Model(*found.pairs[0], max(threshold, LEAST), middle, spread, f1)
+
+
+def fit(labelled: list[tuple[str, bool]], further: list[str]) -> Model:
+    """The model where the labelled texts and ``further`` are all documents there are."""
+    found = learnt(labelled, further)
+    seen = [Counter(zip(document_scores(a, b, further), (min(len(t), WINDOW) for t in further))) for a, b in found.scorers()]
+    return calibrated(found, seen)
 
 
 def majority(labels: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -227,21 +274,77 @@ def majority(labels: DataFrame, id_col: str, label: str) -> DataFrame:
     return votes.where(F.col("_share") != 0.5).select(id_col, (F.col("_share") > 0.5).alias("_abusive"))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text: str, columns: Column | None = None, label: str = "toxic") -> Model:
-    """The model for a corpus, from bounded samples of its labelled and further documents."""
+def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, columns: Column | None = None, label: str = "toxic") -> tuple[Learnt, set]:
+    """What is learnt from bounded samples of labelled and further documents, and the ids of the labelled ones."""
     df = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), (columns if columns is not None else F.lit(None).cast("array<int>")).alias("c"))
     df = df.where((F.length("t") > 0) & (F.length("t") <= LEARNT_CHARS))
     said = majority(labels, id_col, label).withColumnRenamed(id_col, "id")
     known = hashed_sample(said, ["id"], LABELLED, said.count())
     rows = df.join(F.broadcast(known), "id").collect()
     others = hashed_sample(df.join(F.broadcast(known.select("id")), "id", "left_anti"), ["id"], FURTHER, docs.count()).collect() if rows else []
-    votes: dict[str, list[bool]] = {}
+    votes: dict[str, list[tuple]] = {}
     for r in sorted(rows, key=lambda r: r["id"]):
-        votes.setdefault(normal(r["t"], r["c"]), []).append(r["_abusive"])
-    labelled = [(t, sum(v) * 2 > len(v)) for t, v in votes.items() if t and sum(v) * 2 != len(v)]
+        votes.setdefault(normal(r["t"], r["c"]), []).append((r["id"], r["_abusive"]))
+    labelled = [(t, sum(a for _, a in v) * 2 > len(v)) for t, v in votes.items() if t and sum(a for _, a in v) * 2 != len(v)]
     random.Random(3).shuffle(labelled)
     further = list(dict.fromkeys(normal(r["t"], r["c"]) for r in sorted(others, key=lambda r: r["id"])))
-    return fit(labelled, [t for t in further if t])
+    found = learnt(labelled, [t for t in further if t], [len(votes[t]) for t, _ in labelled])
+    return found, {i for t, _ in labelled for i, _ in votes[t]}
+
+
+def raw_scores(docs: DataFrame, id_col: str, keep: list[str], text: str, found: Learnt, own: set, columns: Column | None = None) -> DataFrame:
+    """A row per document: the columns ``keep``, raw scores by each pair of dictionaries (null without text), characters
+    and whether it's one of the labelled documents that were learnt from."""
+    sent = docs.sparkSession.sparkContext.broadcast((found.pairs, own))
+    ddl = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema.fields) + "_raw array<double>, _chars int, _own boolean"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs, mine = sent.value
+        made = [(compressor(a), compressor(b)) for a, b in pairs]
+        for b in batches:
+            texts = [normal(t, c) if t else "" for t, c in zip(b.column("_text").to_pylist(), b.column("_columns").to_pylist())]
+            raw: list[list[float] | None] = [None] * len(texts)
+            full = [i for i, t in enumerate(texts) if t]
+            for at in range(0, len(full), TOGETHER):
+                some = full[at : at + TOGETHER]
+                for i, s in zip(some, zip(*[document_scores(*m, [texts[i] for i in some]) for m in made])):
+                    raw[i] = list(s)
+            ids = [i in mine for i in b.column("_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(raw, pa.list_(pa.float64())), pa.array(map(len, texts), pa.int32()), pa.array(ids, pa.bool_())], [*keep, "_raw", "_chars", "_own"])
+
+    cols = columns if columns is not None else F.lit(None).cast("array<int>")
+    return docs.select(*keep, F.col(id_col).alias("_id"), F.col(text).alias("_text"), cols.alias("_columns")).mapInArrow(run, ddl)
+
+
+def histograms(raw: DataFrame, pairs: int) -> list[Histogram]:
+    """How many documents have a raw score and (up to a window) so many characters, for each pair of dictionaries.
+
+    Scores are halves of bytes that a few windows differ by, so the lines are few however many documents there are.
+    """
+    each = raw.where(F.col("_raw").isNotNull() & ~F.col("_own")).select(F.posexplode("_raw").alias("k", "r"), F.least("_chars", F.lit(WINDOW)).alias("c"))
+    out: list[Histogram] = [Counter() for _ in range(pairs)]
+    for x in each.groupBy("k", "r", "c").agg(F.count(F.lit(1)).alias("n")).collect():
+        out[x["k"]][x["r"], x["c"]] = x["n"]
+    return out
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, keep: list[str], text: str, columns: Column | None = None) -> DataFrame:
+    """``scored`` with the model for the corpus, from one pass over its documents: raw scores are written once, scale
+    and threshold come from all of them."""
+    model, raw = _modelled(docs, labels, id_col, keep, text, columns, "toxic")
+    score = (F.col("_raw")[0] - F.lit(model.middle) * F.least(F.lit(1.0), F.col("_chars") / WINDOW)) / F.lit(model.spread)
+    return raw.select(*keep, score.alias("score")).withColumn("flagged", F.coalesce(F.col("score") > F.lit(model.threshold), F.lit(False)))
+
+
+def _modelled(docs: DataFrame, labels: DataFrame, id_col: str, keep: list[str], text: str, columns: Column | None, label: str) -> tuple[Model, DataFrame]:
+    found, own = sampled(docs, labels, id_col, text, columns, label)
+    raw = written(raw_scores(docs, id_col, keep, text, found, own, columns), "scores")
+    return calibrated(found, histograms(raw, len(found.pairs))), raw
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text: str, columns: Column | None = None, label: str = "toxic") -> Model:
+    """The model for a corpus: dictionaries from bounded samples, scale and threshold from all documents."""
+    return _modelled(docs, labels, id_col, [], text, columns, label)[0]
 
 
 def scored(docs: DataFrame, keep: list[str], text: str, model: Model, columns: Column | None = None) -> DataFrame:

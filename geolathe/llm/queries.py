@@ -75,8 +75,7 @@ def p7_report(spark: SparkSession, root: str) -> DataFrame:
 def _scores(spark: SparkSession, root: str) -> DataFrame:
     docs = table(spark, root, "documents")
     columns = F.col("line_boxes.col_no")
-    model = abuse.fitted(docs, table(spark, root, "abuse_labels"), "doc_id", "text", columns)
-    return abuse.scored(docs, ["doc_id", "source"], "text", model, columns)
+    return abuse.judged(docs, table(spark, root, "abuse_labels"), "doc_id", ["doc_id", "source"], "text", columns)
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:

@@ -74,3 +74,22 @@ def test_labels_and_no_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")
     m = A.fitted(docs, labels.limit(0), "doc_id", "text")
     assert [r["flagged"] for r in A.scored(docs, ["doc_id"], "text", m).collect()] == [False]
+
+
+def test_scale_and_rate_cover_all_documents(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(A, "FURTHER", 20)
+    rng = random.Random(6)
+    texts = [page(i % 8 == 0, rng) for i in range(160)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(80)], "doc_id bigint, toxic int")
+    found, own = A.sampled(docs, labels, "doc_id", "text")
+    assert own == set(range(80))
+    m = A.fitted(docs, labels, "doc_id", "text")
+    raw = np.array(A.document_scores(*m.compressors(), texts[80:]))
+    assert m.middle == np.median(raw) and m.spread == max(1.0, np.median(np.abs(raw - np.median(raw))))
+    got = {r["doc_id"]: (r["score"], r["flagged"]) for r in A.judged(docs, labels, "doc_id", ["doc_id"], "text").collect()}
+    want = {r["doc_id"]: (r["score"], r["flagged"]) for r in A.scored(docs, ["doc_id"], "text", m).collect()}
+    assert {i: f for i, (_, f) in got.items()} == {i: f for i, (_, f) in want.items()}
+    assert all(abs(got[i][0] - want[i][0]) < 1e-9 for i in want)
