@@ -191,17 +191,17 @@ def empty(c: Column) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
 
 
-def data_fill(layer: Layer, name: str, rounds: int = 50) -> Layer:
+def data_fill(layer: Layer, name: str) -> Layer:
     """Fills empty values of polygons from their neighbours: the value with the longest common border.
 
-    Round by round from the filled ones inwards; ties go to the smaller text. What no filled polygon reaches stays.
+    Round by round from the filled ones inwards, until a round fills nothing; ties go to the smaller text. What no filled polygon reaches stays.
     """
     layer.need(name)
     shared = written(borders(layer), "borders")
     kind = dict(layer.df.dtypes)[name]
     values = layer.df.select(F.col(FID).alias("a"), F.when(~empty(F.col(f"`{name}`")), F.col(f"`{name}`").cast("string")).alias("v"))
     values = written(values, "fill")
-    for _ in range(rounds):
+    while True:
         open_ = values.where(F.col("v").isNull()).select("a")
         known = values.where(F.col("v").isNotNull()).select(F.col("a").alias("b"), "v")
         votes = shared.join(open_, "a").join(known, "b").groupBy("a", "v").agg(F.sum("length").alias("n"))
