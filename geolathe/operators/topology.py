@@ -191,30 +191,85 @@ def empty(c: Column) -> Column:
     return c.isNull() | (F.trim(c.cast("string")) == "")
 
 
-def data_fill(layer: Layer, name: str) -> Layer:
-    """Fills empty values of polygons from their neighbours: the value with the longest common border.
+def data_fill(layer: Layer, name: str, contiguous: bool = False, weight_field: str | None = None) -> Layer:
+    """Fills empty values of polygons from their neighbours, smooths what was filled and, with ``contiguous``, keeps
+    only the heaviest connected group of each value (by area, or the sum of a field) and fills the gaps again.
 
-    Round by round from the filled ones inwards, until a round fills nothing; ties go to the smaller text. What no filled polygon reaches stays.
+    Round by round from the filled ones inwards, until a round fills nothing: empty polygons whose neighbours hold the
+    same set of values get one value, that with the longest common border; ties go to the smaller text. What no
+    filled polygon reaches stays.
     """
-    layer.need(name)
+    layer.need(name, *([weight_field] if weight_field else []))
     shared = written(borders(layer), "borders")
     kind = dict(layer.df.dtypes)[name]
     values = layer.df.select(F.col(FID).alias("a"), F.when(~empty(F.col(f"`{name}`")), F.col(f"`{name}`").cast("string")).alias("v"))
     values = written(values, "fill")
-    while True:
-        open_ = values.where(F.col("v").isNull()).select("a")
-        known = values.where(F.col("v").isNotNull()).select(F.col("a").alias("b"), "v")
-        votes = shared.join(open_, "a").join(known, "b").groupBy("a", "v").agg(F.sum("length").alias("n"))
-        best = votes.groupBy("a").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("w"))
-        new = written(values.join(best, "a", "left").select("a", F.coalesce("v", "w").alias("v"), F.col("w").isNotNull().alias("new")), "fill")
-        values = new.select("a", "v")
-        if new.where("new").limit(1).count() == 0:
-            break
+    gaps = values.where(F.col("v").isNull()).select("a")
+    values = _smoothed(_filled(values, shared), shared, gaps)
+    if contiguous:
+        weight = F.col(f"`{weight_field}`").cast("double") if weight_field else G.area(F.col(GEOM), layer.lat_long)
+        weights = layer.df.select(F.col(FID).alias("a"), F.coalesce(weight, F.lit(0.0)).alias("w"))
+        values = _filled(_largest_groups(values, shared, weights), shared)
     values = values.select(F.col("a").alias("_a"), F.col("v").alias("_v"))
     out = layer.df.join(values, F.col(FID) == F.col("_a"), "left").withColumn(name, F.col("_v").cast(kind)).drop("_a", "_v")
     return layer.with_df(out)
 
 
+def _votes(shared: DataFrame, of: DataFrame, values: DataFrame) -> DataFrame:
+    """(a, v, n): the length of the border of each polygon in ``of`` with those that hold a value."""
+    known = values.where(F.col("v").isNotNull()).select(F.col("a").alias("b"), "v")
+    return shared.join(of, "a").join(known, "b").groupBy("a", "v").agg(F.sum("length").alias("n"))
+
+
+def _filled(values: DataFrame, shared: DataFrame) -> DataFrame:
+    while True:
+        votes = _votes(shared, values.where(F.col("v").isNull()).select("a"), values)
+        groups = votes.groupBy("a").agg(F.array_sort(F.collect_list("v")).alias("g"))
+        sums = votes.join(groups, "a").groupBy("g", "v").agg(F.sum("n").alias("n"))
+        best = sums.groupBy("g").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v"))).alias("w"))
+        found = groups.join(best, "g").select("a", "w")
+        new = written(values.join(found, "a", "left").select("a", F.coalesce("v", "w").alias("v"), F.col("w").isNotNull().alias("new")), "fill")
+        values = new.select("a", "v")
+        if new.where("new").limit(1).count() == 0:
+            return values
+
+
+def _smoothed(values: DataFrame, shared: DataFrame, gaps: DataFrame) -> DataFrame:
+    """Polygons that were empty take, in the order of rows, the value with the longest border where that is longer.
+
+    One after the other means: neighbours before a row count with their new values, those after it with their old
+    ones. Only one assignment agrees with that, and it is found by repetition until nothing changes.
+    """
+    pairs = written(shared.join(gaps, "a"), "gaps")
+    old, now = values, values
+    while True:
+        before = pairs.where(F.col("b") < F.col("a")).join(now.withColumnRenamed("a", "b"), "b")
+        after = pairs.where(F.col("b") > F.col("a")).join(old.withColumnRenamed("a", "b"), "b")
+        votes = before.unionByName(after).where(F.col("v").isNotNull()).groupBy("a", "v").agg(F.sum("length").alias("n"))
+        mine = votes.join(old.select("a", F.col("v").alias("_old")), "a")
+        top = mine.groupBy("a").agg(F.min_by("v", F.struct(-F.col("n"), F.col("v") != F.col("_old"), F.col("v"))).alias("w"), F.count(F.lit(1)).alias("k")).where("k > 1").select("a", "w")
+        new = old.join(top, "a", "left").select("a", F.coalesce("w", "v").alias("v"))
+        new = written(new.join(now.withColumnRenamed("v", "_now"), "a").select("a", "v", (~F.col("v").eqNullSafe(F.col("_now"))).alias("new")), "smooth")
+        now = new.select("a", "v")
+        if new.where("new").limit(1).count() == 0:
+            return now
+
+
+def _largest_groups(values: DataFrame, shared: DataFrame, weights: DataFrame) -> DataFrame:
+    """Values only in the heaviest connected group of each, the first one where they weigh the same."""
+    from geolathe.operators.classify import components
+
+    held = values.where(F.col("v").isNotNull())
+    same = shared.select("a", "b").join(held, "a").join(held.select(F.col("a").alias("b"), F.col("v").alias("_w")), "b").where(F.col("v") == F.col("_w"))
+    link = F.concat_ws("-", F.least("a", "b"), F.greatest("a", "b"))
+    members = same.groupBy("a").agg(F.collect_list(link).alias("m"))
+    parts = components(held.select("a").join(members, "a", "left"), "a", "m")
+    sized = parts.join(held, "a").join(weights, "a").groupBy("v", "component").agg(F.sum("w").alias("w"))
+    best = sized.groupBy("v").agg(F.min_by("component", F.struct(-F.col("w"), F.col("component"))).alias("component"))
+    kept = parts.join(best.select("component"), "component", "left_semi").select("a", F.lit(True).alias("_kept"))
+    return written(values.join(kept, "a", "left").select("a", F.when(F.col("_kept"), F.col("v")).alias("v")), "fill")
+
+
 def coloured(layer: Layer, classes: int = 5) -> DataFrame:
     """(fid, class) such that neighbours differ where ``classes`` allow it: most constrained first.
 

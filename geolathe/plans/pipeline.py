@@ -570,6 +570,13 @@ def _points(p: Pipeline, x: Layer, c: Command) -> Layer:
     return PA.inner_point_layer(x) if c.flag("inner") else P.centroids(x)
 
 
+def _fuzzy_join(p: Pipeline, x: Layer, c: Command) -> Layer:
+    if c.flag("contiguous") or c.flag("postprocess"):
+        raise CommandError("-fuzzy-join contiguous isn't built: groups would be weighed by the number of joined points")
+    name = str(c.get("field"))
+    return TO.data_fill(J.fuzzy_join(x, p.source(str(c.get("source"))), name, c.flag("no-dropouts")), name)
+
+
 def _classify(p: Pipeline, x: Layer, c: Command) -> Layer:
     if c.flag("non-adjacent"):
         colours = c.list("colors")
@@ -783,9 +790,9 @@ PER_LAYER: dict[str, Callable] = {
     "filter-detail": lambda p, x, c: PA.filter_detail(x, c.number("distance") or 1.0),
     "buffer": _buffer,
     "rectangles": lambda p, x, c: P.rectangles(x, c.number("offset") or 0.0),
-    "data-fill": lambda p, x, c: TO.data_fill(x, str(c.get("field"))),
+    "data-fill": lambda p, x, c: TO.data_fill(x, str(c.get("field")), c.flag("contiguous") or c.flag("postprocess"), c.get("weight-field")),
     "cluster": lambda p, x, c: TO.cluster(x, c.number("pct"), c.number("max-width"), c.number("max-height"), c.number("max-area"), c.get("group-by")),
-    "fuzzy-join": lambda p, x, c: TO.data_fill(J.fuzzy_join(x, p.source(str(c.get("source"))), str(c.get("field")), c.flag("no-dropouts")), str(c.get("field"))),
+    "fuzzy-join": _fuzzy_join,
     "alpha-shapes": lambda p, x, c: TO.alpha_shapes(x, c.number("interval")),
     "proj": _proj,
     "rotate": _rotate,
