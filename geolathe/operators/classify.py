@@ -122,6 +122,8 @@ class Classifier:
     outer: tuple[float, float] | None = None
     precision: float | None = None
     invert: bool = False
+    #: (v, i): categories that aren't given but taken from the data, any number of them
+    numbered: DataFrame | None = None
 
     @property
     def classes(self) -> int:
@@ -210,6 +212,13 @@ def method_of(options: dict, kind: str) -> str:
     return "quantile" if kind == NUM else "categorical"
 
 
+def numbered(layer: Layer, name: str) -> DataFrame:
+    """(v, i): every value of a field as text, numbered from 0 in the order of first rows."""
+    shown = text(translator(layer).fields[name], "")
+    firsts = layer.df.where(shown != "").groupBy(shown.alias("v")).agg(F.min(FID).alias("_first"))
+    return with_fid(firsts.orderBy("_first").select("v"), shuffled=True).select("v", F.col(FID).cast("int").alias("i"))
+
+
 def classifier(layer: Layer, name: str, options: dict) -> Classifier:
     """A classifier from options named as in the command (classes, breaks, colors, values, stops, categories, ...)."""
     layer.need(name)
@@ -228,10 +237,10 @@ def classifier(layer: Layer, name: str, options: dict) -> Classifier:
         c.outer = tuple(sorted(float(v) for v in options["outer-breaks"]))  # type: ignore[assignment]
     if method == "categorical":
         cats = options.get("categories")
-        if not cats or cats == ["*"]:
-            shown = text(translator(layer).fields[name], "")
-            firsts = layer.df.where(shown != "").groupBy(shown.alias("v")).agg(F.min(FID).alias("i")).orderBy("i").limit(1000)
-            cats = [r["v"] for r in firsts.collect()]
+        if not cats or "*" in cats:
+            c.numbered = numbered(layer, name)
+            c.outputs = outputs or None
+            return c
         c.categories = [str(x) for x in cats]
         if outputs:
             c.outputs = [outputs[i % len(outputs)] for i in range(len(c.categories))]
@@ -280,6 +289,11 @@ def classify(layer: Layer, name: str, save_as: str | None = None, **options: obj
         r = values(layer, name).agg(F.min("v"), F.max("v")).first()
         low, high = (float(r[0]), float(r[1])) if r[0] is not None else (0.0, 1.0)
     shown = text(translator(layer).fields[name], "")
+    if c.numbered is not None:
+        i = F.col("_class")
+        got = F.get(F.array(*[F.lit(o) for o in c.outputs]), F.pmod(i, F.lit(len(c.outputs)))) if c.outputs else i
+        joined = salted_join(layer.df.withColumn("_shown", shown), c.numbered.select(F.col("v").alias("_shown"), F.col("i").alias("_class")), ["_shown"], F.col(FID))
+        return layer.with_df(joined.withColumn(target, F.when(i.isNull(), F.lit(c.null_value)).otherwise(got)).drop("_shown", "_class"))
     return layer.with_df(layer.df.withColumn(target, c.column(F.col(f"`{name}`"), low, high, shown)))
 
 
