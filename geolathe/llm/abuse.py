@@ -1,15 +1,17 @@
 """Scores for abusive, hateful or sexual language by compression distance.
 
-Two zstandard dictionaries are built, one from abusive and one from ordinary windows of labelled documents. A window of
+Two zstandard dictionaries are trained, one on abusive and one on ordinary windows of labelled documents. A window of
 a text that compresses shorter with the abusive one is nearer to abusive language; a document scores by its best
 windows, so one sentence in a long page is enough, and a threshold is calibrated on held-out labelled documents.
 
-Labels are per document, while abuse is a sentence in it, and some labels are wrong. So the abusive windows are picked
-in rounds: first by words that labelled documents hold far more often, then by the distance itself, where a window is
-judged by dictionaries built without its own document and must exceed what ordinary windows reach. Documents without a
-label then add windows found in the same way. Labelled and further documents used for fitting are bounded samples
-(``LABELLED``, ``FURTHER``); every document is scored, over the whole of its text, and the scale of scores and the
-rate that the threshold allows for are taken from all of them.
+Labels are per document, while abuse is a sentence in it, and some labels are wrong. So the abusive windows to train on
+are picked in rounds: first by words that labelled documents hold far more often (by the distance where there are
+none), then by the distance, where a window is judged by dictionaries trained without its own document and must
+exceed what ordinary windows reach. The
+labelled documents used for fitting are a bounded sample (``LABELLED`` rows, ``LEARNT_CHARS`` characters in all); the
+dictionaries, one pair of all of them and one without each fold, are trained in tasks of their own. Every document is
+scored, over the whole of its text, and the scale of scores and the rate that the threshold allows for are taken from
+all of them.
 """
 
 from __future__ import annotations
@@ -30,27 +32,29 @@ from pyspark.sql import functions as F
 from geolathe.plans.sampling import hashed_sample
 from geolathe.session import written
 
-#: Documents by raw score and characters (at most a window).
+#: Documents by raw score and class of length (binary orders of magnitude of the characters).
 Histogram = dict[tuple[float, int], int]
+#: Classes of length, and documents that a class needs for a middle of its own.
+CLASSES, COUNTED = 40, 30
 
-#: Labelled documents and documents without labels that the dictionaries are fitted on, at most (smallest hashes).
-LABELLED, FURTHER = 6_000, 3_000
-#: Longest text taken into these samples; longer ones are scored but not learnt from.
-LEARNT_CHARS = 20_000
+#: Labelled documents that the dictionaries are fitted on, at most (smallest hashes), and their characters in all.
+LABELLED, LEARNT_CHARS = 12_000, 50_000_000
 #: Window and step in characters.
-WINDOW, STEP = 64, 32
-#: Bytes of a dictionary, and the compression level, at which distances are measured.
-DICTIONARY_BYTES, LEVEL = 400_000, 12
+WINDOW, STEP = 40, 20
+#: Bytes of a dictionary, the length and step of the segments it's trained from, and the compression level.
+DICTIONARY_BYTES, SEGMENT, SPAN, LEVEL = 262_144, 32, 6, 3
+#: Windows that the ordinary dictionary is trained on, at most.
+TRAINED = 10_000
 #: How far out an abusive window must be: beyond the best window of this share of ordinary documents (the rest may be
-#: labelled wrong), which ``PROBED`` of them show, and at least so many bytes.
-QUANTILE, PROBED, FLOOR = 0.96, 500, 14.0
+#: labelled wrong), which ``PROBED`` labelled ones show.
+QUANTILE, PROBED = 0.96, 500
+#: Windows of an abusive document that are picked first.
+FIRST = 3
 #: Log odds of the telling words of an ordinary window beyond which its label is taken for wrong: it isn't learnt from.
 SUSPECT = 8.0
 FOLDS, ROUNDS = 3, 3
 #: Documents whose windows are compressed in one call.
 TOGETHER = 200
-#: Spreads from the middle that a score must have at least to be flagged, however few labels there are to calibrate on.
-LEAST = 4.0
 
 # Marks that stand for letters within words of badly read or veiled text.
 STAND_FOR = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "ſ": "s"})
@@ -77,10 +81,20 @@ def windows(text: str) -> list[bytes]:
     return [text[i : i + WINDOW].encode("utf-8", "replace") for i in range(0, max(1, len(text) - WINDOW + STEP), STEP)]
 
 
-def compressor(samples: list[bytes]):  # noqa: ANN201
+def dictionary(samples: list[bytes]) -> bytes:
+    """A dictionary trained on windows; of too few to train on, the windows themselves."""
     import zstandard
 
-    data = zstandard.ZstdCompressionDict(b"\n".join(samples)[-DICTIONARY_BYTES:] or b"\n" * 8, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=SEGMENT, d=SPAN).as_bytes()
+    except zstandard.ZstdError:
+        return b"\n".join(samples)[-DICTIONARY_BYTES:] or b"\n" * 8
+
+
+def compressor(trained: bytes):  # noqa: ANN201
+    import zstandard
+
+    data = zstandard.ZstdCompressionDict(trained)
     data.precompute_compress(level=LEVEL)
     return zstandard.ZstdCompressor(level=LEVEL, dict_data=data, write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -95,44 +109,60 @@ def distances(ordinary, abusive, parts: list[bytes]) -> np.ndarray:  # noqa: ANN
 
 def document_scores(ordinary, abusive, texts: list[str]) -> list[float]:  # noqa: ANN001
     """The scores of many texts, their windows compressed together."""
+    return scores_by([(ordinary, abusive)], texts)[0]
+
+
+def scores_by(pairs: list[tuple], texts: list[str]) -> list[list[float]]:
+    """The scores of many texts by each pair of compressors; windows are cut once."""
     parts = [windows(t) for t in texts]
-    ends = np.cumsum([len(p) for p in parts])
-    every = distances(ordinary, abusive, [w for p in parts for w in p])
-    return [document_score(d) for d in np.split(every, ends[:-1])] if parts else []
+    every, size = [w for p in parts for w in p], np.array([len(p) for p in parts])
+    return [best_of(distances(a, b, every), size) for a, b in pairs]
 
 
-def document_score(distance: np.ndarray) -> float:
-    """The best window, and half of the second best."""
-    if len(distance) < 2:
-        return float(distance[0]) if len(distance) else 0.0
-    top = np.partition(distance, len(distance) - 2)[-2:]
-    return float(top[1] + 0.5 * top[0])
+def best_of(distance: np.ndarray, size: np.ndarray) -> list[float]:
+    """The best window of each document, and half of the second best; ``size`` windows belong to each in turn."""
+    if not len(size):
+        return []
+    document = np.repeat(np.arange(len(size)), size)
+    order = np.lexsort((-distance, document))
+    first = np.cumsum(size) - size
+    top = distance[order]
+    return (top[first] + np.where(size > 1, 0.5 * top[np.minimum(first + 1, len(top) - 1)], 0.0)).tolist()
 
 
 @dataclass
-class Model:
-    """What is sent to the workers: windows of both dictionaries, and how raw scores are put on a common scale.
-
-    A score counts from the middle of what documents without a label reach, in units of their spread, so that the
-    threshold found with the dictionaries of the folds holds for those of the whole sample.
+class Scale:
+    """How raw scores are put on a common scale: the middle that documents of each class of length reach, and the
+    spread around it. The best of many windows lies higher than that of few, so long documents have a higher middle.
     """
 
-    ordinary: list[bytes]
-    abusive: list[bytes]
-    threshold: float
-    middle: float = 0.0
+    middles: list[float]
     spread: float = 1.0
+
+    def standing(self, score: float, length: int) -> float:
+        """A raw score of a document of some class of length, in units of the spread."""
+        return (score - self.middles[length]) / self.spread
+
+
+def length_class(chars: int) -> int:
+    return min(CLASSES - 1, max(1, chars).bit_length() - 1)
+
+
+@dataclass
+class Model:
+    """What is sent to the workers: both dictionaries, the threshold, and the scale of scores, so that the threshold
+    found with the dictionaries of the folds holds for those of the whole sample."""
+
+    ordinary: bytes
+    abusive: bytes
+    threshold: float
+    scale: Scale
     held_out_f1: float = 0.0
 
     def compressors(self) -> tuple:
         return compressor(self.ordinary), compressor(self.abusive)
 
 
-def standing(score: float, chars: int, middle: float, spread: float) -> float:
-    """A score in units of the spread. Of a text shorter than a window only the part of the middle is expected."""
-    return (score - middle * min(1.0, chars / WINDOW)) / spread
-
-
 def telling_words(abusive: list[str], ordinary: list[str]) -> dict[str, float]:
     """Words that abusive documents hold significantly more often (G test), with their log odds."""
     held, free = Counter(), Counter()
@@ -150,32 +180,33 @@ def telling_words(abusive: list[str], ordinary: list[str]) -> dict[str, float]:
     return out
 
 
-def learn(abusive: list[str], ordinary: list[str], others: list[list[bytes]]) -> tuple[list[bytes], list[bytes]]:
-    """Windows of the ordinary and of the abusive dictionary from texts that are, on the whole, labelled right."""
+def _without_each(parts: list[list[bytes]]) -> list:
+    """Compressors with dictionaries of the windows of all documents but those of each fold."""
+    return [compressor(dictionary([w for i, p in enumerate(parts) if i % FOLDS != k for w in p])) for k in range(FOLDS)]
+
+
+def learn(abusive: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
+    """The ordinary and the abusive dictionary from texts that are, on the whole, labelled right."""
     rng = random.Random(1)
     plain = [w for t in ordinary for w in windows(t)]
     rng.shuffle(plain)
     odds = telling_words(abusive, ordinary)
     weight = lambda w: sum(sorted((max(0.0, odds.get(t, 0.0) - 0.7) for t in set(WORD.findall(w.decode("utf-8", "replace")))), reverse=True)[:4])
-    wanted = max(1, DICTIONARY_BYTES // WINDOW)
-    share = list(itertools.islice((w for w in plain if weight(w) <= SUSPECT), wanted))
+    share = dictionary(list(itertools.islice((w for w in plain if weight(w) <= SUSPECT), TRAINED)))
     ordinary_c, probe = compressor(share), [windows(t) for t in ordinary[-PROBED:]]
     parts = [windows(t) for t in abusive]
-    picked = [[w for s, w in sorted(((weight(w), w) for w in p), reverse=True)[:3] if s > 1.5] for p in parts]
-    added: list[list[bytes]] = []
+    picked = [[w for s, w in sorted(((weight(w), w) for w in p), reverse=True)[:FIRST] if s > 1.5] for p in parts]
+    folds = _without_each(parts)
+    for i, p in enumerate(parts):
+        if not picked[i]:
+            picked[i] = [p[j] for j in np.argsort(-distances(ordinary_c, folds[i % FOLDS], p), kind="stable")[:FIRST]]
     for _ in range(ROUNDS - 1):
-        folds = [compressor([w for i, p in enumerate([*picked, *added]) if i % FOLDS != k for w in p]) for k in range(FOLDS)]
-        least = max(FLOOR, float(np.quantile([distances(ordinary_c, folds[0], p).max() for p in probe], QUANTILE)) if probe else FLOOR)
+        folds = _without_each(picked)
+        least = float(np.quantile([distances(ordinary_c, folds[i % FOLDS], p).max() for i, p in enumerate(probe)], QUANTILE)) if probe else 0.0
         # the distance may only pick windows with some telling word: what wrong labels brought in has none
         own = [[w for w, d in zip(p, distances(ordinary_c, folds[i % FOLDS], p)) if d > least and weight(w) > 1.0] for i, p in enumerate(parts)]
         picked = own if any(own) else picked
-        whole = compressor([w for p in picked for w in p])
-        added = []
-        for p in others:
-            d = distances(ordinary_c, whole, p)
-            if document_score(d) > 2 * least:
-                added.append([w for w, x in zip(p, d) if x > least and weight(w) > 1.0])
-    return share, [w for p in [*added, *picked] for w in p]
+    return share, dictionary([w for p in picked for w in p])
 
 
 def median_of(values: np.ndarray, counts: np.ndarray) -> float:
@@ -186,13 +217,20 @@ def median_of(values: np.ndarray, counts: np.ndarray) -> float:
     return float(values[order][low] + values[order][high]) / 2
 
 
-def scale(seen: Histogram) -> tuple[float, float]:
-    """Middle and spread (median, and median distance from it) of the raw scores that were counted."""
+def scale(seen: Histogram) -> Scale:
+    """Middle (median) of each class of length and spread (median distance from it) of the raw scores counted.
+
+    Classes with few documents get what lies between their neighbours, those beyond the longest its middle: there, one
+    sentence must still stand out, though ordinary text of such length reaches more by chance.
+    """
     if not seen:
-        return 0.0, 1.0
-    raw, counts = np.array([r for r, _ in seen], dtype=float), np.array(list(seen.values()), dtype=np.int64)
-    middle = median_of(raw, counts)
-    return middle, max(1.0, median_of(np.abs(raw - middle), counts))
+        return Scale([0.0] * CLASSES)
+    raw, length, counts = np.array([r for r, _ in seen], dtype=float), np.array([c for _, c in seen]), np.array(list(seen.values()), dtype=np.int64)
+    held = np.bincount(length, counts, CLASSES)
+    known = np.flatnonzero(held >= min(COUNTED, held.max()))
+    middle = np.array([median_of(raw[length == c], counts[length == c]) for c in known])
+    middles = np.interp(np.arange(CLASSES), known, middle)
+    return Scale(middles.tolist(), max(1.0, median_of(np.abs(raw - middles[length]), counts)))
 
 
 def threshold_of(scores: np.ndarray, labels: np.ndarray, ordinary_weight: float = 1.0) -> tuple[float, float]:
@@ -215,7 +253,7 @@ def threshold_of(scores: np.ndarray, labels: np.ndarray, ordinary_weight: float
 class Learnt:
     """Dictionaries (ordinary, abusive): of all labelled texts, then of each fold; and what they say of held-out texts."""
 
-    pairs: list[tuple[list[bytes], list[bytes]]]
+    pairs: list[tuple[bytes, bytes]]
     held: np.ndarray
     chars: np.ndarray
     labels: np.ndarray
@@ -225,46 +263,74 @@ class Learnt:
         return [(compressor(a), compressor(b)) for a, b in self.pairs]
 
 
-def learnt(labelled: list[tuple[str, bool]], further: list[str], copies: list[int] | None = None) -> Learnt:
-    """Dictionaries from all labelled texts and from all but a fold, and raw scores of the fold that was left out.
+def lesson(labelled: list[tuple[str, bool]], k: int) -> tuple[bytes, bytes, list[float]]:
+    """Dictionaries from all labelled texts (``k`` 0) or all but fold ``k``, and the raw scores of that fold's texts."""
+    rest = [x for i, x in enumerate(labelled) if not k or i % FOLDS != k - 1]
+    ordinary, abusive = learn([t for t, v in rest if v], [t for t, v in rest if not v])
+    held = document_scores(compressor(ordinary), compressor(abusive), [t for t, _ in labelled[k - 1 :: FOLDS]]) if k else []
+    return ordinary, abusive, held
 
-    ``copies``: documents that each labelled text stands for.
-    """
-    y = np.array([v for _, v in labelled], dtype=bool)
-    others = [windows(t) for t in further]
+
+def gathered(labelled: list[tuple[str, bool]], lessons: list[tuple[bytes, bytes, list[float]]], copies: list[int] | None = None) -> Learnt:
+    """The outcome of all lessons. ``copies``: documents that each labelled text stands for."""
     held = np.zeros(len(labelled))
-    pairs = [learn([t for t, v in labelled if v], [t for t, v in labelled if not v], others)]
-    for k in range(FOLDS) if y.any() else []:
-        rest = [x for i, x in enumerate(labelled) if i % FOLDS != k]
-        pairs.append(learn([t for t, v in rest if v], [t for t, v in rest if not v], others[k::FOLDS]))
-        a, b = map(compressor, pairs[-1])
-        for i in range(k, len(labelled), FOLDS):
-            held[i] = document_score(distances(a, b, windows(labelled[i][0])))
-    return Learnt(pairs, held, np.array([len(t) for t, _ in labelled]), y, np.array(copies or [1] * len(labelled)))
+    for k, (_, _, scores) in enumerate(lessons[1:]):
+        held[k::FOLDS] = scores
+    return Learnt([(a, b) for a, b, _ in lessons], held, np.array([len(t) for t, _ in labelled]), np.array([v for _, v in labelled], dtype=bool), np.array(copies or [1] * len(labelled)))
+
+
+def _lessons(labelled: list[tuple[str, bool]]) -> int:
+    return 1 + (FOLDS if any(v for _, v in labelled) else 0)
+
+
+def share_above(seen: Histogram, by: Scale, threshold: float) -> float:
+    """The share of the counted documents that stand above the threshold."""
+    return sum(n for (r, c), n in seen.items() if by.standing(r, c) > threshold) / max(1, sum(seen.values()))
+
+
+def threshold_at(seen: Histogram, by: Scale, share: float) -> float:
+    """The least threshold above which at most that share of the counted documents stands, halfway to the next score."""
+    total, above, last = sum(seen.values()), 0, None
+    by_score: Counter = Counter()
+    for (r, c), n in seen.items():
+        by_score[by.standing(r, c)] += n
+    for s in sorted(by_score, reverse=True):
+        if above + by_score[s] > share * total + 1e-9:
+            return s if last is None else (s + last) / 2
+        above, last = above + by_score[s], s
+    return float("-inf")
 
 
 def calibrated(found: Learnt, seen: list[Histogram]) -> Model:
     """Scale and threshold from the raw scores of all documents by each pair of dictionaries.
 
-    ``seen`` leaves out the labelled texts, as their own windows are in the dictionaries; they count for the corpus
-    rate by their held-out scores. Without a single abusive label nothing can be learnt, and nothing will be flagged.
+    ``seen`` leaves out the labelled texts, as their own windows are in the dictionaries. The threshold is the one with
+    the best F1 for held-out texts, at the rate of abuse that the corpus has rather than the labels: that rate follows
+    from how many documents the dictionaries of the folds flag, and how many held-out ones rightly and wrongly. The
+    final dictionaries then flag the same share of all documents as those of the folds do at that threshold. Without
+    a single abusive label nothing can be learnt, and nothing will be flagged.
     """
     y = found.labels
     scales = [scale(h) for h in seen]
-    scores = np.array([standing(s, c, *scales[1 + i % FOLDS]) for i, (s, c) in enumerate(zip(found.held, found.chars))]) if y.any() else found.held
+    if not y.any():
+        return Model(*found.pairs[0], float("inf"), scales[0])
+    scores = np.array([scales[1 + i % FOLDS].standing(s, length_class(c)) for i, (s, c) in enumerate(zip(found.held, found.chars.tolist()))])
     threshold, f1 = threshold_of(scores, y)
-    middle, spread = scales[0]
-    if seen[0] and y.any():  # labels were given to abusive documents more often than the corpus holds them
-        over = sum(n for (r, c), n in seen[0].items() if standing(r, c, middle, spread) > threshold) + found.copies[scores > threshold].sum()
-        rate, held = max(float(over / (sum(seen[0].values()) + found.copies.sum())), 0.005), float(y.mean())
-        threshold, _ = threshold_of(scores, y, max(1.0, (1 - rate) / rate * held / (1 - held)) if held < 1 else 1.0)
-    return Model(*found.pairs[0], max(threshold, LEAST), middle, spread, f1)
+    if not seen[0]:
+        return Model(*found.pairs[0], threshold, scales[0], f1)
+    flagged = lambda t: float(np.mean([share_above(h, x, t) for h, x in zip(seen[1:], scales[1:])]))
+    right, wrong = float((scores[y] > threshold).mean()), float((scores[~y] > threshold).mean()) if not y.all() else 0.0
+    held = float(y.mean())
+    rate = min(held, max(1 / sum(seen[0].values()), (flagged(threshold) - wrong) / max(right - wrong, 1e-9)))
+    if held < 1:  # labels were given to abusive documents more often than the corpus holds them
+        threshold, _ = threshold_of(scores, y, (1 - rate) / rate * held / (1 - held))
+    return Model(*found.pairs[0], threshold_at(seen[0], scales[0], flagged(threshold)), scales[0], f1)
 
 
 def fit(labelled: list[tuple[str, bool]], further: list[str]) -> Model:
     """The model where the labelled texts and ``further`` are all documents there are."""
-    found = learnt(labelled, further)
-    seen = [Counter(zip(document_scores(a, b, further), (min(len(t), WINDOW) for t in further))) for a, b in found.scorers()]
+    found = gathered(labelled, [lesson(labelled, k) for k in range(_lessons(labelled))])
+    seen = [Counter(zip(document_scores(a, b, further), (length_class(len(t)) for t in further))) for a, b in found.scorers()]
     return calibrated(found, seen)
 
 
@@ -275,20 +341,37 @@ def majority(labels: DataFrame, id_col: str, label: str) -> DataFrame:
 
 
 def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, columns: Column | None = None, label: str = "toxic") -> tuple[Learnt, set]:
-    """What is learnt from bounded samples of labelled and further documents, and the ids of the labelled ones."""
-    df = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), (columns if columns is not None else F.lit(None).cast("array<int>")).alias("c"))
-    df = df.where((F.length("t") > 0) & (F.length("t") <= LEARNT_CHARS))
+    """What is learnt from a bounded sample of labelled documents, and the ids of those documents.
+
+    Documents are taken by hash up to ``LABELLED`` of them and ``LEARNT_CHARS`` characters in all, so a text of any
+    length may be among them. Each pair of dictionaries is trained by a task of its own.
+    """
+    df = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), (columns if columns is not None else F.lit(None).cast("array<int>")).alias("c")).where(F.length("t") > 0)
     said = majority(labels, id_col, label).withColumnRenamed(id_col, "id")
     known = hashed_sample(said, ["id"], LABELLED, said.count())
-    rows = df.join(F.broadcast(known), "id").collect()
-    others = hashed_sample(df.join(F.broadcast(known.select("id")), "id", "left_anti"), ["id"], FURTHER, docs.count()).collect() if rows else []
+    sizes = df.join(F.broadcast(known), "id").select("id", F.xxhash64("id").alias("h"), F.length("t").alias("n"), "_abusive").collect()
+    taken, chars = [], 0
+    for r in sorted(sizes, key=lambda r: r["h"]):
+        if chars + r["n"] <= LEARNT_CHARS:
+            taken.append((r["id"], r["_abusive"]))
+            chars += r["n"]
+    spark = docs.sparkSession
+    few = spark.createDataFrame(taken, known.select("id", "_abusive").schema)
     votes: dict[str, list[tuple]] = {}
-    for r in sorted(rows, key=lambda r: r["id"]):
+    for r in sorted(df.join(F.broadcast(few), "id").collect() if taken else [], key=lambda r: r["id"]):
         votes.setdefault(normal(r["t"], r["c"]), []).append((r["id"], r["_abusive"]))
     labelled = [(t, sum(a for _, a in v) * 2 > len(v)) for t, v in votes.items() if t and sum(a for _, a in v) * 2 != len(v)]
     random.Random(3).shuffle(labelled)
-    further = list(dict.fromkeys(normal(r["t"], r["c"]) for r in sorted(others, key=lambda r: r["id"])))
-    found = learnt(labelled, [t for t in further if t], [len(votes[t]) for t, _ in labelled])
+    n = _lessons(labelled)
+    sent = spark.sparkContext.broadcast(labelled)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            done = [lesson(sent.value, k) for k in b.column("id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary()), pa.array([d[2] for d in done], pa.list_(pa.float64()))], ["id", "a", "b", "held"])
+
+    rows = spark.range(0, n, 1, n).mapInArrow(run, "id bigint, a binary, b binary, held array<double>").collect()
+    found = gathered(labelled, [(bytes(r["a"]), bytes(r["b"]), r["held"]) for r in sorted(rows, key=lambda r: r["id"])], [len(votes[t]) for t, _ in labelled])
     return found, {i for t, _ in labelled for i, _ in votes[t]}
 
 
@@ -307,7 +390,7 @@ def raw_scores(docs: DataFrame, id_col: str, keep: list[str], text: str, found:
             full = [i for i, t in enumerate(texts) if t]
             for at in range(0, len(full), TOGETHER):
                 some = full[at : at + TOGETHER]
-                for i, s in zip(some, zip(*[document_scores(*m, [texts[i] for i in some]) for m in made])):
+                for i, s in zip(some, zip(*scores_by(made, [texts[i] for i in some]))):
                     raw[i] = list(s)
             ids = [i in mine for i in b.column("_id").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(raw, pa.list_(pa.float64())), pa.array(map(len, texts), pa.int32()), pa.array(ids, pa.bool_())], [*keep, "_raw", "_chars", "_own"])
@@ -316,12 +399,16 @@ def raw_scores(docs: DataFrame, id_col: str, keep: list[str], text: str, found:
     return docs.select(*keep, F.col(id_col).alias("_id"), F.col(text).alias("_text"), cols.alias("_columns")).mapInArrow(run, ddl)
 
 
+def _class() -> Column:
+    return F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(F.lit(1), "_chars")))).cast("int")
+
+
 def histograms(raw: DataFrame, pairs: int) -> list[Histogram]:
-    """How many documents have a raw score and (up to a window) so many characters, for each pair of dictionaries.
+    """How many documents have a raw score and a class of length, for each pair of dictionaries.
 
     Scores are halves of bytes that a few windows differ by, so the lines are few however many documents there are.
     """
-    each = raw.where(F.col("_raw").isNotNull() & ~F.col("_own")).select(F.posexplode("_raw").alias("k", "r"), F.least("_chars", F.lit(WINDOW)).alias("c"))
+    each = raw.where(F.col("_raw").isNotNull() & ~F.col("_own")).select(F.posexplode("_raw").alias("k", "r"), _class().alias("c"))
     out: list[Histogram] = [Counter() for _ in range(pairs)]
     for x in each.groupBy("k", "r", "c").agg(F.count(F.lit(1)).alias("n")).collect():
         out[x["k"]][x["r"], x["c"]] = x["n"]
@@ -332,7 +419,7 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str, keep: list[str], tex
     """``scored`` with the model for the corpus, from one pass over its documents: raw scores are written once, scale
     and threshold come from all of them."""
     model, raw = _modelled(docs, labels, id_col, keep, text, columns, "toxic")
-    score = (F.col("_raw")[0] - F.lit(model.middle) * F.least(F.lit(1.0), F.col("_chars") / WINDOW)) / F.lit(model.spread)
+    score = (F.col("_raw")[0] - F.get(F.array(*map(F.lit, model.scale.middles)), _class())) / F.lit(model.scale.spread)
     return raw.select(*keep, score.alias("score")).withColumn("flagged", F.coalesce(F.col("score") > F.lit(model.threshold), F.lit(False)))
 
 
@@ -366,7 +453,7 @@ def scored(docs: DataFrame, keep: list[str], text: str, model: Model, columns: C
             for at in range(0, len(full), TOGETHER):
                 some = full[at : at + TOGETHER]
                 for i, s in zip(some, document_scores(ordinary, abusive, [texts[i] for i in some])):
-                    score[i] = standing(s, len(texts[i]), m.middle, m.spread)
+                    score[i] = m.scale.standing(s, length_class(len(texts[i])))
             flagged = [s is not None and s > m.threshold for s in score]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(score, pa.float64()), pa.array(flagged, pa.bool_())], [*keep, "score", "flagged"])
 

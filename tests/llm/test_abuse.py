@@ -35,7 +35,7 @@ def test_held_out_accuracy(model):
     wrong = 0
     for i in range(300):
         t = page(i % 4 == 0, rng)
-        s = A.standing(A.document_score(A.distances(a, b, A.windows(t))), len(t), model.middle, model.spread)
+        s = model.scale.standing(A.document_scores(a, b, [t])[0], A.length_class(len(t)))
         wrong += (s > model.threshold) != (i % 4 == 0)
     assert wrong <= 6
 
@@ -76,10 +76,9 @@ def test_labels_and_no_labels(spark):
     assert [r["flagged"] for r in A.scored(docs, ["doc_id"], "text", m).collect()] == [False]
 
 
-def test_scale_and_rate_cover_all_documents(spark, monkeypatch):
+def test_scale_and_rate_cover_all_documents(spark):
     import numpy as np
 
-    monkeypatch.setattr(A, "FURTHER", 20)
     rng = random.Random(6)
     texts = [page(i % 8 == 0, rng) for i in range(160)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
@@ -88,7 +87,10 @@ def test_scale_and_rate_cover_all_documents(spark, monkeypatch):
     assert own == set(range(80))
     m = A.fitted(docs, labels, "doc_id", "text")
     raw = np.array(A.document_scores(*m.compressors(), texts[80:]))
-    assert m.middle == np.median(raw) and m.spread == max(1.0, np.median(np.abs(raw - np.median(raw))))
+    classes = np.array([A.length_class(len(t)) for t in texts[80:]])
+    most = np.bincount(classes).argmax()
+    assert m.scale.middles[most] == np.median(raw[classes == most])
+    assert m.scale.spread == max(1.0, np.median(np.abs(raw - np.array(m.scale.middles)[classes])))
     got = {r["doc_id"]: (r["score"], r["flagged"]) for r in A.judged(docs, labels, "doc_id", ["doc_id"], "text").collect()}
     want = {r["doc_id"]: (r["score"], r["flagged"]) for r in A.scored(docs, ["doc_id"], "text", m).collect()}
     assert {i: f for i, (_, f) in got.items()} == {i: f for i, (_, f) in want.items()}
