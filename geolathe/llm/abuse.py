@@ -8,10 +8,10 @@ Labels are per document, while abuse is a sentence in it, and some labels are wr
 are picked in rounds: first by words that labelled documents hold far more often (by the distance where there are
 none), then by the distance, where a window is judged by dictionaries trained without its own document and must
 exceed what ordinary windows reach. The
-labelled documents used for fitting are a bounded sample (``LABELLED`` rows, ``LEARNT_CHARS`` characters in all); the
-dictionaries, one pair of all of them and one without each fold, are trained in tasks of their own. Every document is
-scored, over the whole of its text, and the scale of scores and the rate that the threshold allows for are taken from
-all of them.
+labelled documents used for fitting are a bounded sample (``LABELLED`` rows, ``LEARNT_CHARS`` characters in all). A
+pair of dictionaries is trained without each of its folds, in tasks of their own, and the mean over the pairs is the
+score. Every document is scored, over the whole of its text, and the scale of scores and the rate that the threshold
+allows for are taken from all of them.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -150,17 +151,20 @@ def length_class(chars: int) -> int:
 
 @dataclass
 class Model:
-    """What is sent to the workers: both dictionaries, the threshold, and the scale of scores, so that the threshold
-    found with the dictionaries of the folds holds for those of the whole sample."""
+    """What is sent to the workers: the dictionaries (ordinary, abusive) of each fold, the scale of each pair's scores,
+    and the threshold of the mean over the pairs."""
 
-    ordinary: bytes
-    abusive: bytes
+    pairs: list[tuple[bytes, bytes]]
+    scales: list[Scale]
     threshold: float
-    scale: Scale
     held_out_f1: float = 0.0
 
-    def compressors(self) -> tuple:
-        return compressor(self.ordinary), compressor(self.abusive)
+    def compressors(self) -> list[tuple]:
+        return [(compressor(a), compressor(b)) for a, b in self.pairs]
+
+    def score(self, raw: list[float], length: int) -> float:
+        """How far the mean standing is above the threshold, in spreads."""
+        return sum(x.standing(r, length) for x, r in zip(self.scales, raw)) / len(raw) - self.threshold
 
 
 def telling_words(abusive: list[str], ordinary: list[str]) -> dict[str, float]:
@@ -251,36 +255,27 @@ def threshold_of(scores: np.ndarray, labels: np.ndarray, ordinary_weight: float
 
 @dataclass
 class Learnt:
-    """Dictionaries (ordinary, abusive): of all labelled texts, then of each fold; and what they say of held-out texts."""
+    """Dictionaries (ordinary, abusive) without each fold, and what each pair says of the texts of its own fold."""
 
     pairs: list[tuple[bytes, bytes]]
     held: np.ndarray
     chars: np.ndarray
     labels: np.ndarray
-    copies: np.ndarray
-
-    def scorers(self) -> list[tuple]:
-        return [(compressor(a), compressor(b)) for a, b in self.pairs]
 
 
 def lesson(labelled: list[tuple[str, bool]], k: int) -> tuple[bytes, bytes, list[float]]:
-    """Dictionaries from all labelled texts (``k`` 0) or all but fold ``k``, and the raw scores of that fold's texts."""
-    rest = [x for i, x in enumerate(labelled) if not k or i % FOLDS != k - 1]
+    """Dictionaries from all labelled texts but those of fold ``k``, and the raw scores of these."""
+    rest = [x for i, x in enumerate(labelled) if i % FOLDS != k]
     ordinary, abusive = learn([t for t, v in rest if v], [t for t, v in rest if not v])
-    held = document_scores(compressor(ordinary), compressor(abusive), [t for t, _ in labelled[k - 1 :: FOLDS]]) if k else []
-    return ordinary, abusive, held
+    return ordinary, abusive, document_scores(compressor(ordinary), compressor(abusive), [t for t, _ in labelled[k::FOLDS]])
 
 
-def gathered(labelled: list[tuple[str, bool]], lessons: list[tuple[bytes, bytes, list[float]]], copies: list[int] | None = None) -> Learnt:
-    """The outcome of all lessons. ``copies``: documents that each labelled text stands for."""
-    held = np.zeros(len(labelled))
-    for k, (_, _, scores) in enumerate(lessons[1:]):
+def gathered(lessons: list[tuple[bytes, bytes, list[float]]], chars: list[int], labels: list[bool]) -> Learnt:
+    """The outcome of the lessons of all folds."""
+    held = np.zeros(len(labels))
+    for k, (_, _, scores) in enumerate(lessons):
         held[k::FOLDS] = scores
-    return Learnt([(a, b) for a, b, _ in lessons], held, np.array([len(t) for t, _ in labelled]), np.array([v for _, v in labelled], dtype=bool), np.array(copies or [1] * len(labelled)))
-
-
-def _lessons(labelled: list[tuple[str, bool]]) -> int:
-    return 1 + (FOLDS if any(v for _, v in labelled) else 0)
+    return Learnt([(a, b) for a, b, _ in lessons], held, np.array(chars), np.array(labels, dtype=bool))
 
 
 def share_above(seen: Histogram, by: Scale, threshold: float) -> float:
@@ -288,50 +283,51 @@ def share_above(seen: Histogram, by: Scale, threshold: float) -> float:
     return sum(n for (r, c), n in seen.items() if by.standing(r, c) > threshold) / max(1, sum(seen.values()))
 
 
-def threshold_at(seen: Histogram, by: Scale, share: float) -> float:
-    """The least threshold above which at most that share of the counted documents stands, halfway to the next score."""
-    total, above, last = sum(seen.values()), 0, None
-    by_score: Counter = Counter()
-    for (r, c), n in seen.items():
-        by_score[by.standing(r, c)] += n
-    for s in sorted(by_score, reverse=True):
-        if above + by_score[s] > share * total + 1e-9:
+def threshold_at(scores: Counter, share: float) -> float:
+    """The least threshold above which at most that share of the counted scores lies, halfway to the next score."""
+    total, above, last = sum(scores.values()), 0, None
+    for s in sorted(scores, reverse=True):
+        if above + scores[s] > share * total + 1e-9:
             return s if last is None else (s + last) / 2
-        above, last = above + by_score[s], s
+        above, last = above + scores[s], s
     return float("-inf")
 
 
-def calibrated(found: Learnt, seen: list[Histogram]) -> Model:
-    """Scale and threshold from the raw scores of all documents by each pair of dictionaries.
+def held_threshold(found: Learnt, seen: list[Histogram], scales: list[Scale]) -> tuple[float, float, float]:
+    """The threshold of a single pair's standing, the share of all documents above it, and F1 on held-out texts.
 
-    ``seen`` leaves out the labelled texts, as their own windows are in the dictionaries. The threshold is the one with
-    the best F1 for held-out texts, at the rate of abuse that the corpus has rather than the labels: that rate follows
-    from how many documents the dictionaries of the folds flag, and how many held-out ones rightly and wrongly. The
-    final dictionaries then flag the same share of all documents as those of the folds do at that threshold. Without
+    It is the one with the best F1 for held-out texts at the rate of abuse that the corpus has rather than the labels:
+    that rate follows from how many documents the pairs flag, and how many held-out ones rightly and wrongly. Without
     a single abusive label nothing can be learnt, and nothing will be flagged.
     """
     y = found.labels
-    scales = [scale(h) for h in seen]
     if not y.any():
-        return Model(*found.pairs[0], float("inf"), scales[0])
-    scores = np.array([scales[1 + i % FOLDS].standing(s, length_class(c)) for i, (s, c) in enumerate(zip(found.held, found.chars.tolist()))])
+        return float("inf"), 0.0, 0.0
+    scores = np.array([scales[i % FOLDS].standing(s, length_class(c)) for i, (s, c) in enumerate(zip(found.held, found.chars.tolist()))])
     threshold, f1 = threshold_of(scores, y)
-    if not seen[0]:
-        return Model(*found.pairs[0], threshold, scales[0], f1)
-    flagged = lambda t: float(np.mean([share_above(h, x, t) for h, x in zip(seen[1:], scales[1:])]))
-    right, wrong = float((scores[y] > threshold).mean()), float((scores[~y] > threshold).mean()) if not y.all() else 0.0
+    flagged = lambda t: float(np.mean([share_above(h, x, t) for h, x in zip(seen, scales)]))
     held = float(y.mean())
-    rate = min(held, max(1 / sum(seen[0].values()), (flagged(threshold) - wrong) / max(right - wrong, 1e-9)))
-    if held < 1:  # labels were given to abusive documents more often than the corpus holds them
+    if seen[0] and held < 1:  # labels were given to abusive documents more often than the corpus holds them
+        right, wrong = float((scores[y] > threshold).mean()), float((scores[~y] > threshold).mean())
+        rate = min(held, max(1 / sum(seen[0].values()), (flagged(threshold) - wrong) / max(right - wrong, 1e-9)))
         threshold, _ = threshold_of(scores, y, (1 - rate) / rate * held / (1 - held))
-    return Model(*found.pairs[0], threshold_at(seen[0], scales[0], flagged(threshold)), scales[0], f1)
+    return threshold, flagged(threshold), f1
 
 
 def fit(labelled: list[tuple[str, bool]], further: list[str]) -> Model:
     """The model where the labelled texts and ``further`` are all documents there are."""
-    found = gathered(labelled, [lesson(labelled, k) for k in range(_lessons(labelled))])
-    seen = [Counter(zip(document_scores(a, b, further), (length_class(len(t)) for t in further))) for a, b in found.scorers()]
-    return calibrated(found, seen)
+    found = gathered([lesson(labelled, k) for k in range(FOLDS)], [len(t) for t, _ in labelled], [v for _, v in labelled])
+    lengths = [length_class(len(t)) for t in further]
+    raw = scores_by([(compressor(a), compressor(b)) for a, b in found.pairs], further)
+    seen = [Counter(zip(r, lengths)) for r in raw]
+    scales = [scale(h) for h in seen]
+    single, share, f1 = held_threshold(found, seen, scales)
+    model = Model(found.pairs, scales, 0.0, f1)
+    if further and single < float("inf"):
+        model.threshold = threshold_at(Counter(round(model.score(list(r), c), 2) for r, c in zip(zip(*raw), lengths)), share)
+    else:
+        model.threshold = single
+    return model
 
 
 def majority(labels: DataFrame, id_col: str, label: str) -> DataFrame:
@@ -344,35 +340,41 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, columns:
     """What is learnt from a bounded sample of labelled documents, and the ids of those documents.
 
     Documents are taken by hash up to ``LABELLED`` of them and ``LEARNT_CHARS`` characters in all, so a text of any
-    length may be among them. Each pair of dictionaries is trained by a task of its own.
+    length may be among them. Equal texts are one, with what most of them are labelled; each fold is a task that gets
+    the sample and hands back its dictionaries.
     """
     df = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), (columns if columns is not None else F.lit(None).cast("array<int>")).alias("c")).where(F.length("t") > 0)
     said = majority(labels, id_col, label).withColumnRenamed(id_col, "id")
     known = hashed_sample(said, ["id"], LABELLED, said.count())
-    sizes = df.join(F.broadcast(known), "id").select("id", F.xxhash64("id").alias("h"), F.length("t").alias("n"), "_abusive").collect()
+    sizes = df.join(F.broadcast(known), "id").select("id", F.xxhash64("id").alias("h"), F.length("t").alias("n")).collect()
     taken, chars = [], 0
     for r in sorted(sizes, key=lambda r: r["h"]):
         if chars + r["n"] <= LEARNT_CHARS:
-            taken.append((r["id"], r["_abusive"]))
+            taken.append((r["id"],))
             chars += r["n"]
-    spark = docs.sparkSession
-    few = spark.createDataFrame(taken, known.select("id", "_abusive").schema)
-    votes: dict[str, list[tuple]] = {}
-    for r in sorted(df.join(F.broadcast(few), "id").collect() if taken else [], key=lambda r: r["id"]):
-        votes.setdefault(normal(r["t"], r["c"]), []).append((r["id"], r["_abusive"]))
-    labelled = [(t, sum(a for _, a in v) * 2 > len(v)) for t, v in votes.items() if t and sum(a for _, a in v) * 2 != len(v)]
-    random.Random(3).shuffle(labelled)
-    n = _lessons(labelled)
-    sent = spark.sparkContext.broadcast(labelled)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            done = [lesson(sent.value, k) for k in b.column("id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary()), pa.array([d[2] for d in done], pa.list_(pa.float64()))], ["id", "a", "b", "held"])
-
-    rows = spark.range(0, n, 1, n).mapInArrow(run, "id bigint, a binary, b binary, held array<double>").collect()
-    found = gathered(labelled, [(bytes(r["a"]), bytes(r["b"]), r["held"]) for r in sorted(rows, key=lambda r: r["id"])], [len(votes[t]) for t, _ in labelled])
-    return found, {i for t, _ in labelled for i, _ in votes[t]}
+    few = F.broadcast(docs.sparkSession.createDataFrame(taken, known.select("id").schema))
+    rows = df.join(few, "id").join(F.broadcast(known), "id").withColumn("k", F.explode(F.array(*map(F.lit, range(FOLDS)))))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        votes: dict[str, list[tuple]] = {}
+        for i, t, c, a in pdf.sort_values("id")[["id", "t", "c", "_abusive"]].itertuples(index=False):
+            votes.setdefault(normal(t, None if c is None else list(c)), []).append((i, a))
+        labelled = [(t, sum(a for _, a in v) * 2 > len(v)) for t, v in votes.items() if t and sum(a for _, a in v) * 2 != len(v)]
+        random.Random(3).shuffle(labelled)
+        k = int(pdf["k"].iloc[0])
+        own = labelled[k::FOLDS]
+        ordinary, abusive, held = lesson(labelled, k)
+        return pd.DataFrame([{"k": k, "a": ordinary, "b": abusive, "held": held, "chars": [len(t) for t, _ in own], "labels": [v for _, v in own], "ids": [[i for i, _ in votes[t]] for t, _ in own]}])
+
+    kind = df.schema["id"].dataType.simpleString()
+    done = rows.groupBy("k").applyInPandas(run, f"k int, a binary, b binary, held array<double>, chars array<int>, labels array<boolean>, ids array<array<{kind}>>").orderBy("k").collect()
+    if not done:
+        return Learnt([(b"\n" * 8, b"\n" * 8)] * FOLDS, np.zeros(0), np.zeros(0, dtype=int), np.zeros(0, dtype=bool)), set()
+    n = sum(len(r["held"]) for r in done)
+    chars_, labels_ = [0] * n, [False] * n
+    for k, r in enumerate(done):
+        chars_[k::FOLDS], labels_[k::FOLDS] = r["chars"], r["labels"]
+    return gathered([(bytes(r["a"]), bytes(r["b"]), r["held"]) for r in done], chars_, labels_), {i for r in done for ids in r["ids"] for i in ids}
 
 
 def raw_scores(docs: DataFrame, id_col: str, keep: list[str], text: str, found: Learnt, own: set, columns: Column | None = None) -> DataFrame:
@@ -386,19 +388,24 @@ def raw_scores(docs: DataFrame, id_col: str, keep: list[str], text: str, found:
         made = [(compressor(a), compressor(b)) for a, b in pairs]
         for b in batches:
             texts = [normal(t, c) if t else "" for t, c in zip(b.column("_text").to_pylist(), b.column("_columns").to_pylist())]
-            raw: list[list[float] | None] = [None] * len(texts)
-            full = [i for i, t in enumerate(texts) if t]
-            for at in range(0, len(full), TOGETHER):
-                some = full[at : at + TOGETHER]
-                for i, s in zip(some, zip(*scores_by(made, [texts[i] for i in some]))):
-                    raw[i] = list(s)
-            ids = [i in mine for i in b.column("_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(raw, pa.list_(pa.float64())), pa.array(map(len, texts), pa.int32()), pa.array(ids, pa.bool_())], [*keep, "_raw", "_chars", "_own"])
+            own_ = [i in mine for i in b.column("_id").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(_raw(made, texts), pa.list_(pa.float64())), pa.array(map(len, texts), pa.int32()), pa.array(own_, pa.bool_())], [*keep, "_raw", "_chars", "_own"])
 
     cols = columns if columns is not None else F.lit(None).cast("array<int>")
     return docs.select(*keep, F.col(id_col).alias("_id"), F.col(text).alias("_text"), cols.alias("_columns")).mapInArrow(run, ddl)
 
 
+def _raw(pairs: list[tuple], texts: list[str]) -> list[list[float] | None]:
+    """Raw scores of texts by each pair, null for empty ones."""
+    raw: list[list[float] | None] = [None] * len(texts)
+    full = [i for i, t in enumerate(texts) if t]
+    for at in range(0, len(full), TOGETHER):
+        some = full[at : at + TOGETHER]
+        for i, s in zip(some, zip(*scores_by(pairs, [texts[i] for i in some]))):
+            raw[i] = list(s)
+    return raw
+
+
 def _class() -> Column:
     return F.least(F.lit(CLASSES - 1), F.floor(F.log2(F.greatest(F.lit(1), "_chars")))).cast("int")
 
@@ -415,27 +422,40 @@ def histograms(raw: DataFrame, pairs: int) -> list[Histogram]:
     return out
 
 
-def judged(docs: DataFrame, labels: DataFrame, id_col: str, keep: list[str], text: str, columns: Column | None = None) -> DataFrame:
-    """``scored`` with the model for the corpus, from one pass over its documents: raw scores are written once, scale
-    and threshold come from all of them."""
-    model, raw = _modelled(docs, labels, id_col, keep, text, columns, "toxic")
-    score = (F.col("_raw")[0] - F.get(F.array(*map(F.lit, model.scale.middles)), _class())) / F.lit(model.scale.spread)
-    return raw.select(*keep, score.alias("score")).withColumn("flagged", F.coalesce(F.col("score") > F.lit(model.threshold), F.lit(False)))
+def _standing(scales: list[Scale], k: int) -> Column:
+    return (F.col("_raw")[k] - F.get(F.array(*map(F.lit, scales[k].middles)), _class())) / F.lit(scales[k].spread)
 
 
 def _modelled(docs: DataFrame, labels: DataFrame, id_col: str, keep: list[str], text: str, columns: Column | None, label: str) -> tuple[Model, DataFrame]:
+    """The model for a corpus, and its documents with their scores: raw scores are written once, scales and thresholds
+    come from all of them."""
     found, own = sampled(docs, labels, id_col, text, columns, label)
     raw = written(raw_scores(docs, id_col, keep, text, found, own, columns), "scores")
-    return calibrated(found, histograms(raw, len(found.pairs))), raw
+    seen = histograms(raw, FOLDS)
+    scales = [scale(h) for h in seen]
+    single, share, f1 = held_threshold(found, seen, scales)
+    mean = sum((_standing(scales, k) for k in range(FOLDS)), F.lit(0.0)) / FOLDS
+    threshold = single
+    if share or single < float("inf") and seen[0]:
+        counts = raw.where(F.col("_raw").isNotNull() & ~F.col("_own")).groupBy(F.round(mean, 2).alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()
+        threshold = threshold_at(Counter({r["s"]: r["n"] for r in counts}), share)
+    scored_ = raw.select(*keep, (mean - F.lit(threshold)).alias("score")).withColumn("flagged", F.coalesce(F.col("score") > 0, F.lit(False)))
+    return Model(found.pairs, scales, threshold, f1), scored_
+
+
+def judged(docs: DataFrame, labels: DataFrame, id_col: str, keep: list[str], text: str, columns: Column | None = None) -> DataFrame:
+    """``scored`` with the model for the corpus, from one pass over its documents."""
+    return _modelled(docs, labels, id_col, keep, text, columns, "toxic")[1]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, id_col: str, text: str, columns: Column | None = None, label: str = "toxic") -> Model:
-    """The model for a corpus: dictionaries from bounded samples, scale and threshold from all documents."""
+    """The model for a corpus: dictionaries from a bounded sample, scales and thresholds from all documents."""
     return _modelled(docs, labels, id_col, [], text, columns, label)[0]
 
 
 def scored(docs: DataFrame, keep: list[str], text: str, model: Model, columns: Column | None = None) -> DataFrame:
-    """The columns ``keep`` of every document with its ``score`` and whether it's ``flagged`` (above the threshold).
+    """The columns ``keep`` of every document with its ``score`` (how far above the threshold, in spreads) and whether
+    it's ``flagged`` (above it).
 
     Null, empty and blank texts have a null score and aren't flagged. Every row is judged alone, so copies score
     alike. ``columns`` gives the page column of each non-blank line, for texts whose columns are mixed up.
@@ -445,17 +465,11 @@ def scored(docs: DataFrame, keep: list[str], text: str, model: Model, columns: C
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        ordinary, abusive = m.compressors()
+        made = m.compressors()
         for b in batches:
             texts = [normal(t, c) if t else "" for t, c in zip(b.column("_text").to_pylist(), b.column("_columns").to_pylist())]
-            score: list[float | None] = [None] * len(texts)
-            full = [i for i, t in enumerate(texts) if t]
-            for at in range(0, len(full), TOGETHER):
-                some = full[at : at + TOGETHER]
-                for i, s in zip(some, document_scores(ordinary, abusive, [texts[i] for i in some])):
-                    score[i] = m.scale.standing(s, length_class(len(texts[i])))
-            flagged = [s is not None and s > m.threshold for s in score]
-            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(score, pa.float64()), pa.array(flagged, pa.bool_())], [*keep, "score", "flagged"])
+            score = [None if r is None else m.score(r, length_class(len(t))) for t, r in zip(texts, _raw(made, texts))]
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), pa.array(score, pa.float64()), pa.array([s is not None and s > 0 for s in score], pa.bool_())], [*keep, "score", "flagged"])
 
     cols = columns if columns is not None else F.lit(None).cast("array<int>")
     return docs.select(*keep, F.col(text).alias("_text"), cols.alias("_columns")).mapInArrow(run, ddl)
