@@ -367,7 +367,8 @@ def sampled(docs: DataFrame, labels: DataFrame, id_col: str, text: str, columns:
         return pd.DataFrame([{"k": k, "a": ordinary, "b": abusive, "held": held, "chars": [len(t) for t, _ in own], "labels": [v for _, v in own], "ids": [[i for i, _ in votes[t]] for t, _ in own]}])
 
     kind = df.schema["id"].dataType.simpleString()
-    done = rows.groupBy("k").applyInPandas(run, f"k int, a binary, b binary, held array<double>, chars array<int>, labels array<boolean>, ids array<array<{kind}>>").orderBy("k").collect()
+    done = rows.groupBy("k").applyInPandas(run, f"k int, a binary, b binary, held array<double>, chars array<int>, labels array<boolean>, ids array<array<{kind}>>").collect()
+    done.sort(key=lambda r: r["k"])
     if not done:
         return Learnt([(b"\n" * 8, b"\n" * 8)] * FOLDS, np.zeros(0), np.zeros(0, dtype=int), np.zeros(0, dtype=bool)), set()
     n = sum(len(r["held"]) for r in done)
