@@ -1,12 +1,13 @@
 """Finding text that was decoded with the wrong character encoding, and putting the original back.
 
 A multinomial classifier over hashed byte bigrams is trained on names of the data that were garbled on purpose, one
-class for each chain of encodings and one for sound text. It proposes chains for a value; each proposal is inverted,
-must decode strictly, must give the value again when garbled anew, and must read better than the value does under the
-classifier's own model of sound text. Values damaged beyond that (replacement characters, control characters left by a
-chain that can't be inverted, sequences cut off) are reported as not restorable.
+class for each chain of encodings, one for text damaged beyond inversion (letters lost to replacement characters or
+question marks on the way) and one for sound text. It ranks the chains for a value; each is inverted, must decode
+strictly, must give the value again when garbled anew, and must read better than the value does under the classifier's
+own model of sound text. Values that no chain explains are reported as damaged where that class wins.
 
-The model is fitted on a bounded sample of distinct values (``SAMPLE``); every value of the data is then judged.
+The model is fitted on a bounded sample of distinct values (``SAMPLE``); every value of the data is then judged, equal
+ones once.
 """
 
 from __future__ import annotations
@@ -23,13 +24,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geolathe.plans.sampling import hashed_sample
+from geolathe.plans.skew import salted_join
+from geolathe.session import written
 
 #: Distinct values the classifier is fitted on, at most (those with the smallest hashes).
 SAMPLE = 12_000
 #: Buckets that byte bigrams are hashed into.
 BUCKETS = 1 << 14
-#: Chains proposed for a value, at most.
-PROPOSED = 8
+#: Nats that a chain's score may lie below that of sound text; every chain nearer than that is tried.
+GATE = 25.0
+#: Classes of damage that nothing can be put back after.
+DAMAGED = 2
+#: Longer values are judged piece by piece, so that a garbled name in a long text isn't outweighed by the rest.
+PIECE = 200
 #: How many nats better than the value a restored text must read, its chain's prior included.
 MARGIN = 2.0
 #: Expected share of garbled values; only sets the priors.
@@ -55,24 +62,32 @@ CHAINS: list[tuple[Step, ...]] = [
 ]
 
 
+class _Bytes(dict):
+    """Characters to the bytes of a page, as a translation table; what the page lacks goes where no byte is."""
+
+    def __missing__(self, code: int) -> int:
+        return 0xFFFF
+
+
 @lru_cache(maxsize=None)
-def table(encoding: str) -> tuple[list[str | None], dict[str, int]]:
+def table(encoding: str) -> tuple[dict[int, str], _Bytes]:
     """Characters of the 256 bytes and back. Bytes a Windows page leaves open stand for control characters."""
-    chars: list[str | None] = []
+    chars = []
     for i in range(256):
         try:
             chars.append(bytes([i]).decode(encoding))
         except UnicodeDecodeError:
-            chars.append(chr(i) if encoding.startswith("cp125") else None)
-    return chars, {c: i for i, c in enumerate(chars) if c is not None}
+            chars.append(chr(i))
+    return dict(enumerate(chars)), _Bytes({ord(c): i for i, c in enumerate(chars)})
 
 
 def to_bytes(text: str, encoding: str) -> bytes | None:
     if encoding == "utf-8":
         return text.encode("utf-8", "surrogatepass")
-    back = table(encoding)[1]
-    out = [back.get(c) for c in text]
-    return None if None in out else bytes(out)  # type: ignore[arg-type]
+    try:
+        return text.translate(table(encoding)[1]).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
 
 
 def from_bytes(data: bytes, encoding: str) -> str | None:
@@ -81,8 +96,7 @@ def from_bytes(data: bytes, encoding: str) -> str | None:
             return data.decode("utf-8")
         except UnicodeDecodeError:
             return None
-    out = [table(encoding)[0][b] for b in data]
-    return None if None in out else "".join(out)  # type: ignore[arg-type]
+    return data.decode("latin-1").translate(table(encoding)[0])
 
 
 def garble(text: str, chain: tuple[Step, ...]) -> str | None:
@@ -127,10 +141,10 @@ def invert_part(text: str, chain: tuple[Step, ...]) -> tuple[str, bool] | None:
     back = table(wrong)[1]
     out, i, done, lone, cut = [], 0, 0, 0, False
     while i < len(text):
-        lead = back.get(text[i], 0)
+        lead = back.get(ord(text[i]), 0)
         need = 2 if 0xC2 <= lead < 0xE0 else 3 if 0xE0 <= lead < 0xF0 else 4 if 0xF0 <= lead < 0xF5 else 0
         if need:
-            follow = [back.get(c, 0) for c in text[i + 1 : i + need]]
+            follow = [back.get(ord(c), 0) for c in text[i + 1 : i + need]]
             if all(0x80 <= b < 0xC0 for b in follow):
                 if len(follow) == need - 1:
                     char = from_bytes(bytes([lead, *follow]), "utf-8")
@@ -170,7 +184,8 @@ def buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """Log likelihoods of the buckets in each class; class 0 is sound text, class i + 1 the chain i."""
+    """Log likelihoods of the buckets in each class; class 0 is sound text, class i + 1 the chain i, the last
+    ``DAMAGED`` ones are single letters lost, and whole texts."""
 
     weights: np.ndarray
     prior: np.ndarray
@@ -206,7 +221,7 @@ def fit(values: list[str], rounds: int = 2) -> Model:
     model = None
     for i in range(rounds):
         if model is not None:
-            flagged = {v for v, r in zip(sound, judge(sound, model)) if r is not None}
+            flagged = {v for v, r in zip(sound, judge(sound, model)) if r is not None and r[1] != "damaged"}
             sound = [v for v in sound if v not in flagged]
         test = sound[::10] if i == rounds - 1 and len(sound) >= 50 else []
         model = _count([v for j, v in enumerate(sound) if j % 10] if test else sound)
@@ -230,62 +245,123 @@ def _count(sound: list[str]) -> Model:
                     at = [i for i, c in enumerate(g) if not c.isascii()]
                     own.append(g[: at[n % len(at)] + 1])
         classes.append(own)
+    classes.append([d for n, v in enumerate(sound) for d in lost_forms(v, n)])
+    classes.append([d for n, v in enumerate(odd) for d in damaged_forms(v, n)])
     weights = np.empty((BUCKETS, len(classes)), dtype=np.float32)
     for k, own in enumerate(classes):
         count = np.zeros(BUCKETS)
         for i in range(0, len(own), 5000):
             count += np.bincount(buckets(own[i : i + 5000])[0], minlength=BUCKETS)
         weights[:, k] = np.log((count + 0.05) / (count.sum() + 0.05 * BUCKETS))
-    prior = np.full(len(classes), np.log(PRIOR / len(CHAINS)))
+    prior = np.full(len(classes), np.log(PRIOR / (len(CHAINS) + DAMAGED)))
     prior[0] = np.log(1 - PRIOR)
     return Model(weights, prior)
 
 
+def lost_forms(text: str, n: int) -> list[str]:
+    """Forms of a text in which one letter was lost to a mark; the ``n``-th value loses its ``n``-th one outside ASCII.
+
+    All sound values lose a letter, so that the class differs from that of sound text by nothing but the marks.
+    """
+    at = [i for i, c in enumerate(text) if not c.isascii()] or range(len(text))
+    i = at[n % len(at)]
+    return [text[:i] + mark + text[i + 1 :] for mark in "?\ufffd"]
+
+
+def damaged_forms(text: str, n: int) -> list[str]:
+    """Forms of a text with letters outside ASCII after which nothing can be put back; the ``n``-th value has its own page."""
+    page = UTF8_READ_AS[n % len(UTF8_READ_AS)]
+    read = text.encode("utf-8").decode(page, "replace")
+    forms = [
+        "".join(c if c.isascii() else "\ufffd" for c in text),
+        text.encode("ascii", "replace").decode("ascii"),
+        text.encode("utf-8").decode("ascii", "replace"),
+        text.encode("cp1252", "ignore").decode("utf-8", "replace"),
+        text.encode("cp1252", "replace").decode("cp1252"),
+        text.encode("latin-1", "replace").decode("latin-1"),
+        read.encode("cp1252", "replace").decode("cp1252"),
+        read.encode("ascii", "replace").decode("ascii"),
+        "".join("\ufffd" if not c.isascii() and i % 2 else c for i, c in enumerate(read)),
+    ]
+    return [f for f in dict.fromkeys(forms) if f != text and not f.isascii() or "?" in f and "?" not in text]
+
+
 def chain_name(chain: tuple[Step, ...]) -> str:
     return " > ".join(f"{true}:{wrong}" for true, wrong in chain)
 
 
+def pieces(text: str) -> list[str]:
+    """A long text in pieces of at most ``PIECE`` characters, cut at blanks, or else between two ASCII characters."""
+    out, at = [], 0
+    while len(text) - at > PIECE:
+        end = max(text.rfind(" ", at + PIECE // 2, at + PIECE), at)
+        if end == at:
+            end = next((i for i in range(at + PIECE, at + PIECE // 2, -1) if text[i - 1 : i + 1].isascii()), at + PIECE)
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 def judge(texts: list[str], model: Model) -> list[tuple[str | None, str] | None]:
-    """For each text None if it's sound, else (original or None if it can't be restored, chain or kind of damage)."""
+    """For each text None if it's sound, else (original or None if it can't be restored, chain or kind of damage).
+
+    Blanks around a text are kept. Texts longer than ``PIECE`` are judged in pieces: found if any of them is, restored
+    if all found ones are.
+    """
     out: list[tuple[str | None, str] | None] = [None] * len(texts)
-    core = [t.strip(" ") for t in texts]
-    todo = [i for i, t in enumerate(core) if not t.isascii() or "?" in t]
-    if not todo:
+    parts = {i: pieces(t) for i, t in enumerate(texts) if not t.isascii() or "?" in t}
+    flat = [(i, p, x) for i, v in parts.items() for p, x in enumerate(v) if not x.isascii() or "?" in x]
+    got: dict[int, dict[int, tuple[str | None, str]]] = {}
+    for (i, p, _), r in zip(flat, _judged([x.strip(" ") for _, _, x in flat], model)):
+        if r is not None:
+            got.setdefault(i, {})[p] = r
+    for i, found in got.items():
+        whole = None
+        if all(r[0] is not None for r in found.values()):
+            whole = "".join(x.replace(x.strip(" "), str(found[p][0]), 1) if p in found else x for p, x in enumerate(parts[i]))
+        out[i] = (whole, "; ".join(dict.fromkeys(r[1] for r in found.values())))
+    return out
+
+
+def _judged(core: list[str], model: Model) -> list[tuple[str | None, str] | None]:
+    out: list[tuple[str | None, str] | None] = [None] * len(core)
+    if not core:
         return out
-    score = model.scores([core[i] for i in todo]) + model.prior
-    proposals: list[tuple[int, int, str, bool, bool]] = []  # (row of todo, chain, text, whole, cut)
-    for n, i in enumerate(todo):
-        best = np.argsort(-score[n, 1:])[:PROPOSED]
-        for k in best:
-            if score[n, k + 1] < score[n, 0] - 25:
-                continue
-            whole = invert(core[i], model.chains[k])
-            if whole is not None:
-                proposals.append((n, k, whole, True, False))
-            else:
-                part = invert_part(core[i], model.chains[k])
-                if part is not None:
-                    proposals.append((n, k, part[0], False, part[1]))
-    value = model.sound([core[i] for i in todo])
-    # a text cut off lacks a character and its end: it pays for both
-    new = model.sound([p[2] for p in proposals]) if proposals else np.zeros(0)
+    score = model.scores(core) + model.prior
+    value = score[:, 0] - model.prior[0]
+    best = _best(core, score[:, 1:-DAMAGED] >= score[:, :1] - GATE, value, model)
+    for n, (_, k, text, whole, cut) in best.items():
+        again = _judged([text], model)[0] if not text.isascii() and len(text) < len(core[n]) else None
+        chain = chain_name(model.chains[k])
+        if again is not None:
+            chain = f"{again[1]} > {chain}"
+        restored = again[0] if again is not None else text
+        out[n] = (None if restored is None or cut or _damaged(restored) else restored, chain + ("" if whole else " (with loss)" if cut else " (in part)"))
+    for n in np.flatnonzero(score[:, -DAMAGED:].max(axis=1) > score[:, 0] + MARGIN).tolist():
+        if n not in best:
+            out[n] = (None, "damaged")
+    return out
+
+
+def _best(core: list[str], tried: np.ndarray, value: np.ndarray, model: Model) -> dict[int, tuple[float, int, str, bool, bool]]:
+    """Of the chains tried for each row, the one that gives the text that reads best: (gain, chain, text, whole, cut).
+
+    Only rows that gain more than ``MARGIN`` are given back. A text restored in part pays for it, and one cut off for
+    the character and the end that it lacks.
+    """
+    proposals: list[tuple[int, int, str, bool, bool]] = []
+    for n, k in np.argwhere(tried).tolist():
+        whole = invert(core[n], model.chains[k])
+        if whole is not None:
+            proposals.append((n, k, whole, True, False))
+        elif (part := invert_part(core[n], model.chains[k])) is not None:
+            proposals.append((n, k, part[0], False, part[1]))
     found: dict[int, tuple[float, int, str, bool, bool]] = {}
-    for (n, k, text, whole, cut), s in zip(proposals, new):
-        gain = s + model.prior[k + 1] - (value[n] + model.prior[0]) - 12.0 * cut - 1.0 * (not whole) - (30.0 if _damaged(text) and not _damaged(core[todo[n]]) else 0.0)
-        if n not in found or gain > found[n][0]:
+    for (n, k, text, whole, cut), s in zip(proposals, model.sound([p[2] for p in proposals])):
+        gain = s + model.prior[k + 1] - (value[n] + model.prior[0]) - 12.0 * cut - 1.0 * (not whole) - (30.0 if _damaged(text) and not _damaged(core[n]) else 0.0)
+        if gain > MARGIN and (n not in found or gain > found[n][0]):
             found[n] = (gain, k, text, whole, cut)
-    for n, i in enumerate(todo):
-        if n in found and found[n][0] > MARGIN:
-            _, k, text, whole, cut = found[n]
-            again = judge([text], model)[0] if not text.isascii() and len(text) < len(core[i]) else None
-            chain = chain_name(model.chains[k])
-            if again is not None:
-                text, chain = again[0], f"{again[1]} > {chain}"
-            restored = None if text is None or cut or _damaged(text) else texts[i].replace(core[i], text, 1)
-            out[i] = (restored, chain + ("" if whole else " (with loss)" if cut else " (in part)"))
-        elif _damaged(core[i]):
-            out[i] = (None, "damaged")
-    return out
+    return found
 
 
 def _damaged(text: str) -> bool:
@@ -310,25 +386,19 @@ def sample(df: DataFrame, columns: list[str], size: int = SAMPLE) -> list[str]:
 def restored(df: DataFrame, id_col: str, columns: list[str], model: Model) -> DataFrame:
     """A row per garbled value: id, field, value, original (null: not restorable), chain.
 
-    Nulls, blanks and plain ASCII are sound. Padding is kept around a restored text. Equal values within a batch
-    are judged once; each row is judged alone, so ids needn't be unique.
+    Nulls, blanks and plain ASCII are sound. Padding is kept around a restored text. Every distinct value is judged
+    once, and the rows that hold a garbled one are found by a join on it, values of many rows being salted; ids needn't
+    be unique.
     """
     sent = df.sparkSession.sparkContext.broadcast(model)
     cells = df.select(F.col(id_col).alias("id"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in columns])).alias("c")).select("id", "c.field", "c.value")
     cells = cells.where(F.col("value").rlike(r"[^\x00-\x7F]|\?"))
-    kind = cells.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = b.column("value").to_pylist()
-            each = list(dict.fromkeys(values))
-            got = dict(zip(each, judge(each, sent.value)))
-            hit = [i for i, v in enumerate(values) if got[v] is not None]
-            rows = b.take(pa.array(hit, pa.int64()))
-            found = [got[values[i]] for i in hit]
-            yield pa.RecordBatch.from_arrays(
-                [rows.column("id"), rows.column("field"), rows.column("value"), pa.array([r[0] for r in found], pa.string()), pa.array([r[1] for r in found], pa.string())],
-                [id_col, "field", "value", "original", "chain"],
-            )
-
-    return cells.mapInArrow(run, f"`{id_col}` {kind}, field string, value string, original string, chain string")
+            found = [(v, *r) for v, r in zip(values, judge(values, sent.value)) if r is not None]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(3)], ["value", "original", "chain"])
+
+    found = written(cells.select("value").distinct().mapInArrow(run, "value string, original string, chain string"), "garbled")
+    return salted_join(cells, found, ["value"], F.col("id"), "inner").select(F.col("id").alias(id_col), "field", "value", "original", "chain")
