@@ -400,5 +400,7 @@ def restored(df: DataFrame, id_col: str, columns: list[str], model: Model) -> Da
             found = [(v, *r) for v, r in zip(values, judge(values, sent.value)) if r is not None]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], pa.string()) for i in range(3)], ["value", "original", "chain"])
 
-    found = written(cells.select("value").distinct().mapInArrow(run, "value string, original string, chain string"), "garbled")
+    # as many tasks as there are for a shuffle: few bytes, but much work for each value
+    values = cells.select("value").distinct().repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = written(values.mapInArrow(run, "value string, original string, chain string"), "garbled")
     return salted_join(cells, found, ["value"], F.col("id"), "inner").select(F.col("id").alias(id_col), "field", "value", "original", "chain")
