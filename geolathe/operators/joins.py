@@ -2,6 +2,7 @@
 
 A match is a DataFrame of pairs (``_t``: target row, ``_s``: source row). The target keeps its rows and order; copied
 fields come from the first match in source order, ``calc`` runs over all matches, ``duplication`` repeats target rows.
+Joins by key make no pairs unless a result asks for them: the source is reduced to one row per key first.
 """
 
 from __future__ import annotations
@@ -12,11 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolathe.functions import geometry as G
-from geolathe.functions.aggregates import compiled, grouped
-from geolathe.functions.expressions import BOOL, NUM, ExpressionError, Translator, Value, plain_number
+from geolathe.functions.aggregates import Plan, compiled, grouped
+from geolathe.functions.expressions import BOOL, NUM, ExpressionError, Translator, Value, parse, plain_number, walk
 from geolathe.layer import FID, GEOM, Layer, LayerError, with_fid
 from geolathe.operators.proximity import containing, near_pairs_between
 from geolathe.operators.table import translator
+from geolathe.plans.skew import salted_join
 
 
 @dataclass
@@ -52,8 +54,17 @@ def _kind(layer: Layer, name: str) -> str:
     return value.kind
 
 
-def key_matches(target: Layer, source: Layer, target_key: str, source_key: str) -> DataFrame:
-    """Pairs with equal keys; null keys match each other. Keys must be both texts or both numbers.
+#: A key in two columns that are never null: whether it is null, and its value.
+KEY = ["_kn", "_kv"]
+
+
+def _keyed(df: DataFrame, name: str, cast: str) -> DataFrame:
+    key = F.col(f"`{name}`").cast(cast)
+    return df.withColumns({"_kn": key.isNull(), "_kv": F.coalesce(key, F.lit(0.0 if cast == "double" else ""))})
+
+
+def checked_keys(target: Layer, source: Layer, target_key: str, source_key: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables with their key in two columns. Keys must be both texts or both numbers.
 
     A key column without any value is an error, unless its layer has no rows.
     """
@@ -61,15 +72,18 @@ def key_matches(target: Layer, source: Layer, target_key: str, source_key: str)
     source.need(source_key)
     kinds = _kind(target, target_key), _kind(source, source_key)
     for layer, name in ((target, target_key), (source, source_key)):
-        r = layer.df.agg(F.count(F.lit(1)).alias("n"), F.count(f"`{name}`").alias("k")).first()
-        if r["n"] and not r["k"]:
+        if layer.df.where(F.col(f"`{name}`").isNotNull()).isEmpty() and not layer.df.isEmpty():
             raise LayerError(f"join key {name} has no values")
     if kinds[0] != kinds[1]:
         raise LayerError(f"join keys of different types: {target_key} is {kinds[0]}, {source_key} is {kinds[1]}")
     cast = "double" if kinds[0] == NUM else "string"
-    t = target.df.select(F.col(FID).alias("_t"), F.col(f"`{target_key}`").cast(cast).alias("_tk"))
-    s = source.df.select(F.col(FID).alias("_s"), F.col(f"`{source_key}`").cast(cast).alias("_sk"))
-    return t.join(s, F.col("_tk").eqNullSafe(F.col("_sk"))).select("_t", "_s")
+    return _keyed(target.df, target_key, cast), _keyed(source.df, source_key, cast)
+
+
+def key_matches(target: Layer, source: Layer, target_key: str, source_key: str) -> DataFrame:
+    """All pairs with equal keys, for results that have a row per pair; null keys match each other, hot keys are salted."""
+    t, s = checked_keys(target, source, target_key, source_key)
+    return salted_join(t.select(F.col(FID).alias("_t"), *KEY), s.select(F.col(FID).alias("_s"), *KEY), KEY, F.col("_t"), "inner").select("_t", "_s")
 
 
 def _first_points(layer: Layer) -> DataFrame:
@@ -152,42 +166,59 @@ def overlap_matches(target: Layer, source: Layer, largest: bool = False, min_pct
 # --- the one join --------------------------------------------------------------------------------------------------
 
 
-def filtered(pairs: DataFrame, target: Layer, source: Layer, where: str, defs: dict) -> DataFrame:
-    """Pairs for which ``where`` holds: source fields by name, target fields as ``target.x``.
+def tested(df: DataFrame, by: list[str], scope: Translator, where: str, row: Column) -> DataFrame:
+    """The rows of ``df`` for which ``where`` holds.
 
-    isMax(x), isMin(x) and isMode(x) compare with all matches of the same target row; ties are all kept.
+    isMax(x), isMin(x) and isMode(x) compare with all rows of the same ``by``; ties are all kept. What they compare
+    with is aggregated and joined back, hot groups being salted by ``row``.
     """
-    t = target.df.select(F.col(FID).alias("_t"), *[F.col(f"`{f}`").alias(f"_t_{f}") for f in target.fields])
-    s = source.df.withColumnRenamed(FID, "_s").drop(GEOM)
-    df = pairs.select("_t", "_s").join(s, "_s").join(t, "_t")
-    by_target = Window.partitionBy("_t")
-    scope = translator(source, defs)
-    kinds = translator(target).fields
+    asked: list[tuple[str, Column]] = []
 
-    def extremum(pick):  # noqa: ANN001, ANN202
+    def call(kind: str):  # noqa: ANN202
         def run(args: list, tr: Translator) -> Value:
-            x = plain_number(tr.value(args[0]))
-            x = F.when(~F.isnan(x), x)
-            return Value(F.coalesce(x == pick(x).over(by_target), F.lit(False)), BOOL)
+            v = tr.value(args[0])
+            if kind == "mode":
+                x = F.coalesce(F.concat(F.lit("="), v.col.cast("string")), F.lit(""))
+            else:
+                number = plain_number(v)
+                x = F.when(~F.isnan(number), number)
+            asked.append((kind, x))
+            return Value(F.col(f"_held{len(asked) - 1}"), BOOL)
 
         return run
 
-    def is_mode(args: list, tr: Translator) -> Value:
-        v = tr.value(args[0]).col.cast("string")
-        n = F.count(F.lit(1)).over(Window.partitionBy("_t", v))
-        modes.append(n)
-        return Value(F.col("_mode_n") == F.col("_mode_max"), BOOL)
-
-    modes: list[Column] = []
-    scope.calls = {**scope.calls, "isMax": extremum(F.max), "isMin": extremum(F.min), "isMode": is_mode}
-    scope.others = {"target": {f: Value(F.col(f"`_t_{f}`"), v.kind, v.item) for f, v in kinds.items()}}
+    scope.calls = {**scope.calls, "isMax": call("max"), "isMin": call("min"), "isMode": call("mode")}
     v = scope.column(where)
     if v.kind != BOOL:
         raise ExpressionError(f"expected true or false: {where!r}")
-    if modes:
-        df = df.withColumn("_mode_n", modes[0])
-        df = df.withColumn("_mode_max", F.max("_mode_n").over(by_target))
-    return df.withColumn("_keep", v.col).where("_keep").select("_t", "_s")
+    columns = df.columns
+    df = df.withColumns({f"_x{i}": x for i, (_, x) in enumerate(asked)}) if asked else df
+    ends = {f"_end{i}": (F.max if kind == "max" else F.min)(f"_x{i}") for i, (kind, _) in enumerate(asked) if kind != "mode"}
+    if ends:
+        df = salted_join(df, df.groupBy(*by).agg(*[c.alias(n) for n, c in ends.items()]), by, row, "left")
+    for i, (kind, _) in enumerate(asked):
+        if kind != "mode":
+            df = df.withColumn(f"_held{i}", F.coalesce(F.col(f"_x{i}") == F.col(f"_end{i}"), F.lit(False)))
+            continue
+        counts = df.groupBy(*by, f"_x{i}").agg(F.count(F.lit(1)).alias("_n"))
+        top = counts.groupBy(*by).agg(F.max("_n").alias("_most"))
+        modes = salted_join(counts, top, by, F.col(f"_x{i}"), "inner").where(F.col("_n") == F.col("_most")).select(*by, f"_x{i}", F.lit(True).alias(f"_held{i}"))
+        df = salted_join(df, modes, [*by, f"_x{i}"], row, "left").withColumn(f"_held{i}", F.coalesce(f"_held{i}", F.lit(False)))
+    return df.where(v.col).select(*[F.col(f"`{c}`") for c in columns])
+
+
+def filtered(pairs: DataFrame, target: Layer, source: Layer, where: str, defs: dict) -> DataFrame:
+    """Pairs for which ``where`` holds: source fields by name, target fields as ``target.x``."""
+    t = target.df.select(F.col(FID).alias("_t"), *[F.col(f"`{f}`").alias(f"_t_{f}") for f in target.fields])
+    s = source.df.withColumnRenamed(FID, "_s").drop(GEOM)
+    scope = translator(source, defs)
+    scope.others = {"target": {f: Value(F.col(f"`_t_{f}`"), v.kind, v.item) for f, v in translator(target).fields.items()}}
+    return tested(pairs.select("_t", "_s").join(s, "_s").join(t, "_t"), ["_t"], scope, where, F.col("_s")).select("_t", "_s")
+
+
+def _of_target(where: str) -> bool:
+    """Whether a condition reads fields of the target."""
+    return any(x == ("name", "target") for node in parse(where) for x in walk(node))
 
 
 def copied_fields(target: Layer, source: Layer, options: JoinOptions, source_key: str | None) -> list[tuple[str, str]]:
@@ -204,6 +235,23 @@ def copied_fields(target: Layer, source: Layer, options: JoinOptions, source_key
     return [(n, new) for n, new in pairs if options.force or new not in target.fields]
 
 
+def _first_and_sums(copy: list[tuple[str, str]], sum_fields: list[str], value: str, order: str) -> dict[str, Column]:
+    """Aggregates over the matches of a row: the fields of the first one, and sums; ``value`` goes before field names."""
+    aggs = {f"_v_{n}": F.min_by(F.struct(F.col(f"`{value}{n}`").alias("v")), F.col(order))["v"] for n, _ in copy}
+    return aggs | {f"_sum_{n}": F.coalesce(F.sum(plain_number(Value(F.col(f"`{value}{n}`"), NUM))), F.lit(0.0)) for n in sum_fields}
+
+
+def _placed(out: DataFrame, target: Layer, source: Layer, copy: list[tuple[str, str]], options: JoinOptions, hit: Column) -> DataFrame:
+    """``out`` with the copied fields and sums under their names; what is there stays where there is no match."""
+    for n, new in copy:
+        value = F.col(f"`_v_{n}`")
+        out = out.withColumn(new, F.when(hit, value).otherwise(F.col(f"`{new}`").cast(dict(source.df.dtypes)[n])) if new in target.fields else value)
+    for n in options.sum_fields:
+        new = options.prefix + n
+        out = out.withColumn(new, F.coalesce(F.col(f"_sum_{n}"), F.col(f"`{new}`").cast("double") if new in target.fields else F.lit(None), F.lit(0.0)))
+    return out.drop(*[f"_v_{n}" for n, _ in copy], *[f"_sum_{n}" for n in options.sum_fields])
+
+
 def join(target: Layer, source: Layer, pairs: DataFrame, options: JoinOptions | None = None, source_key: str | None = None) -> Joined:
     """The target with fields of its matches.
 
@@ -228,27 +276,20 @@ def join(target: Layer, source: Layer, pairs: DataFrame, options: JoinOptions |
         matched = matched.withColumn("_nth", first)
         out = out.join(matched, out[FID] == matched["_t"], "left")
     else:
-        aggs = [F.min_by(F.struct(F.col(f"`_v_{n}`").alias("v")), F.col("_s"))["v"].alias(f"_v_{n}") for n, _ in copy]
-        aggs += [F.coalesce(F.sum(plain_number(Value(F.col(f"`_v_{n}`"), NUM))), F.lit(0.0)).alias(f"_sum_{n}") for n in options.sum_fields]
+        aggs = _first_and_sums(copy, options.sum_fields, "_v_", "_s")
         if aggs:
-            best = (pairs.join(src, "_s") if wanted else pairs).groupBy("_t").agg(*aggs, F.lit(True).alias("_hit"))
+            best = (pairs.join(src, "_s") if wanted else pairs).groupBy("_t").agg(*[c.alias(n) for n, c in aggs.items()], F.lit(True).alias("_hit"))
             out = out.join(best, out[FID] == best["_t"], "left")
-    hit = F.col("_nth").isNotNull() if options.duplication else F.col("_hit")
-    for n, new in copy:
-        value = F.col(f"`_v_{n}`")
-        out = out.withColumn(new, F.when(hit, value).otherwise(F.col(f"`{new}`").cast(dict(source.df.dtypes)[n])) if new in target.fields else value)
-    for n in options.sum_fields:
-        new = options.prefix + n
-        if options.duplication:
-            raise LayerError("duplication can't be combined with sum-fields")
-        out = out.withColumn(new, F.coalesce(F.col(f"_sum_{n}"), F.col(f"`{new}`").cast("double") if new in target.fields else F.lit(None), F.lit(0.0)))
     if options.duplication:
+        if options.sum_fields:
+            raise LayerError("duplication can't be combined with sum-fields")
+        out = _placed(out, target, source, copy, options, F.col("_nth").isNotNull())
         # copies are numbered after the last row, by target row and match
         late = F.col("_nth") > 1
         out = out.withColumn("_order", F.struct(F.coalesce(late, F.lit(False)).cast("int"), F.col(FID), F.coalesce("_nth", F.lit(1))))
-        out = with_fid(out.orderBy("_order").drop(FID, "_order", "_t", "_s", "_nth", *[f"_v_{n}" for n in wanted]), shuffled=True)
-    else:
-        out = out.drop("_t", "_hit", *[f"_v_{n}" for n, _ in copy], *[f"_sum_{n}" for n in options.sum_fields])
+        out = with_fid(out.orderBy("_order").drop(FID, "_order", "_t", "_s", "_nth"), shuffled=True)
+    elif copy or options.sum_fields:
+        out = _placed(out, target, source, copy, options, F.col("_hit")).drop("_t", "_hit")
     result = target.with_df(out)
     if options.calc:
         result = _calculated(result, source, pairs, options)
@@ -262,21 +303,46 @@ def _calculated(target: Layer, source: Layer, pairs: DataFrame, options: JoinOpt
     """Aggregates over the matches of every target row, those without any included."""
     rows = pairs.join(source.df.withColumnRenamed(FID, "_s").drop(GEOM), "_s").withColumn(FID, F.col("_s"))
     plan, outputs = compiled(options.calc or "", translator(source, options.defs))
-    done = grouped(rows, ["_t"], plan)
-    values = done.select("_t", *[v.col.alias(f"_o_{n}") for n, v in outputs])
-    none = grouped(rows.where(F.lit(False)).drop("_t"), [], plan).select(*[v.col.alias(n) for n, v in outputs]).first()
+    values = grouped(rows, ["_t"], plan).select("_t", *[v.col.alias(f"_o_{n}") for n, v in outputs])
     out = target.df.join(values, target.df[FID] == values["_t"], "left")
-    hit = F.col("_t").isNotNull()
-    for n, v in outputs:
-        empty = none[n]
+    return target.with_df(_outputs(out, rows.drop("_t"), plan, outputs, F.col("_t").isNotNull()).drop("_t"))
+
+
+def _outputs(out: DataFrame, rows: DataFrame, plan: Plan, outputs: list[tuple[str, Value]], hit: Column) -> DataFrame:
+    """Calculated fields from their ``_o_`` columns; rows without a match get what the aggregates give of no rows."""
+    none = grouped(rows.where(F.lit(False)), [], plan).select(*[v.col.alias(n) for n, v in outputs]).first()
+    for n, _ in outputs:
         new = F.col(f"`_o_{n}`")
-        out = out.withColumn(n, F.when(hit, new).otherwise(F.lit(empty)) if empty is not None else new)
-    return target.with_df(out.drop("_t", *[f"_o_{n}" for n, _ in outputs]))
+        out = out.withColumn(n, F.when(hit, new).otherwise(F.lit(none[n])) if none[n] is not None else new)
+    return out.drop(*[f"_o_{n}" for n, _ in outputs])
 
 
 def join_keys(target: Layer, source: Layer, keys: tuple[str, str], options: JoinOptions | None = None) -> Joined:
-    """Equi-join: ``keys`` are the target's and the source's field."""
-    return join(target, source, key_matches(target, source, *keys), options, keys[1])
+    """Equi-join: ``keys`` are the target's and the source's field; null keys match each other.
+
+    The source is filtered and reduced to one row per key (a partial aggregation, so neither hot nor null keys gather
+    anywhere), then meets the target, whose hot keys are salted. Only ``duplication``, and a ``where`` that reads
+    fields of the target, go through pairs of rows.
+    """
+    options = options or JoinOptions()
+    if options.duplication or (options.where and _of_target(options.where)):
+        return join(target, source, key_matches(target, source, *keys), options, keys[1])
+    t, s = checked_keys(target, source, *keys)
+    if options.where:
+        s = tested(s.drop(GEOM), KEY, translator(source, options.defs), options.where, F.col(FID))
+    copy = copied_fields(target, source, options, keys[1])
+    source.need(*options.sum_fields)
+    plan, outputs = compiled(options.calc, translator(source, options.defs)) if options.calc else (Plan(), [])
+    extra = _first_and_sums(copy, options.sum_fields, "", FID) | {"_hit": F.max(F.lit(True))}
+    reduced = grouped(s, KEY, plan, extra).select(*KEY, "_hit", *[F.col(f"`{n}`") for n in extra if n != "_hit"], *[v.col.alias(f"_o_{n}") for n, v in outputs])
+    out = salted_join(t, reduced, KEY, F.col(FID), "left").drop(*KEY)
+    out = _placed(out, target, source, copy, options, F.col("_hit"))
+    if options.calc:
+        out = _outputs(out, s.drop(*KEY), plan, outputs, F.coalesce("_hit", F.lit(False)))
+    used = salted_join(s.select(*KEY, F.col(FID).alias("_s")), t.select(*KEY).distinct(), KEY, F.col("_s"), "inner").select("_s")
+    unjoined = source.df.join(used, source.df[FID] == used["_s"], "left_anti")
+    unmatched = salted_join(t, reduced.select(*KEY), KEY, F.col(FID), "left_anti").drop(*KEY)
+    return Joined(target.with_df(out.drop("_hit")), unjoined, unmatched)
 
 
 def interpolated(target: Layer, source: Layer, fields: list[str]) -> Layer:

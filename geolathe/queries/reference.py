@@ -156,6 +156,23 @@ def join_where_target(spark: SparkSession, root: str) -> DataFrame:
     return commands(spark, root, ["customer", "orders"], "-i orders.parquet -i customer.parquet -join orders keys=c_custkey,o_custkey calc='n = count()' where='o_totalprice > target.c_acctbal * 20' -filter-fields c_custkey,n")
 
 
+@query("WITH k AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY 1, 2), s AS (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY 1, 2), c AS (SELECT o.o_custkey, count(*) AS n FROM orders o WHERE (SELECT n FROM k WHERE k.o_custkey = o.o_custkey AND k.o_orderpriority = o.o_orderpriority) = (SELECT max(n) FROM k WHERE k.o_custkey = o.o_custkey) AND (SELECT n FROM s WHERE s.o_custkey = o.o_custkey AND s.o_orderstatus = o.o_orderstatus) = (SELECT max(n) FROM s WHERE s.o_custkey = o.o_custkey) GROUP BY 1) SELECT c_custkey, CAST(coalesce(c.n, 0) AS DOUBLE) AS n FROM customer LEFT JOIN c ON c.o_custkey = c_custkey")
+def join_where_two_modes(spark: SparkSession, root: str) -> DataFrame:
+    return commands(spark, root, ["customer", "orders"], "-i orders.parquet -i customer.parquet -join orders keys=c_custkey,o_custkey calc='n = count()' where='isMode(o_orderpriority) && isMode(o_orderstatus)' -filter-fields c_custkey,n")
+
+
+HOT_LEFT, HOT_RIGHT = "CASE WHEN l_orderkey % 10 = 0 THEN NULL WHEN l_orderkey % 10 < 4 THEN 1 ELSE l_suppkey END", "CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN 1 ELSE o_custkey % 1000 END"
+
+
+@query(f"WITH l AS (SELECT l_orderkey, l_linenumber, {HOT_LEFT} AS k FROM lineitem), o AS (SELECT *, {HOT_RIGHT} AS k FROM orders), g AS (SELECT k, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS f FROM o WHERE o_totalprice > 1000 GROUP BY k) SELECT l_orderkey, l_linenumber, CAST(coalesce(n, 0) AS DOUBLE) AS n, coalesce(total, 0) AS total, f AS o_orderkey FROM l LEFT JOIN g ON l.k IS NOT DISTINCT FROM g.k")
+def join_null_and_hot_keys(spark: SparkSession, root: str) -> DataFrame:
+    """A tenth of one side and a fifth of the other have no key, and one key holds 30 and 20 % of them."""
+    left, right = layer(spark, root, "lineitem"), layer(spark, root, "orders")
+    left, right = left.with_df(left.df.withColumn("k", F.expr(HOT_LEFT))), right.with_df(right.df.withColumn("k", F.expr(HOT_RIGHT)))
+    o = J.JoinOptions(fields=["o_orderkey"], calc="n = count(), total = sum(o_totalprice)", where="o_totalprice > 1000")
+    return J.join_keys(left, right, ("k", "k"), o).layer.df.select("l_orderkey", "l_linenumber", "n", F.round("total", 2).alias("total"), "o_orderkey")
+
+
 @query("SELECT n_nationkey, round(coalesce(sum(c_acctbal), 0), 2) AS c_acctbal FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
 def join_sum_fields(spark: SparkSession, root: str) -> DataFrame:
     df = commands(spark, root, ["nation", "customer"], "-i customer.parquet -i nation.parquet -join customer keys=n_nationkey,c_nationkey fields= sum-fields=c_acctbal")
