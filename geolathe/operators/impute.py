@@ -1,9 +1,9 @@
 """Filling missing values from other rows of the same entity, along time, with every filled cell marked.
 
-The rows are first combined to one line per entity, field and time (partial aggregation before the shuffle), so what
-the time-ordered step sees of an entity is the number of its distinct times, not of its rows. That step is split
-further into blocks of time, so no task gets the whole of a hot entity. Only the missing cells are then joined with
-the lines, with hot keys salted.
+The rows are first combined to one line per entity, field and time (partial aggregation before the shuffle) and the
+lines are written once, so what the time-ordered step sees of an entity is the number of its distinct times, not of its
+rows. That step is split further into blocks of time, so no task gets the whole of a hot entity. Only the missing cells
+are then joined with the lines: the second and last scan of the rows, with hot keys, known from the lines, salted.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolathe.plans.skew import salted_join
+from geolathe.session import written
 
 # Texts that stand for no value, compared in lower case with the marks around them taken off.
 STAND_INS = [
@@ -55,13 +56,13 @@ def observed(column: Column, spec: Filled) -> Column:
 
 
 def cells(df: DataFrame, id_col: str, entity: str, time: str, specs: list[Filled]) -> DataFrame:
-    """One row per cell of the filled columns: id, entity, time, field, value (text or null)."""
+    """One row per cell of the filled columns: id, entity, time, field, value (text or null). Entities aren't null."""
     each = F.array(*[F.struct(F.lit(s.name).alias("field"), observed(F.col(s.name), s).alias("value")) for s in specs])
-    return df.select(F.col(id_col).alias("_id"), F.col(entity).alias("_entity"), F.col(time).alias("_time"), F.explode(each).alias("c")).select("_id", "_entity", "_time", "c.field", "c.value")
+    return df.select(F.col(id_col).alias("_id"), F.col(entity).alias("_entity"), F.col(time).alias("_time"), F.explode(each).alias("c")).where(F.col("_entity").isNotNull()).select("_id", "_entity", "_time", "c.field", "c.value")
 
 
 def lines(cell: DataFrame, specs: list[Filled]) -> DataFrame:
-    """Per entity, field and time: the value most rows hold there (null if none does).
+    """Per entity, field and time: the value most rows hold there (null if none does), and the rows that hold none.
 
     Spellings that differ only in case are counted together and given back in the spelling most used, mixed case
     before capitals; ties go to the smaller text, so the result doesn't depend on the order of rows.
@@ -77,11 +78,12 @@ def lines(cell: DataFrame, specs: list[Filled]) -> DataFrame:
     return by_key.groupBy("_entity", "field", "_time").agg(
         F.min_by("value", F.struct(F.col("value").isNull().cast("int"), -F.col("n"), F.col("value"))).alias("_most"),
         mean.alias("_mean"),
-    ).select("_entity", "field", "_time", (F.when(F.col("field").isin(measures), F.col("_mean").cast("string")).otherwise(F.col("_most")) if measures else F.col("_most")).alias("value"))
+        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing"),
+    ).select("_entity", "field", "_time", "missing", (F.when(F.col("field").isin(measures), F.col("_mean").cast("string")).otherwise(F.col("_most")) if measures else F.col("_most")).alias("value"))
 
 
 def neighbours(line: DataFrame, block: str = "year") -> DataFrame:
-    """``line`` with the last observed (time, value) before and the first after each time, per entity and field.
+    """Lines with missing cells, with the last observed (time, value) before and the first after their time.
 
     Two levels: within blocks of time (a partition holds one block of one entity), and over the blocks' first and
     last observations, of which there are as many as blocks. Rows without a time have no neighbours in time.
@@ -101,7 +103,7 @@ def neighbours(line: DataFrame, block: str = "year") -> DataFrame:
     inner = df.withColumn("_before", F.last("_seen", ignorenulls=True).over(before)).withColumn("_after", F.last("_seen", ignorenulls=True).over(after))
     same = [F.col("i." + c).eqNullSafe(F.col("b." + c)) for c in ("_entity", "field", "_block")]
     joined = inner.alias("i").join(blocks.alias("b"), same[0] & same[1] & same[2], "left")
-    return joined.select("i._entity", "i.field", "i._time", "i.value", F.coalesce("i._before", "b._carried").alias("prev"), F.coalesce("i._after", "b._coming").alias("next"))
+    return joined.where(F.col("i.missing") > 0).select("i._entity", "i.field", "i._time", "i.value", F.coalesce("i._before", "b._carried").alias("prev"), F.coalesce("i._after", "b._coming").alias("next"))
 
 
 def decided(near: DataFrame, specs: list[Filled], gap_days: float) -> DataFrame:
@@ -137,21 +139,28 @@ def fills(df: DataFrame, id_col: str, entity: str, time: str, specs: list[Filled
     null entity belong to no group and are never filled; an empty table gives an empty result; repeated rows each
     get their cells filled.
     """
-    cell = cells(df, id_col, entity, time, specs).where(F.col("_entity").isNotNull())
-    line = lines(cell, specs)
-    dated = decided(neighbours(line.where(F.col("_time").isNotNull()), block), specs, gap_days)
-    # cells without a time take the value that most times of the entity show
-    undated = cell.where(F.col("_time").isNull() & F.col("value").isNull())
-    anywhere = line.where(F.col("value").isNotNull()).groupBy("_entity", "field", "value").agg(F.count(F.lit(1)).alias("n"))
-    anywhere = anywhere.groupBy("_entity", "field").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("fill"))
-    # and so do dated cells whose entity only holds values in rows without a time
-    late = dated.where(F.col("fill").isNull()).drop("fill", "method", "distance_days").join(anywhere, ["_entity", "field"], "left")
-    late = late.withColumn("method", F.lit("any_time")).withColumn("distance_days", F.lit(None).cast("double"))
-    dated = dated.where(F.col("fill").isNotNull()).unionByName(late)
-    missing = cell.where(F.col("_time").isNotNull() & F.col("value").isNull()).drop("value")
-    with_time = salted_join(missing, dated.where(F.col("fill").isNotNull()), ["_entity", "field", "_time"], F.col("_id"), "inner")
-    without = salted_join(undated.drop("value"), anywhere, ["_entity", "field"], F.col("_id"), "inner").select("_id", "field", "fill", F.lit("any_time").alias("method"), F.lit(None).cast("double").alias("distance_days"))
-    return with_time.select("_id", "field", "fill", "method", "distance_days").unionByName(without).withColumnRenamed("_id", id_col)
+    cell = cells(df, id_col, entity, time, specs)
+    line = written(lines(cell, specs), "lines")
+    asked = decided(neighbours(line.where(F.col("_time").isNotNull()), block), specs, gap_days)
+    undated = line.where(F.col("_time").isNull() & (F.col("missing") > 0)).select("_entity", "field", "_time", F.lit(None).cast("string").alias("fill"), F.lit(None).cast("string").alias("method"), F.lit(None).cast("double").alias("distance_days"))
+    # cells without a time, and those whose entity only holds values in rows without one, take what most times show
+    shown = line.where(F.col("value").isNotNull()).groupBy("_entity", "field", "value").agg(F.count(F.lit(1)).alias("n"))
+    shown = shown.groupBy("_entity", "field").agg(F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("_shown"))
+    answers = asked.unionByName(undated).join(shown, ["_entity", "field"])
+    answers = answers.select(
+        "_entity", "field", _instant(), F.coalesce("fill", "_shown").alias("fill"),
+        F.when(F.col("fill").isNull(), "any_time").otherwise(F.col("method")).alias("method"), F.when(F.col("fill").isNotNull(), F.col("distance_days")).alias("distance_days"),
+    )
+    missing = cell.where(F.col("value").isNull()).select("_id", "_entity", "field", _instant())
+    keys = ["_entity", "field", "_instant"]
+    counts = line.where(F.col("missing") > 0).select("_entity", "field", _instant(), F.col("missing").alias("_n"))
+    out = salted_join(missing, answers, keys, F.col("_id"), "inner", counts=counts)
+    return out.select(F.col("_id").alias(id_col), "field", "fill", "method", "distance_days")
+
+
+def _instant() -> Column:
+    """The time as a number to join on; rows without one have one of their own."""
+    return F.coalesce(F.unix_micros(F.col("_time").cast("timestamp")), F.lit(-(1 << 63))).alias("_instant")
 
 
 def filled_table(df: DataFrame, id_col: str, entity: str, time: str, specs: list[Filled], **options: float) -> DataFrame:

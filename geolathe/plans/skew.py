@@ -11,16 +11,18 @@ HOT_SHARE = 1 / 256
 SALTS = 32
 
 
-def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = 10_000) -> DataFrame | None:
+def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: int = 10_000, counts: DataFrame | None = None) -> DataFrame | None:
     """Keys holding more than ``share`` of the rows (and more than ``least`` rows), or None if there are none.
 
     The counts are combined before the shuffle; at most 1 / share rows come back, so the result may be broadcast.
+    ``counts``: rows per key (``_n``), where they are known already.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    given = counts is not None
+    counts = counts if given else df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     rows = counts.where(F.col("_n") > least).orderBy(F.desc("_n")).limit(int(1 / share) + 1).collect()
     if not rows:
         return None
-    total = df.count()
+    total = counts.agg(F.sum("_n")).first()[0] if given else df.count()
     rows = [tuple(r[k] for k in keys) for r in rows if r["_n"] > total * share]
     if not rows:
         return None
@@ -28,7 +30,7 @@ def hot_keys(df: DataFrame, keys: list[str], share: float = HOT_SHARE, least: in
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = SALTS, **hot: float) -> DataFrame:
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = SALTS, **hot: object) -> DataFrame:
     """Equi-join of a possibly skewed ``left`` with a ``right`` whose keys are unique or few.
 
     Rows of hot keys are spread over ``salts`` pieces by ``spread`` (an id of the left row); the right rows of

@@ -89,8 +89,15 @@ def p5_filled(spark: SparkSession, root: str) -> DataFrame:
     return impute.filled_table(table(spark, root, "precinct_segments"), "seg_id", "precinct_code", "edition", segment_fields())
 
 
+def p5_positions(spark: SparkSession, root: str) -> DataFrame:
+    """Planar positions that sites lack, interpolated along the survey of their collector."""
+    fields = [impute.Filled("x_m", "measure"), impute.Filled("y_m", "measure")]
+    got = impute.fills(table(spark, root, "sites"), "site_id", "collector_code", "surveyed_at", fields)
+    return got.select("site_id", "field", F.round(F.col("fill").cast("double"), 3).alias("fill"), "method", F.round("distance_days", 6).alias("distance_days"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p2_found, p2_features, p2_parts, p2_wui, p2_rev, p3_found, p3_rejects, p3_loaded, p4_found, p4_near_counts, p4_near_sphere, p5_found, p5_fills, p5_filled)}
+    return {f.__name__: f for f in (p5_positions, p2_found, p2_features, p2_parts, p2_wui, p2_rev, p3_found, p3_rejects, p3_loaded, p4_found, p4_near_counts, p4_near_sphere, p5_found, p5_fills, p5_filled)}
 
 
 FIELD = r',("(?:[^"]|"")*"|[^",\r\n]*)'
@@ -153,8 +160,32 @@ WHERE 2 * 6378137.0 * asin(sqrt(pow(sin((radians(v.y) - radians(s.y)) / 2), 2) +
 """
 
 
+# What stands for no value in the test tables, listed here anew, so that SQL doesn't repeat the operator's.
+NO_VALUE = [
+    "", "n a", "na", "nan", "null", "nil", "none", "blank", "empty", "missing", "unknown", "unk", "undefined",
+    "unassigned", "unspecified", "undetermined", "not stated", "not known", "not available", "not applicable",
+    "not assigned", "not given", "not specified", "not reported", "not recorded", "no data", "no value", "void",
+    "tbd", "tba", "tbc", "to be determined", "pending", "x", "xx", "xxx", "xxxx",
+]
+
+P5_POSITIONS = """
+WITH c AS (SELECT site_id, collector_code AS e, surveyed_at AS t, unnest([{'f': 'x_m', 'v': x_m}, {'f': 'y_m', 'v': y_m}]) AS c FROM sites WHERE collector_code IS NOT NULL),
+d AS (SELECT site_id, e, t, c.f, CASE WHEN NOT isnan(c.v) THEN c.v END AS v FROM c),
+l AS (SELECT e, f, t, avg(v) AS v FROM d GROUP BY 1, 2, 3),
+o AS (SELECT e, f, t, v FROM l WHERE v IS NOT NULL AND t IS NOT NULL),
+m AS (SELECT site_id, e, f, t FROM d WHERE v IS NULL),
+p AS (SELECT m.*, o.t AS pt, o.v AS pv FROM m ASOF LEFT JOIN o ON m.e = o.e AND m.f = o.f AND m.t > o.t),
+n AS (SELECT p.*, o.t AS nt, o.v AS nv FROM p ASOF LEFT JOIN o ON p.e = o.e AND p.f = o.f AND p.t < o.t),
+g AS (SELECT n.*, l.v AS same, epoch_us(n.t) AS u, (epoch_us(n.t) - epoch_us(pt)) / 86400e6 AS dp, (epoch_us(nt) - epoch_us(n.t)) / 86400e6 AS dn FROM n LEFT JOIN l ON l.e = n.e AND l.f = n.f AND l.t = n.t)
+SELECT site_id, f AS field, round(CASE WHEN same IS NOT NULL THEN same WHEN dp IS NOT NULL AND dn IS NOT NULL AND least(dp, dn) <= 366 THEN (pv * dn + nv * dp) / (dp + dn) WHEN dp IS NULL OR dn < dp THEN nv ELSE pv END, 3) AS fill,
+ CASE WHEN same IS NOT NULL THEN 'same_time' WHEN dp IS NOT NULL AND dn IS NOT NULL AND least(dp, dn) <= 366 THEN 'interpolated' WHEN least(dp, dn) > 366 THEN 'beyond_gap' WHEN dp IS NULL OR dn < dp THEN 'carried_back' ELSE 'carried_forward' END AS method,
+ round(CASE WHEN same IS NOT NULL THEN 0.0 ELSE least(dp, dn) END, 6) AS distance_days
+FROM g WHERE t IS NOT NULL AND (same IS NOT NULL OR pv IS NOT NULL OR nv IS NOT NULL)
+"""
+
+
 def _p5() -> str:
-    words = ", ".join(f"'{w}'" for w in impute.STAND_INS)
+    words = ", ".join(f"'{w}'" for w in NO_VALUE)
     name = "CASE WHEN regexp_matches({c}, '\\p{{L}}') AND trim(lower(regexp_replace({c}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))) NOT IN ({words}) THEN 1 END"
     has = {"county": name.format(c="county", words=words), "district": name.format(c="district", words=words), "district_no": "CASE WHEN district_no BETWEEN 1 AND 60 THEN 1 END"}
     cells = " UNION ALL ".join(f"SELECT seg_id, precinct_code, '{f}' AS field, {e} AS has FROM precinct_segments" for f, e in has.items())
@@ -185,4 +216,4 @@ UNION ALL SELECT packet_id, CAST(n AS INTEGER), 'rev', CAST(wi AS INTEGER), CAST
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2, "p3_found": P3, "p4_found": P4, "p4_near_counts": P4_COUNTS, "p4_near_sphere": P4_SPHERE, "p5_found": _p5()}
+    return {"p2_found": P2, "p3_found": P3, "p4_found": P4, "p4_near_counts": P4_COUNTS, "p4_near_sphere": P4_SPHERE, "p5_found": _p5(), "p5_positions": P5_POSITIONS}
