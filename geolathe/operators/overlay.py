@@ -18,6 +18,7 @@ from geolathe.functions import shapes as S
 from geolathe.functions.aggregates import compiled, grouped
 from geolathe.layer import FID, GEOM, Layer, LayerError, with_fid
 from geolathe.operators.paths import changed, kernel
+from geolathe.operators.proximity import cells_at, level_of
 from geolathe.operators.table import layer_bounds, merge_layers, translator
 from geolathe.operators.topology import edges, outlines
 
@@ -32,24 +33,38 @@ def _boxes(layer: Layer, name: str) -> DataFrame:
 
 
 def candidates(target: Layer, source: Layer) -> DataFrame:
-    """(_t, _s) whose bounds meet: an equi-join on the cells that the bounds cover, no pair twice.
+    """(_t, _s) whose bounds meet: equi-joins on the cells that the bounds cover, no pair twice.
 
-    Cells are twice the mean extent of a source feature wide. A pair is only taken in the cell that holds the lower
-    left corner of where the two bounds meet, so nothing needs to be made distinct.
+    Cells are twice the mean extent of a source feature wide, and four times as wide on each further level. A feature
+    is placed on the level where it covers a few cells only, and meets smaller ones on its own level. A pair is only
+    taken in the cell that holds the lower left corner of where the two bounds meet, so nothing needs to be made
+    distinct.
     """
-    t, s = _boxes(target, "t"), _boxes(source, "s")
+    t, s = _boxes(target, "t").drop("_t"), _boxes(source, "s").drop("_s")
     w, h = s.agg(F.avg(F.col("s_xmax") - F.col("s_xmin")), F.avg(F.col("s_ymax") - F.col("s_ymin"))).first()
     w, h = 2 * (w or 1.0), 2 * (h or 1.0)
+    t, s = (df.withColumn(f"{n}_level", level_of(F.col(f"{n}_xmax") - F.col(f"{n}_xmin"), F.col(f"{n}_ymax") - F.col(f"{n}_ymin"), w, h)) for df, n in ((t, "t"), (s, "s")))
+    found = t.select(F.lit("t").alias("n"), F.col("t_level").alias("l")).union(s.select(F.lit("s"), "s_level")).distinct().collect()  # a few dozen at most
+    levels = {n: sorted(r["l"] for r in found if r["n"] == n) for n in "ts"}
+    if not levels["t"] or not levels["s"]:
+        return target.df.sparkSession.createDataFrame([], "_t bigint, _s bigint")
+
+    def celled(df: DataFrame, n: str, on: list[int] | None = None) -> DataFrame:
+        """On its own level, or on those of ``on`` that are coarser or as coarse (for ``s``) as it."""
+        if on is None:
+            df = df.withColumn("_level", F.col(f"{n}_level"))
+        else:
+            df = df.withColumn("_level", F.explode(F.array(*map(F.lit, on)))).where((F.col("_level") > F.col(f"{n}_level")) if n == "t" else (F.col("_level") >= F.col(f"{n}_level")))
+        b = [F.col(f"{n}_{k}") for k in ("xmin", "xmax", "ymin", "ymax")]
+        return df.withColumn("_cell", F.explode(cells_at(F.col("_level"), *b, w, h))).drop("_level")
 
-    def celled(df: DataFrame, n: str) -> DataFrame:
-        cx = F.sequence(F.floor(F.col(f"{n}_xmin") / w), F.floor(F.col(f"{n}_xmax") / w))
-        cy = F.sequence(F.floor(F.col(f"{n}_ymin") / h), F.floor(F.col(f"{n}_ymax") / h))
-        return df.drop(f"_{n}").withColumn("cx", F.explode(cx)).withColumn("cy", F.explode(cy))
-
-    j = celled(t, "t").join(celled(s, "s"), ["cx", "cy"])
     x, y = F.greatest("t_xmin", "s_xmin"), F.greatest("t_ymin", "s_ymin")
-    meet = (x <= F.least("t_xmax", "s_xmax")) & (y <= F.least("t_ymax", "s_ymax"))
-    return j.where(meet & (F.floor(x / w) == F.col("cx")) & (F.floor(y / h) == F.col("cy"))).select(F.col("t").alias("_t"), F.col("s").alias("_s"))
+    k = F.pow(F.lit(4.0), F.col("_cell")["level"])
+    meet = (x <= F.least("t_xmax", "s_xmax")) & (y <= F.least("t_ymax", "s_ymax")) & (F.floor(x / (k * w)) == F.col("_cell")["i"]) & (F.floor(y / (k * h)) == F.col("_cell")["j"])
+    pairs = celled(t, "t").join(celled(s, "s", levels["t"]), "_cell").where(meet)
+    if levels["s"][-1] > levels["t"][0]:
+        pairs = pairs.unionByName(celled(t, "t", levels["s"]).join(celled(s, "s"), "_cell").where(meet))
+    return pairs.select(F.col("t").alias("_t"), F.col("s").alias("_s"))
 
 
 def overlap_areas(target: Layer, source: Layer) -> DataFrame:

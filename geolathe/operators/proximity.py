@@ -1,8 +1,9 @@
 """Points near other points, and the regions that contain points, through grid cells.
 
 Pairs: every point has a home cell and visits the few cells within the radius; an equi-join of visits and homes on the
-cell gives the candidates, an exact distance decides. Regions: points meet regions by cell, an exact point-in-polygon
-test decides. Hot cells are salted. Points without the coordinates (null or NaN) take no part.
+cell gives the candidates, an exact distance decides. Full cells are cut into blocks of both sides. Regions: points
+meet regions by cell, in grids as coarse as each region is large; an exact point-in-polygon test decides. Points
+without the coordinates (null or NaN) take no part.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from geolathe.functions.regions import Regions
 from geolathe.plans.skew import salted_join
+from geolathe.session import written
 
 EARTH_M = 6378137.0
 #: Side of a cell in radii: larger cells are visited from fewer neighbours but hold more candidates.
@@ -71,11 +73,35 @@ def _located(df: DataFrame, radius: float, sphere: bool) -> DataFrame:
     return df.where(F.col("y").between(-90, 90)).withColumns({"home": home, "visits": F.flatten(F.transform(rows, visited))})
 
 
+#: Points of a cell beyond which it is cut into blocks, and cells with blocks that may be sent to every executor.
+BLOCK, SENT_CELLS = 4_000, 20_000
+
+
+def _blocked(visitors: DataFrame, homes: DataFrame, visitor: str, home: str, own: bool = False) -> DataFrame:
+    """Visitors and homes that share a ``cell``. Both sides of a full cell are cut into pieces of at most about
+    ``BLOCK`` rows, and every piece of one side meets every piece of the other in a block of its own. With ``own``
+    every home is among the visitors of its cell, so only these are counted."""
+    zero = F.lit(0).cast("long")
+    sizes = visitors.groupBy("cell").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes if own else sizes.unionByName(homes.groupBy("cell").agg(F.count(F.lit(1)).alias("_n")))
+    full = written(sizes.where(F.col("_n") > BLOCK).groupBy("cell").agg(F.ceil(F.max("_n") / BLOCK).cast("long").alias("_p")), "cells")
+    cells = full.count()
+    if not cells:
+        return visitors.join(homes, "cell")
+    full = F.broadcast(full) if cells <= SENT_CELLS else full
+
+    def cut(df: DataFrame, id_col: str, own: str, other: str) -> DataFrame:
+        df = df.join(full, "cell", "left")
+        piece = F.coalesce(F.pmod(F.xxhash64(id_col), F.col("_p")), zero)
+        return df.withColumn(own, piece).withColumn(other, F.explode(F.sequence(zero, F.coalesce(F.col("_p") - 1, zero)))).drop("_p")
+
+    return cut(visitors, visitor, "_v", "_h").join(cut(homes, home, "_h", "_v"), ["cell", "_v", "_h"]).drop("_v", "_h")
+
+
 def _pairs(df: DataFrame, close: Column) -> DataFrame:
     homes = df.select(F.col("home").alias("cell"), F.col("id").alias("id_lo"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     visitors = df.select(F.explode("visits").alias("cell"), F.col("id").alias("id_hi"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    joined = salted_join(visitors, homes, ["cell"], F.col("id_hi"), "inner")
-    return joined.where((F.col("id_lo") < F.col("id_hi")) & close).select("id_lo", "id_hi")
+    return _blocked(visitors, homes, "id_hi", "id_lo", own=True).where((F.col("id_lo") < F.col("id_hi")) & close).select("id_lo", "id_hi")
 
 
 def near_planar(points: DataFrame, id_col: str, x: str, y: str, radius: float) -> DataFrame:
@@ -100,11 +126,11 @@ def near_sphere(points: DataFrame, id_col: str, lng: str, lat: str, radius_m: fl
 
 
 def near_pairs_between(left: DataFrame, right: DataFrame, id_col: str, distance: float, sphere: bool = False) -> DataFrame:
-    """(_t, _s) of points x, y of two tables at most ``distance`` apart, without repeats; hot cells are salted."""
+    """(_t, _s) of points x, y of two tables at most ``distance`` apart, without repeats."""
     places = [_located(placed(df, id_col, "x", "y"), distance, sphere) for df in (left, right)]
     visitors = places[0].select(F.explode("visits").alias("cell"), F.col("id").alias("_t"), F.col("x").alias("ax"), F.col("y").alias("ay"))
     homes = places[1].select(F.col("home").alias("cell"), F.col("id").alias("_s"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    joined = salted_join(visitors, homes, ["cell"], F.col("_t"), "inner")
+    joined = _blocked(visitors, homes, "_t", "_s")
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     close = great_circle(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) <= distance if sphere else dx * dx + dy * dy <= F.lit(float(distance) ** 2)
     return joined.where(close).select("_t", "_s").distinct()
@@ -164,8 +190,21 @@ def containing(points: DataFrame, id_col: str, x: str, y: str, regions: DataFram
     return _by_tile(df, shapes, schema)
 
 
+def level_of(width: Column, height: Column, w: float, h: float) -> Column:
+    """How many times the side of a cell must be quadrupled until a box covers at most a few cells."""
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(width / w, height / h, F.lit(1e-9))))).cast("int")
+
+
+def cells_at(level: Column, x0: Column, x1: Column, y0: Column, y1: Column, w: float, h: float) -> Column:
+    """The cells (level, i, j) that a box covers in the grid of a level."""
+    k = F.pow(F.lit(4.0), level)
+    span = lambda a, b, s: F.sequence(_floor(a / (s * k)), _floor(b / (s * k)))
+    return F.flatten(F.transform(span(x0, x1, w), lambda i: F.transform(span(y0, y1, h), lambda j: F.struct(level.alias("level"), i.alias("i"), j.alias("j")))))
+
+
 def _by_tile(df: DataFrame, shapes: DataFrame, schema: str) -> DataFrame:
-    """The shuffled way: tiles two mean regions wide; hot tiles are cut into pieces of their points."""
+    """The shuffled way: tiles two mean regions wide, in coarser grids for larger regions, so that none covers more
+    than a few tiles; points are placed in each grid there is. Hot tiles are cut into pieces of their points."""
     from geolathe.plans.skew import SALTS, hot_keys
 
     flat = F.flatten(F.flatten(F.col("shape")))
@@ -176,10 +215,11 @@ def _by_tile(df: DataFrame, shapes: DataFrame, schema: str) -> DataFrame:
     ).where(F.col("x0").isNotNull() & F.col("y0").isNotNull())
     w, h = boxed.agg(F.avg(F.col("x1") - F.col("x0")), F.avg(F.col("y1") - F.col("y0"))).first()
     w, h = 2 * (w or 1.0), 2 * (h or 1.0)
-    tile = lambda i, j: _packed(i, j)
-    span = lambda a, b, s: F.sequence(_floor(F.col(a) / s), _floor(F.col(b) / s))
-    tiles = boxed.select("region", "shape", F.explode(F.flatten(F.transform(span("x0", "x1", w), lambda i: F.transform(span("y0", "y1", h), lambda j: tile(i, j))))).alias("tile"))
-    pts = df.withColumn("tile", tile(_floor(F.col("x") / w), _floor(F.col("y") / h)))
+    boxed = boxed.withColumn("level", level_of(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), w, h))
+    levels = [r[0] for r in boxed.select("level").distinct().collect()] or [0]  # a few dozen at most: logarithms of doubles
+    tiles = boxed.select("region", "shape", F.explode(cells_at(F.col("level"), F.col("x0"), F.col("x1"), F.col("y0"), F.col("y1"), w, h)).alias("tile"))
+    pts = df.withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+    pts = pts.withColumn("tile", cells_at(F.col("level"), F.col("x"), F.col("x"), F.col("y"), F.col("y"), w, h)[0]).drop("level")
     heavy = hot_keys(pts, ["tile"])
     zero = F.lit(0).cast("long")
     if heavy is not None:

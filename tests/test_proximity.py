@@ -2,7 +2,6 @@ import math
 import random
 
 from geolathe.operators import proximity as P
-from geolathe.plans import skew
 
 RNG = random.Random(4)
 
@@ -24,13 +23,16 @@ def test_planar_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got)) and set(got) == brute(ROWS, 12.0)
 
 
-def test_hot_cells_are_salted_without_losing_pairs(spark, monkeypatch):
+def test_full_cells_are_cut_into_blocks_without_losing_pairs(spark, monkeypatch):
     rows = [(i, RNG.uniform(0, 5), RNG.uniform(0, 5), "c", "t") for i in range(250)] + ROWS[:50]
     rows = [(i, *r[1:]) for i, r in enumerate(rows)]
-    keep = skew.hot_keys
-    monkeypatch.setattr(skew, "hot_keys", lambda df, keys, **o: keep(df, keys, share=0.01, least=5))
-    got = [tuple(r) for r in P.near_planar(points(spark, rows), "id", "x", "y", 2.0).collect()]
-    assert len(got) == len(set(got)) and set(got) == brute(rows, 2.0)
+    monkeypatch.setattr(P, "BLOCK", 20)
+    for sent in (20_000, 0):
+        monkeypatch.setattr(P, "SENT_CELLS", sent)
+        got = [tuple(r) for r in P.near_planar(points(spark, rows), "id", "x", "y", 2.0).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(rows, 2.0)
+    both = P.near_pairs_between(points(spark, rows[:200]), points(spark, rows[200:]), "id", 2.0)
+    assert {(min(r), max(r)) for r in both.collect()} == {p for p in brute(rows, 2.0) if p[0] < 200 <= p[1]}
 
 
 def test_counts_of_copies_are_not_expanded(spark):
@@ -83,4 +85,8 @@ def test_containment_both_ways(spark):
     for limit in (1_000_000, 0):
         got = [tuple(r) for r in P.containing(points(spark, rows), "id", "x", "y", regions, "region_id", "coordinates", limit).collect()]
         assert len(got) == len(set(got)) and set(got) == want
+    huge = spark.createDataFrame([*SHAPES, (6, [[[[-1e7, -1e7], [1e7, -1e7], [1e7, 1e7], [-1e7, 1e7]]]])], "region_id bigint, coordinates array<array<array<array<double>>>>")
+    small = huge.unionByName(spark.createDataFrame([(100 + i, [[[[1e3 + i, 0.0], [1e3 + i, 1e-3], [1e3 + i + 1e-3, 0.0]]]]) for i in range(2000)], huge.schema))
+    got = {tuple(r) for r in P.containing(points(spark, rows), "id", "x", "y", small, "region_id", "coordinates", 0).collect()}
+    assert got == want | {(i, 6) for i, x, *_ in rows if x is not None}
     assert P.containing(points(spark, rows[:0]), "id", "x", "y", regions, "region_id", "coordinates").count() == 0
