@@ -375,11 +375,18 @@ def _snapped(points: np.ndarray, size: float | None = None) -> np.ndarray:
     return np.round(points, digits) + 0.0
 
 
-def split_segments(a: np.ndarray, b: np.ndarray, size: float | None = None, rounds: int = 6) -> tuple[np.ndarray, np.ndarray]:
-    """Segments cut wherever they meet one another; each undirected segment once. Points are snapped."""
+#: Rounds after which cutting is taken for endless: an error, never an unfinished result.
+ROUNDS = 1_000
+
+
+def split_segments(a: np.ndarray, b: np.ndarray, size: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Segments cut wherever they meet one another; each undirected segment once. Points are snapped.
+
+    Snapping moves cut segments a little, which may make new ones meet: cutting is repeated until none do.
+    """
     size = size or (float(max(np.abs(a).max(), np.abs(b).max())) if len(a) else 1.0)
     a, b = _snapped(a, size), _snapped(b, size)
-    for _ in range(rounds):
+    for _ in range(ROUNDS):
         swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
         a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
         seg = np.unique(np.hstack([a, b]), axis=0)
@@ -401,7 +408,7 @@ def split_segments(a: np.ndarray, b: np.ndarray, size: float | None = None, roun
             nb.append(chain[1:])
         rest = np.setdiff1d(np.arange(len(a)), list(cuts))
         a, b = np.vstack([a[rest], *na]), np.vstack([b[rest], *nb])
-    return a, b
+    raise ValueError(f"segments still cross after {ROUNDS} rounds of cutting")
 
 
 def _overlapping(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:

@@ -61,51 +61,50 @@ def hybrid_breaks(vals: DataFrame, classes: int) -> list[float]:
     return [low, *[a + (b - a) * i / (classes - 2) for i in range(1, classes - 2)], high]
 
 
-def roundness(x: float) -> float:
-    """How few digits a number needs: 1 for powers of ten, a little less for 5 and 2 of them, and so on."""
-    if x == 0:
-        return 1.0
-    text = f"{abs(x):.12e}"
-    digits = text.split("e")[0].replace(".", "").rstrip("0")
-    return 1 / len(digits) * (1.0 if digits[-1] in "1" else 0.9 if digits[-1] in "5" else 0.8 if digits[-1] in "2" else 0.6)
+# Round steps between 10 and 100, each with the unit that its first bound is rounded to.
+NICE_STEPS = {10: 10, 12: 2, 15: 5, 18: 2, 20: 10, 22: 2, 25: 5, 30: 10, 35: 5, 40: 10, 45: 5, 50: 50, 60: 10, 70: 10, 80: 10, 90: 10, 100: 10}
 
 
-def nice_breaks(vals: DataFrame, classes: int) -> list[float]:
-    """Equally spaced round bounds: the candidate with the best product of roundness and balance of the end classes.
+def nice_candidates(low: float, high: float, breaks: int) -> list[tuple[float, list[float]]]:
+    """(roundness, bounds) for the two round steps around the mean distance of bounds that run from ``low`` to ``high``.
 
-    Candidates are steps of 1, 2, 2.5 and 5 times powers of ten near the equal interval; how many values fall below
-    the first and above the last bound of each is counted in a single pass.
+    The first bound is one of the two multiples of the step's unit next to ``low``.
     """
-    n, low, high = vals.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
-    if not n or low == high or classes < 2:
-        return []
-    size = (high - low) / classes
-    power = 10.0 ** math.floor(math.log10(size))
-    found: list[tuple[float, float]] = []
-    for m in (0.5, 1, 2, 2.5, 5, 10, 20):
-        step = m * power
-        start = math.ceil(low / step) * step
-        while start + step * (classes - 2) < high:
-            if start > low:
-                found.append((start, step))
-            start += step
-            if len(found) > 400:
-                break
-    if not found:
-        return equal_breaks(low, high, classes)
-    aggs = []
-    for i, (start, step) in enumerate(found):
-        aggs += [F.sum((F.col("v") < start).cast("int")).alias(f"a{i}"), F.sum((F.col("v") >= start + step * (classes - 2)).cast("int")).alias(f"b{i}")]
-    r = vals.agg(*aggs).first()
-    share = n / classes
+    span = (high - low) / (breaks - 1) if breaks > 1 else max(abs(low), abs(high))
+    if not 1e-4 < span < 1e9:
+        raise LayerError("the range of the values is too small or too large for nice breaks")
+    power = 0
+    while span > 100 or span < 10:
+        span, power = (span / 10, power + 1) if span > 100 else (span * 10, power - 1)
+    scaled = (lambda v: v * 10**power) if power >= 0 else (lambda v: v / 10**-power)
+    steps = list(NICE_STEPS)
+    at = next(k for k in range(1, len(steps)) if steps[k - 1] <= span <= steps[k])
+    out = []
+    for step in steps[at - 1 : at + 1]:
+        unit = NICE_STEPS[step]
+        weight = 1.0 if unit >= 50 else 0.9 if unit >= 10 else 0.8 if unit >= 5 else 0.7
+        per = round(1 / scaled(unit)) if scaled(unit) < 1 else 1 / scaled(unit)
+        near = math.floor(low * per + 0.5) / per
+        for first in sorted((near, near + (scaled(unit) if low > near else -scaled(unit)))):
+            out.append((weight, [first + scaled(step) * i for i in range(breaks)]))
+    return out
 
-    def score(i: int) -> float:
-        start, step = found[i]
-        balance = min(1.0, min(r[f"a{i}"], r[f"b{i}"]) / share) if share else 0
-        return (roundness(step) + roundness(start)) * (0.05 + balance)
 
-    start, step = found[max(range(len(found)), key=lambda i: (score(i), -i))]
-    return [start + step * i for i in range(classes - 1)]
+def nice_breaks(vals: DataFrame, classes: int) -> list[float]:
+    """Equally spaced round bounds near the quantiles at the ends: the candidate with the best product of roundness and
+    balance, which is how near the first and last class come to an equal share. One pass counts all candidates."""
+    ends = quantile_breaks(vals, classes)
+    if not ends:
+        return []
+    found = nice_candidates(ends[0], ends[-1], classes - 1)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i, (_, b) in enumerate(found):
+        aggs += [F.count(F.when(F.col("v") < b[0], 1)).alias(f"a{i}"), F.count(F.when(F.col("v") >= b[-1], 1)).alias(f"b{i}")]
+    r = vals.agg(*aggs).first()
+    ideal = r["n"] / classes
+    share = lambda k: ideal / k if k > ideal else ideal / (2 * ideal - k)
+    quality = [w * (share(r[f"a{i}"]) + share(r[f"b{i}"])) / 2 for i, (w, _) in enumerate(found)]
+    return found[max(range(len(found)), key=lambda i: (quality[i], -i))][1]
 
 
 @dataclass
@@ -318,7 +317,7 @@ def text_hash(text: Column) -> Column:
     return mixed
 
 
-def components(df: DataFrame, id_col: str, members: str, rounds: int = 60) -> DataFrame:
+def components(df: DataFrame, id_col: str, members: str) -> DataFrame:
     """(id, component) of rows that share members of an array, directly or through others: the smallest id reached.
 
     Each round every row takes the least label among the rows it shares a member with, every label takes the least
@@ -330,7 +329,7 @@ def components(df: DataFrame, id_col: str, members: str, rounds: int = 60) -> Da
     links = written(links, "links")
     labels = links.groupBy("id").agg(F.min("id").alias("l"))
     shared = links.where(F.col("m").isNotNull())
-    for _ in range(rounds):
+    while True:
         least = shared.join(labels, "id").groupBy("m").agg(F.min("l").alias("n"), F.max("l").alias("x"))
         touched = salted_join(shared, least.where(F.col("n") < F.col("x")).select("m", "n"), ["m"], F.col("id"), "inner").groupBy("id").agg(F.min("n").alias("n"))
         reached = labels.join(touched, "id", "left")

@@ -21,6 +21,7 @@ from geolathe.operators.paths import changed, kernel
 from geolathe.operators.proximity import cells_at, level_of
 from geolathe.operators.table import layer_bounds, merge_layers, translator
 from geolathe.operators.topology import edges, outlines
+from geolathe.session import written
 
 #: Vertices up to which a layer is arranged as one tile.
 TILE_VERTICES = 20_000
@@ -126,43 +127,69 @@ def divide(lines: Layer, polygons: Layer, fields: list[str] | None = None, force
 # --- mosaics -------------------------------------------------------------------------------------------------------
 
 
-def tiles(shapes: DataFrame, bounds: list[float] | None, vertices: int) -> DataFrame:
-    """Faces of the arrangement of polygons (id, geometry): ``owners`` (sorted ids, empty in gaps), geometry.
+def tiles(shapes: DataFrame, bounds: list[float] | None, vertices: int, gaps: bool = False) -> DataFrame:
+    """Faces of the arrangement of polygons (id, geometry): ``owners`` (sorted ids), geometry, ``gap``.
 
     Beyond ``TILE_VERTICES`` the map is cut into a grid of tiles, a polygon's piece in each; faces on both sides of a
-    tile's border come apart and are merged again by their owners.
+    tile's border come apart and are merged again by their owners. With ``gaps`` the enclosed places without an owner
+    are faces too, with ``gap`` numbering them: pieces of one gap in several tiles have the same number.
     """
+    schema = f"owners array<bigint>, {GEOM} {SHAPE}, outer boolean"
     if bounds is None:
-        return shapes.sparkSession.createDataFrame([], f"owners array<bigint>, {GEOM} {SHAPE}")
+        return shapes.sparkSession.createDataFrame([], f"owners array<bigint>, {GEOM} {SHAPE}, gap bigint")
     n = max(1, math.ceil(math.sqrt(vertices / TILE_VERTICES)))
     x0, y0, x1, y1 = bounds
+    if gaps and n > 1:  # a margin around the map, so that what isn't enclosed meets its border
+        mx, my = (x1 - x0) / 64 or 1.0, (y1 - y0) / 64 or 1.0
+        x0, y0, x1, y1 = x0 - mx, y0 - my, x1 + mx, y1 + my
     w, h = (x1 - x0) / n or 1.0, (y1 - y0) / n or 1.0
     b = G.bounds(F.col(GEOM), False)
     at = lambda c, o, s: F.least(F.lit(n - 1), F.greatest(F.lit(0), F.floor((c - o) / s))).cast("int")
     placed = shapes.where(F.col(GEOM).isNotNull()).withColumn("tx", F.explode(F.sequence(at(b["xmin"], x0, w), at(b["xmax"], x0, w)))).withColumn("ty", F.explode(F.sequence(at(b["ymin"], y0, h), at(b["ymax"], y0, h))))
+    if gaps and n > 1:  # tiles without a polygon may lie within a gap
+        every = shapes.sparkSession.range(n * n).select(F.lit(-1).cast("long").alias("id"), F.lit(None).cast(SHAPE).alias(GEOM), (F.col("id") % n).cast("int").alias("tx"), F.floor(F.col("id") / n).cast("int").alias("ty"))
+        placed = placed.select("id", GEOM, "tx", "ty").unionByName(every)
 
-    size = max(abs(v) for v in bounds)
+    size = max(abs(v) for v in (x0, y0, x1, y1))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
         tx, ty = int(pdf["tx"].iloc[0]), int(pdf["ty"].iloc[0])
-        geoms = [[[list(map(float, p[:2])) for p in r] for r in g] for g in pdf[GEOM]]
+        geoms = [[[list(map(float, p[:2])) for p in r] for r in g] if g is not None else [] for g in pdf[GEOM]]
+        ids = pdf["id"].tolist()
         if n > 1:
             box = (x0 + tx * w, y0 + ty * h, x0 + (tx + 1) * w if tx < n - 1 else x1, y0 + (ty + 1) * h if ty < n - 1 else y1)
             geoms = [[c for r in g if (c := S.clip_ring(r, box))] for g in geoms]
-        ids = pdf["id"].tolist()
-        rows = [([int(ids[i]) for i in held], t) for t, held in S.mosaic(geoms, size)]
-        return pd.DataFrame(rows, columns=["owners", GEOM])
-
-    made = placed.groupBy("tx", "ty").applyInPandas(run, f"owners array<bigint>, {GEOM} {SHAPE}")
+            if gaps:  # the tile itself, so that its border bounds what has no owner
+                geoms[0] = [[[box[0], box[1]], [box[0], box[3]], [box[2], box[3]], [box[2], box[1]], [box[0], box[1]]]]
+        rows = []
+        for t, held in S.mosaic(geoms, size):
+            owners = [int(ids[i]) for i in held if ids[i] >= 0]
+            outer = n > 1 and any(abs(p[0] - v) <= 1e-9 * size for r in t for p in r for v in (x0, x1)) or n > 1 and any(abs(p[1] - v) <= 1e-9 * size for r in t for p in r for v in (y0, y1))
+            rows.append((owners, t, outer))
+        return pd.DataFrame(rows, columns=["owners", GEOM, "outer"])
+
+    made = placed.groupBy("tx", "ty").applyInPandas(run, schema)
+    none = F.lit(None).cast("long").alias("gap")
+    if n == 1 and not gaps:
+        return made.select("owners", GEOM, none)
+    numbered = with_fid(made, shuffled=True)
     if n == 1:
-        return made
-    owned = with_fid(made.where(F.size("owners") > 0), shuffled=True)
+        return numbered.select("owners", GEOM, F.when(F.size("owners") == 0, F.col(FID)).alias("gap"))
+    owned = numbered.where(F.size("owners") > 0)
     keys = owned.groupBy("owners").agg(F.min(FID).alias("_g"))
     faces = Layer(owned.select(FID, GEOM), "", "polygon")
     merged = outlines(edges(faces).join(owned.select(FID, "owners").join(keys, "owners").select(FID, "_g"), FID))
-    groups = merged.join(keys, "_g").select("owners", F.explode(kernel(S.nested, "array<array<array<array<double>>>>")(F.col(GEOM))).alias(GEOM))
-    return groups
+    groups = merged.join(keys, "_g").select("owners", F.explode(kernel(S.nested, "array<array<array<array<double>>>>")(F.col(GEOM))).alias(GEOM), none)
+    if not gaps:
+        return groups
+    from geolathe.operators.classify import components
+
+    free = numbered.where(F.size("owners") == 0)
+    sides = edges(Layer(free.select(FID, GEOM), "", "polygon")).groupBy(FID).agg(F.collect_list(F.to_json(F.struct("p", "q"))).alias("m"))
+    linked = free.join(components(sides, FID, "m").withColumnRenamed("component", "gap"), FID)
+    enclosed = linked.groupBy("gap").agg(F.bool_or("outer").alias("o")).where(~F.col("o")).select("gap")
+    return groups.unionByName(linked.join(enclosed, "gap").select("owners", GEOM, "gap"))
 
 
 def _vertices(layer: Layer) -> int:
@@ -231,16 +258,18 @@ def clean(layer: Layer, gap_area: float = 0.0, allow_overlaps: bool = False) ->
     layer.need_geometry("polygon")
     if allow_overlaps:
         return changed(layer, S.cleaned)
-    faces = tiles(layer.df.select(F.col(FID).alias("id"), GEOM), layer_bounds(layer), _vertices(layer))
+    faces = tiles(layer.df.select(F.col(FID).alias("id"), GEOM), layer_bounds(layer), _vertices(layer), gaps=bool(gap_area))
     owned = faces.where(F.size("owners") > 0).select(F.get("owners", F.lit(0)).alias("_g"), GEOM)
     if gap_area:
-        gaps = with_fid(faces.where((F.size("owners") == 0) & (G.area(F.col(GEOM)) <= gap_area)).drop("owners"), shuffled=True)
-        gl, ol = Layer(gaps, "", "polygon"), Layer(with_fid(owned, shuffled=True), "", "polygon")
-        ge = edges(gl).select(F.col(FID).alias("gap"), "p", "q")
+        free = written(faces.where(F.size("owners") == 0).select("gap", GEOM), "gaps")
+        small = free.groupBy("gap").agg(F.sum(G.area(F.col(GEOM))).alias("a")).where(F.col("a") <= gap_area).select("gap")
+        free = with_fid(free.join(small, "gap"), shuffled=True)
+        ol = Layer(with_fid(owned, shuffled=True), "", "polygon")
+        ge = edges(Layer(free.select(FID, GEOM), "", "polygon")).join(free.select(FID, "gap"), FID).select("gap", "p", "q")
         oe = edges(ol).join(ol.df.select(FID, "_g"), FID).select("_g", "p", "q")
         size = G.distance(F.col("p")["x"], F.col("p")["y"], F.col("q")["x"], F.col("q")["y"])
         best = ge.join(oe, ["p", "q"]).groupBy("gap", "_g").agg(F.sum(size).alias("n")).groupBy("gap").agg(F.min_by("_g", F.struct(-F.col("n"), F.col("_g"))).alias("_g"))
-        owned = owned.unionByName(gaps.join(best, gaps[FID] == best["gap"]).select("_g", GEOM))
+        owned = owned.unionByName(free.join(best, "gap").select("_g", GEOM))
     pieces = with_fid(owned, shuffled=True)
     merged = outlines(edges(Layer(pieces.select(FID, GEOM), "", "polygon")).join(pieces.select(FID, "_g"), FID))
     out = layer.df.drop(GEOM).join(merged, layer.df[FID] == merged["_g"], "left").drop("_g")

@@ -258,7 +258,7 @@ def filter_detail(layer: Layer, distance: float) -> Layer:
         i = 0
         while i < len(out) - 2:
             way, best = 0.0, None
-            for j in range(i + 1, min(len(out), i + 40)):
+            for j in range(i + 1, len(out)):
                 way += S.hop(out[j - 1], out[j], False)
                 if way > 4 * distance:
                     break

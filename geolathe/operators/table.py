@@ -375,27 +375,27 @@ def split_on_grid(layer: Layer, cols: int, rows: int, bbox: list[float] | None =
     return layer.df.withColumn("cell", F.concat(F.lit("r"), place(cy, b[1], b[3], rows).cast("string"), F.lit("c"), place(cx, b[0], b[2], cols).cast("string")))
 
 
-def subdivide(layer: Layer, expression: str, defs: dict | None = None, most: int = 64) -> DataFrame:
+def subdivide(layer: Layer, expression: str, defs: dict | None = None) -> DataFrame:
     """``layer.df`` with ``cell``: halved along the longer side of its bounds until the calc expression isn't true.
 
-    A round handles all cells that still split at once: one aggregation and one numbering within cells.
+    A round handles all cells that still split at once: one aggregation and one numbering within cells. Cells of one
+    row aren't split, so rounds end with the logarithm of the rows.
     """
     point = layer.geometry_type == "point"
     box = G.bounds(F.col(GEOM), point)
     df = layer.df.withColumn("_cx", (box["xmin"] + box["xmax"]) / 2).withColumn("_cy", (box["ymin"] + box["ymax"]) / 2).withColumn("cell", F.lit(""))
-    for _ in range(most):
+    while True:
         current = layer.with_df(df)
         plan, outputs = compiled(expression, translator(current, defs), point=point)
         stats = grouped(df, ["cell"], plan, {"_w": F.max("_cx") - F.min("_cx"), "_h": F.max("_cy") - F.min("_cy"), "_rows": F.count(F.lit(1))})
         todo = stats.where(truth(outputs[-1][1]) & (F.col("_rows") > 1)).select("cell", (F.col("_w") >= F.col("_h")).alias("_wide"), "_rows")
         if todo.isEmpty():
-            break
+            return df.drop("_cx", "_cy")
         joined = df.join(todo, "cell", "left")
         order = Window.partitionBy("cell").orderBy(F.when(F.col("_wide"), F.col("_cx")).otherwise(F.col("_cy")), FID)
         half = F.row_number().over(order) <= F.ceil(F.col("_rows") / 2)
         df = joined.withColumn("cell", F.when(F.col("_rows").isNull(), F.col("cell")).otherwise(F.concat("cell", F.when(half, "a").otherwise("b")))).drop("_wide", "_rows")
         df = written(df, "subdivide")
-    return df.drop("_cx", "_cy")
 
 
 # --- information ---------------------------------------------------------------------------------------------------

@@ -670,7 +670,7 @@ def _rotate(p: Pipeline, x: Layer, c: Command) -> Layer:
 
 def _dots(p: Pipeline, x: Layer, c: Command) -> Layer:
     """Random points in polygons, one per ``per-dot`` units of each field; seeded by the feature, so repeatable."""
-    from geolathe.functions.shapes import in_ring, nested
+    from geolathe.functions.shapes import in_ring, nested, ring_area
 
     fields = c.list("fields") or []
     per = c.number("per-dot") or 1.0
@@ -683,11 +683,12 @@ def _dots(p: Pipeline, x: Layer, c: Command) -> Layer:
         rng = random.Random(fid)
         flat = [q for r in parts for q in r]
         box = [min(q[0] for q in flat), min(q[1] for q in flat), max(q[0] for q in flat), max(q[1] for q in flat)]
-        out = []
+        out: list = []
+        if not sum(map(ring_area, parts)) > 0:  # no room for a point
+            return out
         for k, m in enumerate(wanted):
-            got = tries = 0
-            while got < m and tries < 1000 * (m + 1):
-                tries += 1
+            got = 0
+            while got < m:
                 q = [rng.uniform(box[0], box[2]), rng.uniform(box[1], box[3])]
                 if any(in_ring(*q, g[0]) and not any(in_ring(*q, h) for h in g[1:]) for g in nested(parts)):
                     out.append([q[0], q[1], float(k)])
