@@ -4,10 +4,12 @@ needed (an output, an aggregate, a condition)."""
 from __future__ import annotations
 
 import fnmatch
+import glob
 import json
 import math
 import random
 import re
+import sys
 from collections.abc import Callable
 from dataclasses import replace
 from pathlib import Path
@@ -156,7 +158,9 @@ class Pipeline:
         if kind in ("json", "ndjson"):
             return IO.read_json(self.spark, path, c.get("json-path"), kind == "ndjson" or c.flag("ndjson"), name)  # type: ignore[arg-type]
         if kind in ("shp", "dbf"):
-            return IO.read_shapefile(self.spark, path, str(c.get("encoding") or "utf-8"), name)
+            return IO.read_shapefile(self.spark, path, c.get("encoding"), name)  # type: ignore[arg-type]
+        if kind == "zip":
+            return IO.read_zip(self.spark, path, c.get("encoding"))  # type: ignore[arg-type]
         if kind == "kml":
             return IO.read_kml(self.spark, path, name)
         if kind == "gpkg":
@@ -185,17 +189,27 @@ class Pipeline:
         paths = c.values or c.list("files") or []
         if not paths:
             raise CommandError("-i needs a file")
+        if "-" in paths and "-" not in self.inputs:
+            self.inputs["-"] = sys.stdin.read()
+        paths = [q for p in paths for q in (sorted(glob.glob(p)) or [p] if re.search(r"[*?\[]", p) and p not in self.inputs else [p])]
         got: dict[str, Layer] = {}
         for p in paths:
             for n, x in self.read(p, c).items():
-                got[n] = x
+                new, k = n, 2
+                while new in got:  # files of the same name in several folders
+                    new, k = f"{n}-{k}", k + 1
+                got[new] = x
         if c.flag("merge-files") and len(got) > 1:
             merged = T.merge_layers(list(got.values()), force=True)
             got = {str(c.get("name") or "layer"): merged}
         self.targets = [self.put(x, n) for n, x in got.items()]
 
     def do_o(self, c: Command) -> None:
-        """Adds each target to ``outputs`` by file name; with ``dir=`` (or a path) it's written there."""
+        """Adds each target to ``outputs``: the content by file name or, where the file has a path, the path it's at.
+
+        Tables, JSON lines, records and features are written to a path as a folder of files, by all tasks, without a
+        row on the driver (``single-file`` asks for one file); formats that are one file by nature go through it.
+        """
         names = self.chosen(c)
         file = str(c.get("file") or "")
         form = str(c.get("format") or {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "", "geojson": "geojson", "ndjson": "ndjson", "topojson": "topojson", "shp": "shapefile", "dbf": "dbf", "kml": "kml", "gpkg": "gpkg", "parquet": "geoparquet"}.get(Path(file).suffix.lstrip("."), ""))
@@ -216,6 +230,20 @@ class Pipeline:
                 IO.write_parquet(x, path, str(c.get("compression") or "snappy"), int(c.number("level")) if c.get("level") else None)  # type: ignore[arg-type]
                 self.outputs[Path(path).name] = path
                 continue
+            if c.flag("cut-table") and x.geometry_type:
+                self.outputs[f"{stem}-table.json"] = IO.content(x.with_df(x.df.drop(GEOM), geometry_type=None), "json")["json"]
+                x = T.filter_fields(x, [])
+            out = file if len(names) == 1 or not file else str(Path(file).with_name(f"{name}{Path(file).suffix}"))
+            if "/" in file and not c.flag("single-file") and form_ in ("csv", "json", "ndjson", "geojson"):
+                gzip = c.flag("gzip") or out.endswith(".gz")
+                if form_ == "csv":
+                    IO.write_csv(x, out, str(c.get("delimiter") or ("\t" if file.endswith(".tsv") else ",")), c.flag("decimal-comma"), gzip)
+                elif c.flag("ndjson") or form_ == "ndjson":
+                    IO.write_ndjson(x, out, form_ != "json", gzip)
+                else:
+                    IO.write_documents(x if form_ == "geojson" else x.with_df(x.df.drop(GEOM), geometry_type=None), out, rfc7946=c.flag("rfc7946"), id_field=c.get("id-field"), gzip=gzip)
+                self.outputs[Path(out).name] = out
+                continue
             options = dict(delimiter=c.get("delimiter") or ("\t" if file.endswith(".tsv") else None), decimal_comma=c.flag("decimal-comma"), rfc7946=c.flag("rfc7946"), id_field=c.get("id-field"), ndjson=c.flag("ndjson"), quantization=int(c.number("quantization")) if c.get("quantization") else None)  # type: ignore[arg-type]
             for ext, data in IO.content(x, form_, **options).items():
                 out = file if Path(file).suffix and len(names) == 1 and form_ not in ("shapefile",) else f"{stem}.{ext}"

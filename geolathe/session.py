@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -29,13 +31,18 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir. Where that is unset, a local session gets a temporary
+    one, deleted at its end; on a cluster it's an error, as no other machine would see such a folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="geolathe-"))
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        made = tempfile.mkdtemp(prefix="geolathe-")
+        atexit.register(shutil.rmtree, made, ignore_errors=True)
+        context.setCheckpointDir(made)
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -48,8 +55,28 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder once and read back: cuts lineage and survives lost executors."""
+    """``df`` written to the shared folder once and read back: cuts lineage and survives lost executors.
+
+    The table goes when the session ends: results that read it are lazy, so it can't go before.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _WRITTEN:
+        atexit.register(cleared)
+    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
+
+
+_WRITTEN: list[tuple[SparkSession, str]] = []
+
+
+def cleared() -> None:
+    """Deletes the tables that ``written`` left; runs by itself at the end of the driver."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the session has ended before
+            return

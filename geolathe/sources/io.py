@@ -10,6 +10,7 @@ import csv
 import json
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 from pathlib import Path
 
 import pandas as pd
@@ -32,7 +33,9 @@ DELIMITERS = ["|", "\t", ",", ";"]
 def file_type(path: str, head: str = "") -> str:
     """The format by extension, then by content."""
     ext = Path(path).suffix.lower().lstrip(".")
-    known = {"csv": "csv", "tsv": "csv", "txt": "csv", "tab": "csv", "json": "json", "geojson": "json", "ndjson": "ndjson", "geojsonl": "ndjson", "topojson": "json", "shp": "shp", "dbf": "dbf", "parquet": "parquet", "geoparquet": "parquet", "gpkg": "gpkg", "kml": "kml"}
+    known = {"csv": "csv", "tsv": "csv", "txt": "csv", "tab": "csv", "json": "json", "geojson": "json", "ndjson": "ndjson", "geojsonl": "ndjson", "topojson": "json", "shp": "shp", "dbf": "dbf", "parquet": "parquet", "geoparquet": "parquet", "gpkg": "gpkg", "kml": "kml", "zip": "zip", "kmz": "zip"}
+    if ext == "gz":
+        ext = Path(path).with_suffix("").suffix.lower().lstrip(".")
     if ext in known:
         return known[ext]
     start = head.lstrip()[:1]
@@ -83,6 +86,20 @@ def inferred(df: DataFrame, string_fields: list[str] | None = None, field_types:
     return df.select(*[(number_of(F.col(f"`{f}`"), decimal_comma) if f in numeric else F.coalesce(F.col(f"`{f}`"), F.lit("")) if f in names else F.col(f"`{f}`")).alias(f) for f in df.columns])
 
 
+def without_first(lines: DataFrame, n: int) -> DataFrame:
+    """The lines of text files (``value``) without the first ``n`` of each file.
+
+    These lie in a file's first block. Where that begins among the rows is found by one pass over the blocks at the
+    beginning of files; the result has a row per file, no more than the driver lists for the scan.
+    """
+    if not n:
+        return lines.select("value")
+    rows = lines.select("value", F.col("_metadata.file_path").alias("_file"), (F.col("_metadata.file_block_start") == 0).alias("_head"), F.monotonically_increasing_id().alias("_at"))
+    first = rows.where("_head").groupBy("_file").agg(F.min("_at").alias("_first"))
+    kept = rows.join(F.broadcast(first), "_file", "left").where(~F.col("_head") | (F.col("_at") - F.col("_first") >= n))
+    return kept.select("value")
+
+
 def read_csv(spark: SparkSession, paths: str | list[str], delimiter: str | None = None, encoding: str = "UTF-8", skip_lines: int = 0, lines: int | None = None, field_names: list[str] | None = None, fields: list[str] | None = None, where: str | None = None, string_fields: list[str] | None = None, field_types: dict[str, str] | None = None, decimal_comma: bool = False, multiline: bool = False, name: str = "") -> Layer:
     """A table from delimited text with a header. Everything is read as text first; types are decided by the data.
 
@@ -98,11 +115,12 @@ def read_csv(spark: SparkSession, paths: str | list[str], delimiter: str | None
     names = field_names or [n.strip() for n in next(csv.reader([header], delimiter=d))]
     names = unique_names([n or f"field{i + 1}" for i, n in enumerate(names)])
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    reader = spark.read.schema(schema).option("sep", d).option("quote", '"').option("escape", '"').option("encoding", encoding).option("multiLine", multiline).option("mode", "PERMISSIVE")
-    df = reader.option("header", skip_lines == 0 and not field_names).csv(paths)
-    if skip_lines or field_names:
-        numbered = with_fid(df)
-        df = numbered.where(F.col(FID) >= skip_lines + (0 if field_names else 1)).drop(FID)
+    options = {"sep": d, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    if skip_lines or (field_names and not multiline):
+        lines_ = without_first(spark.read.option("encoding", encoding).text(paths), skip_lines + (0 if field_names else 1))
+        df = lines_.where(F.trim("value") != "").select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), options).alias("r")).select("r.*")
+    else:
+        df = spark.read.schema(schema).options(**options).option("encoding", encoding).option("multiLine", multiline).option("header", not field_names).csv(paths)
     if where:
         t = Translator.of(df.schema)
         df = df.where(F.coalesce(t.column(where).col, F.lit(False)))
@@ -117,16 +135,20 @@ def read_csv(spark: SparkSession, paths: str | list[str], delimiter: str | None
 
 
 def read_fixed_width(spark: SparkSession, path: str, name: str = "") -> Layer:
-    """A table in columns of fixed width: a column begins where all lines of the head go from blank to text."""
+    """A table in columns of fixed width: a column begins where the header goes from blank to text and every line has
+    a blank before. The last column goes to the end of the line."""
     rows = spark.read.text(path)
-    head = [r[0] for r in rows.limit(200).collect()]
-    width = max(map(len, head), default=0)
-    blank = [all(len(h) <= i or h[i] == " " for h in head) for i in range(width)]
-    starts = [i for i in range(width) if not blank[i] and (i == 0 or blank[i - 1])]
-    ends = [*starts[1:], width + 1000]
-    names = unique_names([head[0][a:b].strip() for a, b in zip(starts, ends)])
+    head = rows.first()
+    if head is None:
+        return Layer(with_fid(rows.drop("value")), name or Path(path).stem)
+    header = head[0]
+    begins = [i for i in range(1, len(header)) if header[i] != " " and header[i - 1] == " "]
+    taken = rows.agg(F.lit(True), *[F.max(~F.substring("value", i, 1).isin("", " ")).alias(f"t{i}") for i in begins]).first() if begins else {}
+    starts = [0, *[i for i in begins if not taken[f"t{i}"]]]
+    ends = [*starts[1:], None]
+    names = unique_names([header[a:b].strip() for a, b in zip(starts, ends)])
+    cells_ = [F.trim(F.substring("value", a + 1, b - a) if b is not None else F.expr(f"substring(value, {a + 1})")).alias(n) for n, a, b in zip(names, starts, ends)]
     df = with_fid(rows).where(F.col(FID) > 0)
-    cells_ = [F.trim(F.substring("value", a + 1, b - a)).alias(n) for n, a, b in zip(names, starts, ends)]
     return Layer(with_fid(inferred(df.orderBy(FID).select(*cells_)), shuffled=True), name or Path(path).stem)
 
 
@@ -262,20 +284,103 @@ def binary(spark: SparkSession, paths: list[str]) -> DataFrame:
     return df.select(F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("ext"), "content")
 
 
-def read_shapefile(spark: SparkSession, path: str, encoding: str = "utf-8", name: str = "") -> dict[str, Layer]:
-    """A .shp with the .dbf beside it (if there is one), or a .dbf alone."""
-    stem = re.sub(r"\.(shp|dbf)$", "", path, flags=re.I)
-    present = [p for p in (stem + ".shp", stem + ".dbf") if Path(p.removeprefix("file:")).exists() or p == path]
-    label = name or Path(stem).name
-
+def sidecars(files: dict[str, bytes], encoding: str | None) -> str:
+    """The encoding of a .dbf: as asked for, or what a .cpg beside it names."""
+    import codecs
+
+    named = files.get("cpg", b"").decode("ascii", "replace").strip()
+    named = f"cp{named[4:].strip()}" if named.upper().startswith("ANSI") else f"cp{named}" if named.isdigit() and len(named) < 5 else named
+    for name in (encoding, named):
+        try:
+            return codecs.lookup(name).name if name else ""
+        except LookupError:
+            continue
+    return ""
+
+
+def crs_of(prj: str) -> str | None:
+    """The coordinate system that the text of a .prj describes, where it's one known by name; else the text itself."""
+    flat = re.sub(r"\s+", "", prj)
+    if not flat:
+        return None
+    if flat.upper().startswith("GEOGCS") and re.search(r"WGS_?(19)?84", flat, re.I):
+        return "wgs84"
+    if re.search(r"Mercator_Auxiliary_Sphere|Popular_Visualisation", flat, re.I):
+        return "webmercator"
+    zone = re.search(r"UTM_?[Zz]one_?(\d+)([NS])", flat, re.I)
+    if zone and re.search(r"WGS_?(19)?84", flat, re.I):
+        return f"+proj=utm +zone={zone.group(1)}{' +south' if zone.group(2).upper() == 'S' else ''}"
+    return prj.strip()
+
+
+def _shapes(label: str, encoding: str | None) -> Callable[[dict[str, bytes]], Iterator[fmt.Feature]]:
     def decode(files: dict[str, bytes]) -> Iterator[fmt.Feature]:
         kind, shapes = fmt.read_shp(files["shp"]) if "shp" in files else (None, [])
-        rows = fmt.read_dbf(files["dbf"], encoding) if "dbf" in files else [{} for _ in shapes]
+        rows = fmt.read_dbf(files["dbf"], sidecars(files, encoding) or "utf-8") if "dbf" in files else [{} for _ in shapes]
         for i, props in enumerate(rows):
             parts = fmt.shp_parts(kind, shapes[i]) if i < len(shapes) else None
             yield label, kind, parts, props
 
-    return decoded(binary(spark, present), decode, label)
+    return decode
+
+
+def read_shapefile(spark: SparkSession, path: str, encoding: str | None = None, name: str = "") -> dict[str, Layer]:
+    """A .shp with the .dbf, .cpg (encoding) and .prj (coordinate system) beside it, as far as there are, or a .dbf."""
+    stem = re.sub(r"\.(shp|dbf)$", "", path, flags=re.I)
+    local = [Path((stem + e).removeprefix("file:")) for e in (".shp", ".dbf", ".cpg", ".prj", ".SHP", ".DBF", ".CPG", ".PRJ")]
+    present = list(dict.fromkeys([str(p) for p in local if p.exists()])) or [path]
+    if path.lower().endswith(".dbf"):
+        present = [p for p in present if p.lower().endswith((".dbf", ".cpg"))] or [path]
+    label = name or Path(stem).name
+    out = decoded(binary(spark, present), _shapes(label, encoding), label)
+    prj = next((Path(p).read_text(errors="replace") for p in present if p.lower().endswith(".prj")), "")
+    return {n: replace(x, crs=crs_of(prj) or x.crs) if x.geometry_type else x for n, x in out.items()}
+
+
+def read_zip(spark: SparkSession, path: str, encoding: str | None = None) -> dict[str, Layer]:
+    """The layers of the files in an archive (.zip, .kmz): unpacked by a task, then read by their types."""
+    packed = spark.read.format("binaryFile").load(path).select("content")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import io
+        import zipfile
+
+        for pdf in batches:
+            for content in pdf["content"]:
+                with zipfile.ZipFile(io.BytesIO(bytes(content))) as z:
+                    names = [n for n in z.namelist() if not n.endswith("/") and not Path(n).name.startswith((".", "__MACOSX"))]
+                    yield pd.DataFrame({"stem": [Path(n).stem for n in names], "ext": [Path(n).suffix.lower().lstrip(".") for n in names], "content": [z.read(n) for n in names]})
+
+    files = written(packed.mapInPandas(unpack, "stem string, ext string, content binary"), "unpacked")
+    out: dict[str, Layer] = {}
+    held: dict[str, set] = {}
+    for r in files.select("stem", "ext").collect():
+        held.setdefault(r["stem"], set()).add(r["ext"])
+    for stem, exts in sorted(held.items()):
+        own = files.where(F.col("stem") == stem)
+        if exts & {"shp", "dbf"}:
+            got = decoded(own.where(F.col("ext").isin("shp", "dbf", "cpg", "prj")), _shapes(stem, encoding), stem)
+            prj = own.where(F.col("ext") == "prj").first()
+            out |= {n: replace(x, crs=crs_of(bytes(prj["content"]).decode("utf-8", "replace")) if prj else x.crs) for n, x in got.items()}
+        for ext in sorted(exts):
+            one = own.where(F.col("ext") == ext)
+            text_ = one.select(F.decode("content", "UTF-8").alias("value"))
+            if ext == "kml":
+                out |= decoded(one, lambda files, stem=stem: ((stem, k, p, d) for _, k, p, d in fmt.read_kml(files["kml"].decode())), stem)
+            elif ext == "gpkg":
+                out |= decoded(one, lambda files: fmt.read_gpkg(files["gpkg"], None), stem)
+            elif ext in ("json", "geojson", "topojson"):
+                out |= json_layers(text_, None, stem)
+            elif ext in ("ndjson", "geojsonl"):
+                out |= from_json_rows(text_.select(F.explode(F.split("value", r"\r?\n")).alias("j")).where(F.trim("j") != ""), stem)
+            elif ext in ("csv", "tsv", "txt", "tab"):
+                lines = text_.select(F.posexplode(F.split(F.regexp_replace("value", "^\ufeff", ""), r"\r?\n")).alias("i", "value")).where(F.trim("value") != "")
+                header = lines.orderBy("i").first()["value"]
+                d = guess_delimiter(header)
+                names = unique_names([n.strip() or f"field{i + 1}" for i, n in enumerate(next(csv.reader([header], delimiter=d)))])
+                rows = lines.where("i > 0").select(F.from_csv("value", ", ".join(f"`{n}` string" for n in names), {"sep": d, "quote": '"', "escape": '"'}).alias("r")).select("r.*")
+                out[stem] = Layer(with_fid(inferred(rows)), stem)
+    return out
 
 
 def read_kml(spark: SparkSession, path: str, name: str = "") -> dict[str, Layer]:
@@ -342,26 +447,25 @@ def write_parquet(layer: Layer, path: str, compression: str = "snappy", level: i
 # --- text sinks ----------------------------------------------------------------------------------------------------
 
 
-def cells(layer: Layer) -> list[Column]:
+def cells(layer: Layer, decimal_comma: bool = False) -> list[Column]:
     """Fields as texts for a delimited file: null is empty, nested values are JSON, whole numbers have no point."""
+    numbers = {f for f, t in layer.df.dtypes if decimal_comma and t in ("double", "float")}
     scope = Translator.of(T.StructType([f for f in layer.df.schema.fields if f.name in layer.fields]))
-    return [F.when(F.col(f"`{f}`").isNull(), F.lit("")).otherwise(text(Value(F.col(f"`{f}`"), scope.fields[f].kind), "")).alias(f) for f in layer.fields]
+    plain = {f: F.when(F.col(f"`{f}`").isNull(), F.lit("")).otherwise(text(Value(F.col(f"`{f}`"), scope.fields[f].kind), "")) for f in layer.fields}
+    return [(F.replace(c, F.lit("."), F.lit(",")) if f in numbers else c).alias(f) for f, c in plain.items()]
 
 
 def csv_lines(layer: Layer, delimiter: str = ",", decimal_comma: bool = False) -> DataFrame:
     """(fid, line): cells are quoted only where they need it."""
-    cols = cells(layer)
-    if decimal_comma:
-        numbers = {f for f, t in layer.df.dtypes if t in ("double", "float")}
-        cols = [F.replace(c, F.lit("."), F.lit(",")).alias(f) if f in numbers else c for c, f in zip(cols, layer.fields)]
+    cols = cells(layer, decimal_comma)
     special = re.escape(delimiter) + r'"\r\n'
     quoted = [F.when(c.rlike(f"[{special}]"), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c) for c in cols]
     return layer.df.select(FID, F.concat_ws(delimiter, *quoted).alias("line"))
 
 
-def write_csv(layer: Layer, path: str, delimiter: str = ",") -> None:
-    """A folder of delimited files, each with a header."""
-    layer.df.orderBy(FID).select(*cells(layer)).write.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("emptyValue", "").mode("overwrite").csv(path)
+def write_csv(layer: Layer, path: str, delimiter: str = ",", decimal_comma: bool = False, gzip: bool = False) -> None:
+    """A folder of delimited files, each with a header, in row order from file to file."""
+    layer.df.orderBy(FID).select(*cells(layer, decimal_comma)).write.option("compression", "gzip" if gzip else "none").option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("emptyValue", "").mode("overwrite").csv(path)
 
 
 def feature_json(layer: Layer, rfc7946: bool = False, id_field: str | None = None) -> DataFrame:
@@ -384,10 +488,28 @@ def record_json(layer: Layer) -> DataFrame:
     return layer.df.select(FID, F.to_json(F.struct(*[F.col(f"`{f}`") for f in layer.fields]), {"ignoreNullFields": "false"}).alias("j"))
 
 
-def write_ndjson(layer: Layer, path: str, features: bool = True) -> None:
+def write_ndjson(layer: Layer, path: str, features: bool = True, gzip: bool = False) -> None:
     """A folder of JSON lines: features, or records of a table."""
     rows = feature_json(layer) if layer.geometry_type and features else record_json(layer)
-    rows.orderBy(FID).select("j").write.mode("overwrite").text(path)
+    rows.orderBy(FID).select("j").write.option("compression", "gzip" if gzip else "none").mode("overwrite").text(path)
+
+
+def write_documents(layer: Layer, path: str, **options: object) -> None:
+    """A folder of JSON files, each a document of its own: an array of records, or a GeoJSON collection of features."""
+    rows, head, tail = record_json(layer), "[", "]"
+    if layer.geometry_type:
+        rows = feature_json(layer, bool(options.get("rfc7946")), options.get("id_field"))  # type: ignore[arg-type]
+        head, tail = '{"type":"FeatureCollection", "features": [', "]}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for b in batches:
+            texts = b.column("j").to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([(head + "\n" if first and i == 0 else ",") + t for i, t in enumerate(texts)], pa.string())], ["value"])
+            first = first and not texts
+        yield pa.RecordBatch.from_arrays([pa.array([head + "\n" + tail if first else tail], pa.string())], ["value"])
+
+    rows.orderBy(FID).select("j").mapInArrow(run, "value string").write.option("compression", "gzip" if options.get("gzip") else "none").mode("overwrite").text(path)
 
 
 def rows_of(layer: Layer) -> Iterator[tuple[list | None, dict]]:

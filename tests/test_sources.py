@@ -82,3 +82,57 @@ def test_stream(spark, tmp_path):
 
     got = ST.available(spark, str(tmp_path / "s"), lambda x: T.each(T.filter_rows(x, "g == 1"), "w = v * 2"), "id")
     assert sorted(r["w"] for r in got.collect()) == [2.0 * i for i in range(20) if i % 3 == 1]
+
+
+def test_lines_are_skipped_in_every_file(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"s{i}.csv").write_text(f"made by x\n\na,b\n{i},p\n{i + 10},q\n")
+    x = IO.read_csv(spark, [str(tmp_path / f"s{i}.csv") for i in range(3)], skip_lines=2)
+    assert sorted((r["a"], r["b"]) for r in x.df.collect()) == [(float(i), "p") for i in range(3)] + [(float(i + 10), "q") for i in range(3)]
+    y = IO.read_csv(spark, [str(tmp_path / f"s{i}.csv") for i in range(2)], skip_lines=3, field_names=["u", "v"])
+    assert sorted(r["u"] for r in y.df.collect()) == [0.0, 1.0, 10.0, 11.0]
+
+
+def test_the_last_column_of_fixed_width_is_open(spark, tmp_path):
+    (tmp_path / "w.txt").write_text("id  note\n" + "".join(f"{i:<4}ab cd\n" for i in range(300)) + "7   " + "x" * 5000 + "\n")
+    x = IO.read_fixed_width(spark, str(tmp_path / "w.txt"))
+    assert x.fields == ["id", "note"] and x.df.where("length(note) = 5000").count() == 1 and x.df.count() == 301
+
+
+def test_output_to_a_path_is_written_by_tasks(spark, tmp_path):
+    from geolathe.plans.pipeline import Pipeline
+
+    text = "a,b\n" + "\n".join(f"{i},x{i}" for i in range(50))
+    for name in ("t.csv", "t.json", "t.ndjson", "t.csv.gz"):
+        p = Pipeline(spark, {"i.csv": text}).run(f"-i i.csv -o {tmp_path}/{name} " + ("format=csv" if name.endswith("gz") else ""))
+        assert p.outputs == {name: f"{tmp_path}/{name}"} and (tmp_path / name).is_dir()
+        q = Pipeline(spark).run(f"-i {tmp_path}/{name}")
+        assert sorted((r["a"], r["b"]) for r in q.layer().df.collect()) == sorted((float(i), f"x{i}") for i in range(50)), name
+    (tmp_path / "g.geojson").write_text(json.dumps(SHAPES))
+    Pipeline(spark).run(f"-i {tmp_path}/g.geojson -o {tmp_path}/out.geojson")
+    assert plain(Pipeline(spark).run(f"-i {tmp_path}/out.geojson").layer()) == plain(IO.read_json(spark, str(tmp_path / "g.geojson"))["g"])
+    Pipeline(spark, {"i.csv": text}).run(f"-i i.csv -o {tmp_path}/one.csv single-file")
+    assert (tmp_path / "one.csv").read_text() == text
+
+
+def test_archives_sidecars_and_patterns(spark, tmp_path):
+    import zipfile
+
+    from geolathe.plans.pipeline import Pipeline
+
+    (tmp_path / "g.geojson").write_text(json.dumps(SHAPES))
+    x = IO.read_json(spark, str(tmp_path / "g.geojson"))["g"]
+    parts = {e: d for e, d in IO.content(x, "shapefile").items()}
+    parts |= {"cpg": b"UTF-8", "prj": b'GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137,298.257223563]]]'}
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        for e, d in parts.items():
+            z.writestr(f"in/s.{e}", d)
+            (tmp_path / f"s.{e}").write_bytes(d)
+        z.writestr("t.csv", "a,b\n1,x\n2,\"y, z\"\n")
+    got = Pipeline(spark).run(f"-i {tmp_path}/z.zip").layers
+    assert set(got) == {"s", "t"} and plain(got["s"]) == plain(x) and got["s"].crs == "wgs84"
+    assert sorted((r["a"], r["b"]) for r in got["t"].df.collect()) == [(1.0, "x"), (2.0, "y, z")]
+    assert IO.read_shapefile(spark, str(tmp_path / "s.shp"))["s"].crs == "wgs84"
+    for n in "pq":
+        (tmp_path / f"m_{n}.csv").write_text("a\n1\n")
+    assert set(Pipeline(spark).run(f"-i {tmp_path}/m_*.csv").layers) == {"m_p", "m_q"}
