@@ -162,7 +162,7 @@ def _member(span: str, *names: str) -> F.Column:
 
 
 def features(packets: DataFrame, id_col: str, body: str) -> DataFrame:
-    """A row per feature: its own members and the scalar properties, HU as a map from year to share."""
+    """A row per feature: its own members and the scalar properties. HU, which has a member per year, is ``hu``."""
     df = flattened(packets, id_col, body, ("feature",), spans=True)
     # properties may be an object or its JSON text: both come back from get_json_object as the object's text
     p = df.withColumn("_p", _member("span", "properties"))
@@ -175,16 +175,29 @@ def features(packets: DataFrame, id_col: str, body: str) -> DataFrame:
         _member("_p", "RANK").try_cast("int").alias("rank"),
         _member("_p", "TYPE").alias("type"),
         _member("_p", "id").alias("id"),
-        F.from_json(_member("_p", "HU"), "map<string,double>").alias("hu"),
     )
 
 
+def hu(packets: DataFrame, id_col: str, body: str) -> DataFrame:
+    """A row per member of a feature's HU object: its name and its number."""
+    df = flattened(packets, id_col, body, ("feature",), spans=True)
+    shares = F.from_json(_member("_p", "HU"), "map<string,double>")
+    return df.withColumn("_p", _member("span", "properties")).select(id_col, "feature_no", F.explode(shares).alias("hu_name", "hu_share"))
+
+
 def parts(packets: DataFrame, id_col: str, body: str) -> DataFrame:
     """A row per line of a geometry, linked to its feature, with its points as [x, y(, z)]."""
     df = flattened(packets, id_col, body, ("part",), spans=True)
     return df.select(id_col, "feature_no", F.col("child_no").alias("part_no"), F.from_json("span", "array<array<double>>").alias("points"))
 
 
+def points(packets: DataFrame, id_col: str, body: str) -> DataFrame:
+    """A row per point of a line part, linked to it: place, x, y and z (null in two dimensions)."""
+    at = lambda i: F.get("_xy", F.lit(i))
+    df = parts(packets, id_col, body).select(id_col, "feature_no", "part_no", F.posexplode("points").alias("point_no", "_xy"))
+    return df.select(id_col, "feature_no", "part_no", "point_no", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+
+
 def wui(packets: DataFrame, id_col: str, body: str) -> DataFrame:
     """A row per WUI record, linked to its feature."""
     df = flattened(packets, id_col, body, ("wui",), spans=True)

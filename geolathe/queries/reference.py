@@ -564,7 +564,17 @@ def precinct_layer(spark: SparkSession, root: str) -> Layer:
     return Layer(made, "precincts", "polygon")
 
 
-@query(None)
+# rings of the precincts, closed or not, as edges without repeated points; areas count holes against their polygon
+EDGES = """
+r AS (SELECT precinct_id AS id, county, p, k, coordinates[p][k] AS ring FROM (SELECT precinct_id, county, coordinates, p, unnest(range(1, len(coordinates[p]) + 1)) AS k FROM (SELECT precinct_id, county, coordinates, unnest(range(1, len(coordinates) + 1)) AS p FROM precincts))),
+e AS (SELECT id, county, p, k, ring[i][1] AS ax, ring[i][2] AS ay, ring[i % len(ring) + 1][1] AS cx, ring[i % len(ring) + 1][2] AS cy FROM (SELECT *, unnest(range(1, len(ring) + 1)) AS i FROM r)),
+s AS (SELECT DISTINCT id, CASE WHEN ax < cx OR (ax = cx AND ay < cy) THEN [ax, ay] ELSE [cx, cy] END AS p, CASE WHEN ax < cx OR (ax = cx AND ay < cy) THEN [cx, cy] ELSE [ax, ay] END AS q FROM e WHERE ax <> cx OR ay <> cy),
+l AS (SELECT a.id AS a, b.id AS b, sum(sqrt((a.p[1] - a.q[1]) ** 2 + (a.p[2] - a.q[2]) ** 2)) AS len FROM s a JOIN s b ON a.p = b.p AND a.q = b.q AND a.id < b.id GROUP BY 1, 2),
+f AS (SELECT id, county, sum(CASE WHEN k = 1 THEN area ELSE -area END) AS area FROM (SELECT id, county, p, k, abs(sum(ax * cy - cx * ay)) / 2 AS area FROM e GROUP BY ALL) GROUP BY ALL)
+"""
+
+
+@query(f"WITH {EDGES} SELECT county, CAST(count(*) AS DOUBLE) AS n, round(sum(area), 6) AS area FROM f GROUP BY 1")
 def dissolve_polygons(spark: SparkSession, root: str) -> DataFrame:
     x = TO.dissolve_polygons(precinct_layer(spark, root), ["county"], "n = count()")
     return x.settled.select("county", "n", F.round(G.area(F.col(GEOM)), 6).alias("area"))
@@ -581,7 +591,7 @@ def simplify_percentage(spark: SparkSession, root: str) -> DataFrame:
     return x.settled.select("precinct_code", G.over_parts(F.col(GEOM), lambda r: F.size(r).cast("double")).alias("vertices"))
 
 
-@query(None)
+@query(f"WITH {EDGES} SELECT row_number() OVER (ORDER BY a, b) - 1 AS id, round(len, 6) AS length FROM l")
 def innerlines(spark: SparkSession, root: str) -> DataFrame:
     x = TO.innerlines(precinct_layer(spark, root))
     return x.settled.select(FID, F.round(G.length(F.col(GEOM)), 6).alias("length")).withColumnRenamed(FID, "id")
@@ -740,7 +750,12 @@ def smooth_precincts(spark: SparkSession, root: str) -> DataFrame:
     return x.settled.select("precinct_code", F.round(G.area(F.col(GEOM)), 8).alias("area"))
 
 
-@query(None)
+@query(f"""
+WITH RECURSIVE r AS (SELECT c_custkey AS i, x, y, '' AS cell FROM (SELECT c_custkey, {CUSTOMER_XY} FROM customer)
+UNION ALL SELECT i, x, y, cell || CASE WHEN row_number() OVER (PARTITION BY cell ORDER BY CASE WHEN w >= h THEN x ELSE y END, i) <= ceil(n / 2) THEN 'a' ELSE 'b' END
+ FROM (SELECT *, count(*) OVER c AS n, max(x) OVER c - min(x) OVER c AS w, max(y) OVER c - min(y) OVER c AS h FROM r WINDOW c AS (PARTITION BY cell)) WHERE n > 100)
+SELECT cell, count(*) AS n FROM (SELECT i, arg_max(cell, length(cell)) AS cell FROM r GROUP BY i) GROUP BY 1
+""")
 def subdivide_customers(spark: SparkSession, root: str) -> DataFrame:
     return T.subdivide(customer_points(spark, root), "count() > 100").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
 
@@ -767,6 +782,26 @@ def csv_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     return out(IO.read_csv(spark, path))
 
 
+@query("SELECT CAST(o_orderkey AS DOUBLE) AS o_orderkey, o_orderstatus, o_totalprice FROM orders")
+def output_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    """What -o writes to paths, read again with -i: delimited text, then records."""
+    path = _folder(spark, "out")
+    text = f"-i orders.parquet -filter-fields o_orderkey,o_orderstatus,o_totalprice -o {path}/o.csv -drop -i {path}/o.csv -o {path}/o.json -drop -i {path}/o.json"
+    x = Pipeline(spark, {"orders.parquet": layer(spark, root, "orders")}).run(text).layer()
+    return x.df.select(F.col("o_orderkey").cast("double").alias("o_orderkey"), "o_orderstatus", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
+@query("SELECT CAST(s_suppkey AS DOUBLE) AS s_suppkey, s_name FROM supplier UNION ALL SELECT c_custkey, c_name FROM customer")
+def csv_skip_lines(spark: SparkSession, root: str) -> DataFrame:
+    """Files that begin with two lines of notes and a header each."""
+    path = _folder(spark, "skip")
+    for name, key, label in (("supplier", "s_suppkey", "s_name"), ("customer", "c_custkey", "c_name")):
+        rows = table(spark, root, name).select(F.concat_ws(",", F.col(key).cast("string"), label).alias("value")).coalesce(1)
+        head = spark.createDataFrame([("made by hand",), ("# one line more",), ("s_suppkey,s_name",)], "value string").coalesce(1)
+        head.unionByName(rows).coalesce(1).write.text(f"{path}/{name}")
+    return out(IO.read_csv(spark, [f"{path}/supplier", f"{path}/customer"], skip_lines=2))
+
+
 @query("SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def ndjson_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     x = T.filter_fields(layer(spark, root, "supplier"), ["s_suppkey", "s_name", "s_acctbal"])
