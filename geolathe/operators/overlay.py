@@ -82,7 +82,7 @@ def _by_target(target: Layer, source: Layer, f, kept_alone: bool) -> Layer:  # n
     s = source.settled.select(F.col(FID).alias("_s"), F.col(GEOM).alias("_sg"))
     near = candidates(target, source).join(s, "_s").groupBy("_t").agg(F.transform(F.array_sort(F.collect_list(F.struct("_s", "_sg"))), lambda x: x["_sg"]).alias("_near"))
     df = target.settled.join(near, F.col(FID) == near["_t"], "left")
-    new = kernel(lambda parts, shapes: f(parts, shapes) or None)(F.col(GEOM), F.col("_near"))
+    new = kernel(lambda parts, shapes: f(parts, shapes or []) or None)(F.col(GEOM), F.col("_near"))
     out = df.withColumn(GEOM, F.when(F.col("_t").isNull(), F.col(GEOM) if kept_alone else F.lit(None).cast(SHAPE)).otherwise(new))
     return target.with_df(out.where(F.col(GEOM).isNotNull()).drop("_t", "_near"))
 

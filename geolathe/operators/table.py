@@ -198,7 +198,7 @@ def meets_bbox(layer: Layer, bbox: list[float]) -> Column:
         corners = [side(x, y) for x in (x0, x1) for y in (y0, y1)]
         return ~apart & ~((F.least(*corners) > 0) | (F.greatest(*corners) < 0))
 
-    meets = F.exists(g, lambda part: F.exists(G.segments(part, crosses).cast("array<boolean>"), lambda v: v))
+    meets = F.exists(g, lambda part: F.exists(G.segments(part, lambda a, b: F.when(crosses(a, b), 1.0).otherwise(0.0)), lambda v: v > 0))
     if layer.geometry_type == "polygon":  # or the box lies within: odd crossings to the left of a corner
         ray = lambda a, b: F.when(((a[1] > y0) != (b[1] > y0)) & (x0 > a[0] + (y0 - a[1]) * (b[0] - a[0]) / F.when(b[1] != a[1], b[1] - a[1])), 1.0).otherwise(0.0)
         meets = meets | (G.over_parts(g, lambda part: G.total(G.segments(part, ray))) % 2 == 1)

@@ -246,7 +246,8 @@ class Pipeline:
                 continue
             options = dict(delimiter=c.get("delimiter") or ("\t" if file.endswith(".tsv") else None), decimal_comma=c.flag("decimal-comma"), rfc7946=c.flag("rfc7946"), id_field=c.get("id-field"), ndjson=c.flag("ndjson"), quantization=int(c.number("quantization")) if c.get("quantization") else None)  # type: ignore[arg-type]
             for ext, data in IO.content(x, form_, **options).items():
-                out = file if Path(file).suffix and len(names) == 1 and form_ not in ("shapefile",) else f"{stem}.{ext}"
+                whole = Path(file).suffix and len(names) == 1 and form_ not in ("shapefile",)
+                out = file if whole else str(Path(file).with_name(f"{stem}.{ext}")) if "/" in file else f"{stem}.{ext}"
                 self.outputs[Path(out).name] = data
                 if "/" in out:
                     Path(out).write_bytes(data if isinstance(data, bytes) else data.encode())

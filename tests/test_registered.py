@@ -7,15 +7,15 @@ from pathlib import Path
 
 import pytest
 
-from geolathe.queries import problems, reference
+from geolathe.queries import problems, reference, wider
 from tests.compare import compare, connect
 
 ROOT = "/root/testdata/sf0.001"
 REPO = Path(__file__).parent.parent
 pytestmark = pytest.mark.skipif(not Path(ROOT).exists(), reason="test tables aren't here")
 
-QUERIES = {**problems.queries(), **reference.queries()}
-SQL = {**problems.oracle_sql(), **reference.oracle_sql()}
+QUERIES = {**problems.queries(), **reference.queries(), **wider.queries()}
+SQL = {**problems.oracle_sql(), **reference.oracle_sql(), **wider.oracle_sql()}
 
 
 @pytest.fixture(scope="module")
