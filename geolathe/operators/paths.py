@@ -34,6 +34,36 @@ def kernel(f: Callable, returns: str = PATH) -> Callable[..., Column]:
     return run
 
 
+def moved(layer: Layer, f: Callable) -> Layer:
+    """The layer with ``f(x, y)``, a function of arrays, applied to all coordinates: one call for a batch of features.
+
+    Parts with a coordinate that ``f`` can't place (not finite) are dropped, and features left without parts null.
+    """
+    point = layer.geometry_type == "point"
+    kind = POINT if point else PATH
+
+    @F.arrow_udf(kind)
+    def run(g: pa.Array) -> pa.Array:
+        g = g if isinstance(g, pa.Array) else g.combine_chunks()
+        levels, at = [], pa.concat_arrays([g])
+        while pa.types.is_list(at.type):
+            levels.append(at)
+            at = at.values
+        xy = at.to_numpy(zero_copy_only=False).copy()
+        first = levels[-1].offsets.to_numpy()[:-1]
+        first = first[~levels[-1].is_null().to_numpy(zero_copy_only=False)]
+        xy[first], xy[first + 1] = f(xy[first], xy[first + 1])
+        new: pa.Array = pa.array(xy)
+        for level in reversed(levels):
+            new = pa.ListArray.from_arrays(level.offsets, new, mask=level.is_null())
+        return new.cast(ARROW[kind])
+
+    made = layer.settled.withColumn(GEOM, run(F.col(GEOM)))
+    finite = lambda p: ~(F.isnan(p[0]) | F.isnan(p[1]) | (F.abs(p[0]) == float("inf")) | (F.abs(p[1]) == float("inf")))
+    kept = F.filter(GEOM, finite if point else lambda part: F.forall(part, finite))
+    return layer.with_df(made.withColumn(GEOM, kept).withColumn(GEOM, F.when(F.size(GEOM) > 0, F.col(GEOM))))
+
+
 def changed(layer: Layer, f: Callable[[list], list], where: str | None = None, defs: dict | None = None, empty_null: bool = True) -> Layer:
     """The layer with ``f`` applied to each feature's parts; features left without parts become null."""
     layer.need_geometry("polyline", "polygon")

@@ -65,7 +65,7 @@ def amount(text: str) -> float:
 #: Options without a value, for all commands: a bare word that's one of these is a flag.
 FLAGS = set(
     "combine-files merge-files no-topology csv-dedup-fields decimal-comma ndjson single-part force gzip cut-table single-file drop-table field-order bbox-index prettify no-quantization rfc7946 gj2008 no-null-props hoist "
-    "geometry holes invert remove-empty keep-shapes descending ascending index verbose quantile equal-interval hybrid nice continuous non-adjacent random multipart group-points planar no-repair allow-overlaps no-snap "
+    "densify geometry holes invert remove-empty keep-shapes descending ascending index verbose quantile equal-interval hybrid nice continuous non-adjacent random multipart group-points planar no-repair allow-overlaps no-snap "
     "naive point-method largest-overlap duplication dp visvalingam weighted stats scaled inner centroid vertices vertices2 endpoints midpoints interpolated segments arcs from-rings flatten apart geodesic rhumb empty "
     "no-dropouts dedup-points contiguous postprocess polygon outline aligned circles clear strict overwrite no-replace topological gaussian paek callouts simple".split()
 )

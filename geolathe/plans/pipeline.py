@@ -14,6 +14,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from pathlib import Path
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -669,12 +670,10 @@ def _proj(p: Pipeline, x: Layer, c: Command) -> Layer:
     """Coordinates in another system; layers without one count as degrees."""
     target = str(c.get("crs") or c.get("projection"))
     change = PR.between(str(c.get("from") or c.get("init") or x.crs or "wgs84"), target)
-    move = lambda q: list(change(q[0], q[1]))
-    if x.geometry_type == "point":
-        g = PA.kernel(lambda parts: [move(q) for q in parts], PA.POINT)(F.col(GEOM))
-    else:
-        g = PA.kernel(lambda parts: [[move(q) for q in part] for part in parts])(F.col(GEOM))
-    return x.with_df(x.settled.withColumn(GEOM, g), crs="wgs84" if target.lower() in ("wgs84", "epsg:4326", "longlat") else target)
+    if c.flag("densify"):
+        x = PA.densify(x, c.number("interval") or 1.0, True) if x.geometry_type != "point" else x
+    made = PA.moved(x, change)
+    return made.with_df(made.df, crs="wgs84" if target.lower() in ("wgs84", "epsg:4326", "longlat") else target)
 
 
 def _rotate(p: Pipeline, x: Layer, c: Command) -> Layer:
@@ -682,19 +681,15 @@ def _rotate(p: Pipeline, x: Layer, c: Command) -> Layer:
     a = [math.radians(v) for v in [*(c.numbers("rotation") or [0.0]), 0.0, 0.0][:3]]
     sign = -1 if c.flag("invert") else 1
 
-    def turn(q: list) -> list:
-        lng, lat = math.radians(q[0]), math.radians(q[1])
-        if sign > 0:
-            lng += a[0]
-        v = [math.cos(lat) * math.cos(lng), math.cos(lat) * math.sin(lng), math.sin(lat)]
+    def turn(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lng, lat = np.radians(x) + (a[0] if sign > 0 else 0.0), np.radians(y)
+        v = [np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)]
         ca, sa = math.cos(sign * a[1]), math.sin(sign * a[1])
         v = [v[0] * ca - v[2] * sa, v[1], v[0] * sa + v[2] * ca]
-        out = math.atan2(v[1], v[0]) - (a[0] if sign < 0 else 0)
-        return [(math.degrees(out) + 540) % 360 - 180, math.degrees(math.asin(max(-1.0, min(1.0, v[2]))))]
+        out = np.arctan2(v[1], v[0]) - (a[0] if sign < 0 else 0.0)
+        return (np.degrees(out) + 540) % 360 - 180, np.degrees(np.arcsin(np.clip(v[2], -1.0, 1.0)))
 
-    if x.geometry_type == "point":
-        return x.with_df(x.settled.withColumn(GEOM, PA.kernel(lambda parts: [turn(q) for q in parts], PA.POINT)(F.col(GEOM))))
-    return PA.changed(x, lambda parts: [[turn(q) for q in part] for part in parts])
+    return PA.moved(x, turn)
 
 
 def _dots(p: Pipeline, x: Layer, c: Command) -> Layer:

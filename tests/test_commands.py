@@ -182,7 +182,7 @@ def test_random_overlays_conserve_area():
 
 
 def test_projections_lead_back():
-    for name in ("webmercator", "merc", "lcc", "aea", "EPSG:32633", "+proj=laea +lat_0=50 +lon_0=10", "sinu", "moll", "eqc"):
+    for name in ("webmercator", "merc", "lcc", "aea", "EPSG:32633", "+proj=laea +lat_0=50 +lon_0=10", "sinu", "moll", "eqc", "robin", "miller", "gall", "natearth", "equalearth", "+proj=cea +lat_ts=30", "+proj=ortho +lat_0=40 +lon_0=10", "+proj=gnom +lat_0=40 +lon_0=10", "+proj=stere +lat_0=40 +lon_0=10", "+proj=aeqd +lat_0=40 +lon_0=10"):
         p = PR.projection(name)
         for x, y in ((12.0, 47.0), (15.5, 52.25), (9.0, -3.0)):
             bx, by = p.inverse(*p.forward(x, y))
@@ -191,6 +191,21 @@ def test_projections_lead_back():
     assert abs(x - 500000) < 1e-6 and abs(y - 5761038.21) < 0.5
 
 
+def test_coordinates_move_in_batches(spark):
+    from geolathe.layer import GEOM, Layer
+
+    shapes = [None if i % 4 == 0 else [[[float(i), 1.0 * j], [i + 1.0, 2.0 * j], [i + 0.5, -1.0], [float(i), 1.0 * j]] for j in range(i % 3)] for i in range(40)]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(shapes)], f"_fid bigint, {GEOM} array<array<array<double>>>").repartition(3)
+    p = Pipeline(spark, {"a.parquet": Layer(df, "a", "polygon", "wgs84")}).run("-i a.parquet -proj webmercator")
+    f = PR.projection("webmercator").forward
+    got = {r["_fid"]: r[GEOM] for r in p.layer().df.collect()}
+    for i, s in enumerate(shapes):
+        want = [[[float(v) for v in f(*q)] for q in part] for part in s] if s else None
+        assert (got[i] is None) == (want is None or want == [])
+        if want:
+            assert all(math.isclose(a, b, abs_tol=1e-6) for g, w in zip(got[i], want) for p1, p2 in zip(g, w) for a, b in zip(p1, p2)) and [len(g) for g in got[i]] == [len(w) for w in want]
+
+
 def test_delaunay_fills_the_hull():
     rng = random.Random(5)
     pts = [[rng.random(), rng.random()] for _ in range(120)] + [[0, 0], [1, 0], [0, 1], [1, 1]]
