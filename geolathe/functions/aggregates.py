@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolathe.functions.expressions import ARR, BOOL, NUM, ExpressionError, Translator, Value, parse, plain_number, truth, walk
-from geolathe.layer import FID, GEOM
+from geolathe.layer import FID, GEOM, with_fid
 
 NUMERIC = {"sum", "mean", "average", "median", "quartile1", "quartile2", "quartile3", "iqr", "quantile", "min", "max"}
 NAMES = NUMERIC | {"count", "sums", "mode", "collect", "collectIds", "first", "last", "every", "some", "width", "height"}
@@ -21,6 +21,8 @@ class Plan:
     aggs: dict[str, Column] = field(default_factory=dict)
     modes: dict[str, Column] = field(default_factory=dict)
     sums: dict[str, Column] = field(default_factory=dict)
+    #: quantiles: the value and the share
+    quantiles: dict[str, tuple[Column, float]] = field(default_factory=dict)
 
     def add(self, column: Column, kind: str, item: str = NUM) -> Value:
         name = f"_a{len(self.aggs)}"
@@ -55,8 +57,13 @@ def functions(plan: Plan, rows: Translator, point: bool | None = None, skip_null
         v = rows.value(args[0])
         return F.when(v.col.isNull(), F.lit(0.0)).otherwise(x)
 
-    def quantile(p: Column | float):  # noqa: ANN202
-        return lambda args, _: plan.add(F.percentile(zeroed(args), p if isinstance(p, Column) else F.lit(p)), NUM)
+    def ranked(args: list, p: float) -> Value:
+        name = f"_q{len(plan.quantiles)}"
+        plan.quantiles[name] = (zeroed(args), p)
+        return Value(F.col(name), NUM)
+
+    def quantile(p: float):  # noqa: ANN202
+        return lambda args, _: ranked(args, p)
 
     def by_order(pick, args: list) -> Value:  # noqa: ANN001
         v = arg(args)
@@ -90,13 +97,13 @@ def functions(plan: Plan, rows: Translator, point: bool | None = None, skip_null
         return run
 
     def iqr(args: list, _: Translator) -> Value:
-        both = [plan.add(F.percentile(zeroed(args), F.lit(p)), NUM).col for p in (0.75, 0.25)]
+        both = [ranked(args, p).col for p in (0.75, 0.25)]
         return Value(both[0] - both[1], NUM)
 
     def q(args: list, _: Translator) -> Value:
         if len(args) < 2 or args[1][0] != "num":
             raise ExpressionError("quantile() needs a constant share")
-        return plan.add(F.percentile(zeroed(args[:1]), F.lit(args[1][1])), NUM)
+        return ranked(args[:1], float(args[1][1]))
 
     return {
         "count": lambda args, _: plan.add(F.count(F.lit(1)).cast("double"), NUM),
@@ -153,9 +160,13 @@ def grouped(df: DataFrame, keys: list[str], plan: Plan, extra: dict[str, Column]
     Null keys form a group. A mode is counted per value first and then picked, ties by first appearance, so no group
     is ever gathered in a task; it's joined by null-safe keys.
     """
-    aggs = [c.alias(n) for n, c in {**plan.aggs, **(extra or {})}.items()] or [F.count(F.lit(1)).alias("_n")]
+    by_rank = bool(plan.quantiles) and _large_groups(df, keys)
+    own = {} if by_rank else {n: F.percentile(c, F.lit(p)) for n, (c, p) in plan.quantiles.items()}
+    aggs = [c.alias(n) for n, c in {**plan.aggs, **own, **(extra or {})}.items()] or [F.count(F.lit(1)).alias("_n")]
     out = df.groupBy(*keys).agg(*aggs)
     side: list[tuple[list[str], DataFrame]] = []
+    if by_rank:
+        side += _ranked_quantiles(df, keys, plan)
     for name, value in plan.modes.items():
         valued = df.select(*keys, FID, value.alias("_v")).groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"), F.min(FID).alias("_first"))
         side.append(([name], valued.groupBy(*keys).agg(F.min_by(F.struct("_v"), F.struct(-F.col("_n"), F.col("_first"))).getField("_v").alias(name))))
@@ -179,6 +190,34 @@ def grouped(df: DataFrame, keys: list[str], plan: Plan, extra: dict[str, Column]
     return out
 
 
+#: Rows of a group beyond which its quantiles are found by rank: an aggregate would hold its distinct values in one task.
+LARGE_GROUP = 2_000_000
+
+
+def _large_groups(df: DataFrame, keys: list[str]) -> bool:
+    if not keys:
+        return df.limit(LARGE_GROUP + 1).count() > LARGE_GROUP
+    return not df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE_GROUP).isEmpty()
+
+
+def _ranked_quantiles(df: DataFrame, keys: list[str], plan: Plan) -> list[tuple[list[str], DataFrame]]:
+    """Exact quantiles by rank: a distributed sort by group and value, then only the two rows around each rank."""
+    by_value: dict[str, tuple[Column, list[tuple[str, float]]]] = {}
+    for n, (c, p) in plan.quantiles.items():
+        by_value.setdefault(str(c), (c, []))[1].append((n, p))
+    side = []
+    for value, wanted in by_value.values():
+        rows = df.select(*keys, value.alias("_v")).where(F.col("_v").isNotNull())
+        sorted_ = with_fid(rows.orderBy(*keys, "_v"), shuffled=True).withColumnRenamed(FID, "_rank")
+        ends = sorted_.groupBy(*keys).agg(F.min("_rank").alias("_from"), F.count(F.lit(1)).alias("_n"))
+        place = lambda p: F.lit(p) * (F.col("_n") - 1)
+        asked = F.array(*[F.struct(F.lit(n).alias("q"), (F.col("_from") + f(place(p))).cast("long").alias("_rank"), w.alias("w")) for n, p in wanted for f, w in ((F.floor, F.floor(place(p)) + 1 - place(p)), (F.ceil, place(p) - F.ceil(place(p)) + F.when(F.floor(place(p)) == place(p), 0.0).otherwise(1.0)))])
+        points = ends.select(F.explode(asked).alias("a")).select("a.q", "a._rank", "a.w")
+        got = sorted_.join(points, "_rank").groupBy(*keys).agg(*[F.sum(F.when(F.col("q") == n, F.col("_v") * F.col("w"))).alias(n) for n, _ in wanted])
+        side.append(([n for n, _ in wanted], got))
+    return side
+
+
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Equi-join on keys of the same names where null meets null; the left keys are kept."""
     renamed = right.select(*[F.col(f"`{k}`").alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from geolathe.functions import geometry as G
 from geolathe.functions import shapes as S
-from geolathe.functions.aggregates import compiled, grouped
+from geolathe.functions.aggregates import compiled, grouped, null_safe
 from geolathe.layer import FID, GEOM, Layer, LayerError, with_fid
 from geolathe.operators.paths import changed, kernel
 from geolathe.operators.proximity import cells_at, level_of
-from geolathe.operators.table import layer_bounds, merge_layers, translator
+from geolathe.operators.table import dissolve, layer_bounds, merge_layers, translator
 from geolathe.operators.topology import edges, outlines
 from geolathe.session import written
 
@@ -276,6 +276,21 @@ def clean(layer: Layer, gap_area: float = 0.0, allow_overlaps: bool = False) ->
     return layer.with_df(out)
 
 
+def dissolve_overlapping(layer: Layer, fields: list[str] | None = None, calc: str | None = None, sum_fields: list[str] | None = None, copy_fields: list[str] | None = None, defs: dict | None = None) -> Layer:
+    """Polygons of a group become one that covers all they cover; groups may overlap: a tile belongs to every group
+    that one of its owners is in."""
+    layer.need_geometry("polygon")
+    keys = fields or []
+    table = dissolve(layer, keys, calc, sum_fields, copy_fields, defs=defs)
+    groups = layer.df.groupBy(*keys).agg(F.min(FID).alias("_g"))
+    own = layer.df.select(FID, *keys)
+    ids = null_safe(own, groups, keys).select(FID, "_g") if keys else own.withColumn("_g", F.lit(groups.first()["_g"]))
+    faces = with_fid(tiles(layer.df.select(F.col(FID).alias("id"), GEOM), layer_bounds(layer), _vertices(layer)).where(F.size("owners") > 0), shuffled=True)
+    held = faces.select(F.col(FID).alias("_f"), F.explode("owners").alias(FID)).join(ids, FID).select(F.col("_f").alias(FID), "_g").distinct()
+    merged = outlines(edges(Layer(faces.select(FID, GEOM), "", "polygon")).join(held, FID))
+    return layer.with_df(table.df.join(merged, table.df[FID] == F.col("_g"), "left").drop("_g"))
+
+
 def flatten(layers: list[Layer], force: bool = False) -> Layer:
     """Layers merged so that later polygons win where they overlap earlier ones."""
     merged = merge_layers(layers, force)

@@ -14,6 +14,8 @@ from geolathe.functions import shapes as S
 from geolathe.layer import FID, GEOM, Layer, LayerError, with_fid
 from geolathe.operators.classify import ranked_values
 from geolathe.operators.table import layer_bounds, strict
+from geolathe.plans.skew import salted_join
+from geolathe.session import written
 
 PATH, POINT = "array<array<array<double>>>", "array<array<double>>"
 ARROW = {
@@ -316,11 +318,32 @@ def clip_bbox(layer: Layer, bbox: list[float], erase: bool = False) -> Layer:
     return out.with_df(out.df.where(F.col(GEOM).isNotNull()))
 
 
-def snap(layer: Layer, interval: float) -> Layer:
-    """Coordinates moved to a grid of the interval; points that fall together become one."""
+def snap(layer: Layer, interval: float | None = None) -> Layer:
+    """Vertices within the interval of each other become one: the first of them by x, then y.
+
+    Vertices linked by steps of at most the interval are one group. Without an interval only differences in the last
+    digits of doubles are taken out. Points that fall together within a part become one; parts left too short go.
+    """
+    from geolathe.operators.classify import components
+    from geolathe.operators.proximity import near_planar
+
     layer.need_geometry("polyline", "polygon")
-    step = G.rounded(F.col(GEOM), interval, False)
+    if not interval:
+        b = layer_bounds(layer)
+        interval = max(map(abs, b)) * 2.0**-51 if b else 0.0
     least = 4 if layer.geometry_type == "polygon" else 2
-    merged = F.transform(step, lambda part: F.filter(part, lambda p, i: (i == 0) | (p != F.get(part, i - 1))))
-    return layer.with_df(layer.df.withColumn(GEOM, F.filter(merged, lambda part: F.size(part) >= least)))
-
+    points = layer.df.select(FID, F.posexplode(GEOM).alias("_p", "_part")).select(FID, "_p", F.posexplode("_part").alias("_i", "_xy"))
+    points = written(points.select(FID, "_p", "_i", F.col("_xy")[0].alias("x"), F.col("_xy")[1].alias("y")), "vertices")
+    places = with_fid(points.groupBy("x", "y").count().orderBy("x", "y").select("x", "y"), shuffled=True).withColumnRenamed(FID, "id")
+    near = near_planar(places, "id", "x", "y", interval)
+    link = F.concat_ws("-", "id_lo", "id_hi")
+    members = near.select(F.col("id_lo").alias("id"), link.alias("m")).unionByName(near.select(F.col("id_hi").alias("id"), link.alias("m"))).groupBy("id").agg(F.collect_list("m").alias("m"))
+    first = places.select(F.col("id").alias("component"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
+    linked = components(members, "id", "m").where(F.col("component") != F.col("id")).join(first, "component").join(places, "id").select("x", "y", "_sx", "_sy")
+    snapped = salted_join(points, linked, ["x", "y"], F.col(FID)).select(FID, "_p", "_i", F.array(F.coalesce("_sx", "x"), F.coalesce("_sy", "y")).alias("_xy"))
+    parts = snapped.groupBy(FID, "_p").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_xy"))), lambda s: s["_xy"]).alias("_part"))
+    made = parts.groupBy(FID).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_part"))), lambda s: s["_part"]).alias("_made"))
+    merged = F.transform("_made", lambda part: F.filter(part, lambda p, i: (i == 0) | (p != F.get(part, i - 1))))
+    kept = F.filter(merged, lambda part: F.size(part) >= least)
+    out = layer.df.join(made, FID, "left").withColumn(GEOM, F.when(F.size(kept) > 0, kept)).drop("_made")
+    return layer.with_df(out)

@@ -12,7 +12,7 @@ from geolathe.functions import geometry as G
 from geolathe.functions.aggregates import Plan, compiled, grouped, sources
 from geolathe.functions.expressions import ARR, BOOL, NUM, STR, ExpressionError, Translator, Value, kind_of, number, parse, plain_number, text, truth
 from geolathe.layer import FID, GEOM, Layer, LayerError, with_fid
-from geolathe.session import written
+from geolathe.session import cut, written
 
 
 def translator(layer: Layer, defs: dict | None = None) -> Translator:
@@ -70,13 +70,64 @@ def bbox_calls(layer: Layer) -> dict:
     }
 
 
+# --- running totals -----------------------------------------------------------------------------------------------
+
+
+def _step(node: tuple, name: str) -> tuple | None:
+    """What ``global.name = (global.name || 0) + x`` adds (x), with or without the default; None for anything else."""
+    held = ("member", ("name", "global"), name)
+    if node[0] == "binary" and node[1] == "+" and node[2] in (held, ("binary", "||", held, ("num", 0.0))):
+        return node[3]
+    return None
+
+
+def split_globals(expression: str) -> list[tuple[str, object]]:
+    """Statements of an expression, ``run`` ones (name, what is added) apart from the others (``each``, node)."""
+    out: list[tuple[str, object]] = []
+    for node in parse(expression):
+        field_name = None
+        if node[0] == "assign" and node[2][0] == "assign":  # f = global.n = ...
+            field_name, node = node[1], node[2]
+        target = node[1] if node[0] == "assign" else ("", "")
+        if target[0] == "member" and target[1] == ("name", "global"):
+            added = _step(node[2], target[2])
+            if added is None:
+                raise ExpressionError(f"global.{target[2]} can only be a running total: global.{target[2]} = (global.{target[2]} || 0) + x")
+            out.append(("run", (target[2], added)))
+            if field_name is not None:
+                out.append(("each", ("assign", field_name, target)))
+        else:
+            out.append(("each", node))
+    return out
+
+
+def running_totals(layer: Layer, added: list[Column], names: list[str]) -> DataFrame:
+    """``layer.df`` with the sums of some columns over the rows up to each, in row order.
+
+    Rows are sorted into ranges; each range is summed by itself, and what the ranges before add up to (a number per
+    range and column, through the driver) is put on top.
+    """
+    df = layer.df.withColumns({f"_add{i}": F.coalesce(c.cast("double"), F.lit(0.0)) for i, c in enumerate(added)})
+    df = cut(df.orderBy(FID)).withColumn("_range", F.spark_partition_id())
+    sums = {r["_range"]: r for r in df.groupBy("_range").agg(*[F.sum(f"_add{i}").alias(f"_add{i}") for i in range(len(added))]).collect()}
+    before = [[0.0] * len(added)]
+    for p in range(max(sums, default=-1)):
+        before.append([b + (sums[p][f"_add{i}"] if p in sums else 0.0) for i, b in enumerate(before[-1])])
+    offsets = df.sparkSession.createDataFrame([(p, b) for p, b in enumerate(before)], "_range int, _before array<double>")  # a row per range
+    window = Window.partitionBy("_range").orderBy(FID).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.join(F.broadcast(offsets), "_range")
+    df = df.withColumns({n: F.sum(f"_add{i}").over(window) + F.col("_before")[i] for i, n in enumerate(names)})
+    return df.drop("_range", "_before", *[f"_add{i}" for i in range(len(added))])
+
+
 # --- fields --------------------------------------------------------------------------------------------------------
 
 
 def each(layer: Layer, expression: str, where: str | None = None, ids: list[int] | None = None, defs: dict | None = None) -> Layer:
     """Assigns fields, one statement after the other; rows not selected by ``where`` and ``ids`` keep their values.
 
-    New fields are null where nothing is assigned. Assigning to this.x or this.y moves points. ``delete f`` and
+    New fields are null where nothing is assigned. ``global.n = (global.n || 0) + x`` is a running total in row order
+    over the selected rows, which later statements read as ``global.n``. Assigning to this.x or this.y moves points. ``delete f`` and
     ``delete this.properties.f`` drop a field. An empty table gets the new fields.
     """
     df = layer.df
@@ -85,8 +136,17 @@ def each(layer: Layer, expression: str, where: str | None = None, ids: list[int]
         chosen = F.col(FID).isin(ids) if chosen is None else chosen & F.col(FID).isin(ids)
     if chosen is not None:
         df = df.withColumn("_chosen", chosen)
-    for node in parse(expression):
+    totals: dict[str, Value] = {}
+    for kind, node in split_globals(expression):
         current = layer.with_df(df)
+        if kind == "run":
+            name, added = node  # type: ignore[misc]
+            t = translator(current, defs)
+            t.others = {"global": totals}
+            more = plain_number(t.value(added))
+            df = running_totals(current, [F.when(F.col("_chosen"), more) if chosen is not None else more], [f"_global_{name}"])
+            totals[name] = Value(F.col(f"_global_{name}"), NUM)
+            continue
         if node[0] == "delete":
             target = node[1]
             df = df.drop(target[1] if target[0] == "name" else target[2])
@@ -95,6 +155,7 @@ def each(layer: Layer, expression: str, where: str | None = None, ids: list[int]
             continue
         target = node[1]
         t = translator(current, defs)
+        t.others = {"global": totals} if totals else t.others
         t.fields.pop("_chosen", None)
         value = t.value(node[2])
         if target[0] == "member" and target[1] == ("name", "this") and target[2] in ("x", "y") and layer.geometry_type == "point":
@@ -110,7 +171,7 @@ def each(layer: Layer, expression: str, where: str | None = None, ids: list[int]
                 old = old.cast("double")
             new = F.when(F.col("_chosen"), new).otherwise(old)
         df = df.withColumn(name, new)
-    return layer.with_df(df.drop("_chosen"))
+    return layer.with_df(df.drop("_chosen", *[f"_global_{n}" for n in totals]))
 
 
 def filter_fields(layer: Layer, names: list[str], invert: bool = False) -> Layer:

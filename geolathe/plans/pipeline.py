@@ -566,6 +566,10 @@ def _dissolve(p: Pipeline, x: Layer, c: Command) -> Layer:
         done = _dissolve(p, x.with_df(x.df.where(test)), Command(c.name, c.values, {k: v for k, v in c.options.items() if k != "where"}))
         return T.merge_layers([x.with_df(x.df.where(~test)), done], force=True)
     if x.geometry_type == "polygon":
+        if not (c.flag("no-repair") or c.flag("multipart") or c.flag("allow-overlaps")):  # overlaps go to the first polygon, small gaps to a neighbour
+            x = O.clean(x, c.number("gap-fill-area") or 0.0)
+        elif c.flag("allow-overlaps"):
+            return O.dissolve_overlapping(x, fields, calc, sums, copies, p.defs)  # type: ignore[arg-type]
         return TO.dissolve_polygons(x, fields, calc, sums, copies, c.flag("multipart"), p.defs)  # type: ignore[arg-type]
     if x.geometry_type == "point":
         return P.dissolve_points(x, fields, c.get("weight"), c.flag("planar"), calc, copies, c.flag("group-points") or c.flag("multipart"), p.defs)  # type: ignore[arg-type]
@@ -799,7 +803,7 @@ PER_LAYER: dict[str, Callable] = {
     "divide": lambda p, x, c: O.divide(x, p.source(str(c.get("source"))), c.list("fields"), c.flag("force")),
     "mosaic": lambda p, x, c: O.mosaic(x, c.get("calc"), p.defs),
     "clean": lambda p, x, c: O.clean(x, c.number("gap-fill-area") or 0.0, c.flag("allow-overlaps")),
-    "snap": lambda p, x, c: PA.snap(x, c.number("interval") or 1e-9),
+    "snap": lambda p, x, c: PA.snap(x, c.number("interval")),
     "explode": lambda p, x, c: PA.explode(x, c.flag("naive")),
     "lines": _lines,
     "innerlines": lambda p, x, c: TO.innerlines(x, c.get("where"), p.defs),
