@@ -205,7 +205,7 @@ def simplify(layer: Layer, percentage: float | None = None, interval: float | No
         vals = marked.select(F.col("m")[0].alias("v"))
         n = vals.count()
         rank = min(n, math.floor((1 - percentage) * n + 1e-9))
-        interval = (ranked_values(vals, [rank])[0] if rank < n else math.inf) if n else 0.0
+        interval = (ranked_values(vals, [rank], n)[0] if rank < n else math.inf) if n else 0.0
     limit = interval or 0.0
     is_polygon = layer.geometry_type == "polygon"
 

@@ -23,7 +23,8 @@ from geolathe.session import written
 EARTH_M = 6378137.0
 #: Side of a cell in radii: larger cells are visited from fewer neighbours but hold more candidates.
 SIDE = 4
-#: Regions with up to so many vertices in all (16 bytes each) are sent to every executor; beyond, they are shuffled.
+#: Regions with up to so many vertices in all are sent to every executor, indexed once (32 bytes for an edge, which is a
+#: vertex's); beyond, they are shuffled.
 SENT_VERTICES = 1_000_000
 
 
@@ -178,10 +179,10 @@ def containing(points: DataFrame, id_col: str, x: str, y: str, regions: DataFram
     id_type, region_type = df.schema["id"].dataType.simpleString(), shapes.schema["region"].dataType.simpleString()
     schema = f"id {id_type}, region {region_type}"
     if total <= sent_vertices:
-        sent = points.sparkSession.sparkContext.broadcast([(r.region, r.shape) for r in shapes.collect()])
+        sent = points.sparkSession.sparkContext.broadcast(Regions((r.region, r.shape) for r in shapes.toLocalIterator()))
 
         def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Regions(sent.value)
+            index = sent.value
             for t in _batches(batches):
                 at, region = index.containing(t["x"].to_numpy(), t["y"].to_numpy())
                 yield from pa.table({"id": t["id"].take(pa.array(at)), "region": pa.array(region.tolist())}, schema=pa.schema([("id", t.schema.field("id").type), ("region", pa.string() if region_type == "string" else pa.int64())])).to_batches()

@@ -406,12 +406,13 @@ def split_names(layer: Layer, expression: str | None = None, defs: dict | None =
 def split(layer: Layer, expression: str | None = None, ids: list[int] | None = None, defs: dict | None = None) -> dict[str, Layer]:
     """Layers by value, in the order of first appearance; ``ids`` gives two: those rows, and the others.
 
-    Only the distinct names pass through the driver; the layers are filters over the same rows.
+    Only the distinct names pass through the driver. The rows are written once, a folder for each name, so a layer
+    reads its own rows only, however many there are.
     """
     if ids is not None:
         yes = F.col(FID).isin(ids)
         return {f"{layer.name or 'layer'}-1": layer.with_df(layer.df.where(yes)), f"{layer.name or 'layer'}-2": layer.with_df(layer.df.where(~yes))}
-    named = split_names(layer, expression, defs)
+    named = written(split_names(layer, expression, defs), "split", by="layer_name")
     order = named.groupBy("layer_name").agg(F.min(FID).alias("_first")).orderBy("_first").collect()
     return {r["layer_name"]: layer.with_df(named.where(F.col("layer_name") == r["layer_name"]).drop("layer_name"), name=r["layer_name"]) for r in order}
 

@@ -54,18 +54,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """``df`` written to the shared folder once and read back: cuts lineage and survives lost executors.
 
-    The table goes when the session ends: results that read it are lazy, so it can't go before.
+    ``by``: a text column that the table has a folder for each value of. The table goes when the session ends: results
+    that read it are lazy, so it can't go before.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     if not _WRITTEN:
         atexit.register(cleared)
     _WRITTEN.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 _WRITTEN: list[tuple[SparkSession, str]] = []
