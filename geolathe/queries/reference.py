@@ -310,11 +310,6 @@ def merge_layers_force(spark: SparkSession, root: str) -> DataFrame:
     return commands(spark, root, ["customer", "supplier"], "-i customer.parquet -filter-fields id=c_custkey,seg=c_mktsegment -i supplier.parquet -filter-fields id=s_suppkey,bal=s_acctbal -merge-layers force target=customer,supplier name=all")
 
 
-@query("SELECT doc_id, coalesce(lang, 'null') AS layer_name FROM documents")
-def split_labels(spark: SparkSession, root: str) -> DataFrame:
-    return T.split_names(layer(spark, root, "documents"), "lang").select("doc_id", "layer_name")
-
-
 @query(f"WITH p AS (SELECT c_custkey, {CUSTOMER_XY} FROM customer), b AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p) SELECT c_custkey, 'r' || CAST(least(3, greatest(1, floor((y - y0) / (y1 - y0) * 3) + 1)) AS INTEGER) || 'c' || CAST(least(4, greatest(1, floor((x - x0) / (x1 - x0) * 4) + 1)) AS INTEGER) AS cell FROM p, b")
 def split_on_grid(spark: SparkSession, root: str) -> DataFrame:
     return T.split_on_grid(customer_points(spark, root), 4, 3).select("c_custkey", "cell")
@@ -397,12 +392,6 @@ def grid_square(spark: SparkSession, root: str) -> DataFrame:
     return P.polygon_grid(spark, [0.0, 0.0, 60.0, 40.0], "square", interval=10).df.select(b["xmin"].alias("x0"), b["ymin"].alias("y0"))
 
 
-@query(None)
-def point_to_grid(spark: SparkSession, root: str) -> DataFrame:
-    x = P.point_to_grid(customer_points(spark, root), 10.0, radius=8.0, calc="n = count(), bal = sum(c_acctbal)")
-    return x.df.select("id", F.round("weight", 6).alias("weight"), "n", F.round("bal", 2).alias("bal"))
-
-
 def supplier_points(spark: SparkSession, root: str) -> Layer:
     x = layer(spark, root, "supplier")
     k = F.col("s_suppkey")

@@ -509,6 +509,90 @@ def points_found_fields(spark: SparkSession, root: str) -> DataFrame:
     return run(spark, {"c.parquet": x}, "-i c.parquet -points").df.select("c_custkey", g[0].alias("x"), g[1].alias("y"))
 
 
+@query("SELECT o_orderkey, round(sum(o_totalprice) OVER w, 2) AS total, CAST(count(*) OVER w AS DOUBLE) AS i FROM orders WINDOW w AS (ORDER BY o_orderkey)")
+def each_running_total(spark: SparkSession, root: str) -> DataFrame:
+    df = commands(spark, root, ["orders"], "-i orders.parquet -each 'global.t = (global.t || 0) + o_totalprice; total = global.t; i = global.n = (global.n || 0) + 1'")
+    return df.select("o_orderkey", F.round("total", 2).alias("total"), "i")
+
+
+FLAT = {"sinu": "radians(x) * cos(radians(y)) AS px, radians(y) AS py", "eqc": "radians(x) AS px, radians(y) AS py", "miller": "radians(x) AS px, 1.25 * ln(tan(pi() / 4 + 0.4 * radians(y))) AS py", "cea": "radians(x) AS px, sin(radians(y)) AS py"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{n}' AS proj, c_custkey, round(6378137.0 * px, 3) + 0.0 AS x, round(6378137.0 * py, 3) + 0.0 AS y FROM (SELECT c_custkey, {v} FROM (SELECT c_custkey, {CUSTOMER_XY} FROM customer))" for n, v in FLAT.items()))
+def proj_straight_parallels(spark: SparkSession, root: str) -> DataFrame:
+    g = F.col(GEOM)[0]
+    made = {n: run(spark, {"c.parquet": customer_points(spark, root)}, f"-i c.parquet -proj {n}").settled for n in FLAT}
+    return reduce(DataFrame.unionByName, [df.select(F.lit(n).alias("proj"), "c_custkey", (F.round(g[0], 3) + 0.0).alias("x"), (F.round(g[1], 3) + 0.0).alias("y")) for n, df in made.items()])
+
+
+@query(f"SELECT n_nationkey + 100 * i AS n_nationkey, x0, y0, x1, y1 FROM ({BOXES}), range(2) t(i)")
+def snap_vertices(spark: SparkSession, root: str) -> DataFrame:
+    """Boxes and copies of them that are a little off: all vertices meet at those of the boxes."""
+    a = boxes(spark, root)
+    off = P.affine(a, shift=(0.0003, 0.0002))
+    both = T.merge_layers([a, off.with_df(off.df.withColumn("n_nationkey", F.col("n_nationkey") + 100))])
+    b = G.bounds(F.col(GEOM), False)
+    return run(spark, {"b.parquet": both}, "-i b.parquet -snap 0.001").df.select("n_nationkey", b["xmin"].alias("x0"), b["ymin"].alias("y0"), b["xmax"].alias("x1"), b["ymax"].alias("y1"))
+
+
+SHARED_CIRCLE = "CASE WHEN d >= 8 + q THEN 0 WHEN d <= 8 - q THEN pi() * q * q ELSE acos(least(1, greatest(-1, (d * d + 64 - q * q) / (d * 16)))) * 64 + acos(least(1, greatest(-1, (d * d + q * q - 64) / (d * 2 * q)))) * q * q - sqrt(greatest(0, (-d + 8 + q) * (d + 8 - q) * (d - 8 + q) * (d + 8 + q))) / 2 END"
+
+
+@query(f"""
+WITH p AS (SELECT c_acctbal, {CUSTOMER_XY} FROM customer), e AS (SELECT min(x) - 8 AS a, min(y) - 8 AS b, max(x) + 8 AS c, max(y) + 8 AS d, 10 * sqrt(1 / pi()) AS q FROM p),
+n AS (SELECT *, ceil((c - a) / 10) AS nx, ceil((d - b) / 10) AS ny FROM e), g AS (SELECT nx, ny, q, (a + c) / 2 - nx * 5 AS x0, (b + d) / 2 - ny * 5 AS y0 FROM n),
+i AS (SELECT p.*, g.*, unnest(range(CAST(greatest(0, floor((x - 8 - q - x0) / 10)) AS BIGINT), CAST(least(nx - 1, floor((x + 8 + q - x0) / 10)) AS BIGINT) + 1)) AS col FROM p, g),
+j AS (SELECT *, unnest(range(CAST(greatest(0, floor((y - 8 - q - y0) / 10)) AS BIGINT), CAST(least(ny - 1, floor((y + 8 + q - y0) / 10)) AS BIGINT) + 1)) AS r FROM i),
+k AS (SELECT *, greatest(1e-300, sqrt((x - x0 - (col + 0.5) * 10) ** 2 + (y - y0 - (r + 0.5) * 10) ** 2)) AS d FROM j),
+w AS (SELECT CAST(r * nx + col AS BIGINT) AS id, c_acctbal, {SHARED_CIRCLE} / 100 AS w FROM k)
+SELECT id, round(sum(w), 6) AS weight, CAST(count(*) AS DOUBLE) AS n, round(sum(c_acctbal), 2) AS bal FROM w WHERE w > 0 GROUP BY id HAVING sum(w) > 0.05
+""")
+def point_to_grid(spark: SparkSession, root: str) -> DataFrame:
+    x = run(spark, {"c.parquet": customer_points(spark, root)}, "-i c.parquet -point-to-grid interval=10 radius=8 calc='n = count(), bal = sum(c_acctbal)'")
+    return x.df.select("id", F.round("weight", 6).alias("weight"), "n", F.round("bal", 2).alias("bal"))
+
+
+@query("SELECT 0::BIGINT AS n UNION ALL SELECT count(*) FROM nation")
+def ignore_empty(spark: SparkSession, root: str) -> DataFrame:
+    """Commands after -ignore empty don't run where a layer is empty, and do where it isn't."""
+    kept = [run(spark, {"n.parquet": layer(spark, root, "nation")}, f"-i n.parquet -filter '{f}' -ignore empty -each 'seen = true'") for f in ("n_nationkey < 0", "n_nationkey >= 0")]
+    return reduce(DataFrame.unionByName, [x.df.agg(F.count(F.lit(1) if "seen" in x.fields else F.lit(None)).alias("n")) for x in kept])
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey = 7")
+def inspect_feature(spark: SparkSession, root: str) -> DataFrame:
+    p = Pipeline(spark, {"n.parquet": layer(spark, root, "nation")}).run("-i n.parquet -inspect 'n_nationkey == 7' -inspect 'n_nationkey > 7'")
+    return spark.createDataFrame([(m,) for m in p.messages if m.startswith("{")], "m string").select(F.get_json_object("m", "$.n_nationkey").cast("int").alias("n_nationkey"), F.get_json_object("m", "$.n_name").alias("n_name"))
+
+
+@query("SELECT 'square' AS name, 4.0::DOUBLE AS area UNION ALL SELECT 'frame', 200.0")
+def added_shapes(spark: SparkSession, root: str) -> DataFrame:
+    p = Pipeline(spark).run("-add-shape coordinates=0,0,0,2,2,2,2,0,0,0 name=square -rectangle bbox=0,0,20,10 name=frame")
+    return reduce(DataFrame.unionByName, [p.layer(n).settled.select(F.lit(n).alias("name"), F.abs(G.area(F.col(GEOM))).alias("area")) for n in ("square", "frame")])
+
+
+@query("SELECT p_partkey, CASE WHEN p_size < (SELECT min(p_size) + (max(p_size) - min(p_size)) / 2.0 FROM part) THEN '#ff0000' ELSE '#0000ff' END AS fill FROM part")
+def classify_colours(spark: SparkSession, root: str) -> DataFrame:
+    return commands(spark, root, ["part"], "-i part.parquet -classify p_size equal-interval classes=2 colors=#ff0000,#0000ff").select("p_partkey", "fill")
+
+
+@query("SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'red' WHEN 'MACHINERY' THEN 'green' ELSE 'grey' END AS colour FROM customer")
+def colorizer_categories(spark: SparkSession, root: str) -> DataFrame:
+    return commands(spark, root, ["customer"], "-i customer.parquet -colorizer name=shade colors=red,green categories=BUILDING,MACHINERY other=grey -each 'colour = shade(c_mktsegment)' -filter-fields c_custkey,colour")
+
+
+@query("SELECT c_mktsegment, CAST(count(*) AS INTEGER) AS vertices FROM customer GROUP BY 1")
+def lines_from_points(spark: SparkSession, root: str) -> DataFrame:
+    x = run(spark, {"c.parquet": customer_points(spark, root)}, "-i c.parquet -lines groupby=c_mktsegment")
+    return x.df.select("c_mktsegment", F.size(F.col(GEOM)[0]).alias("vertices"))
+
+
+@query("SELECT c_custkey, c_custkey * 1.5::DOUBLE AS x, 2.0::DOUBLE AS r FROM customer")
+def style_fields(spark: SparkSession, root: str) -> DataFrame:
+    x = layer(spark, root, "customer")
+    return run(spark, {"c.parquet": x}, "-i c.parquet -style x='c_custkey * 1.5' r='1 + 1'").df.select("c_custkey", "x", "r")
+
+
 def queries() -> dict[str, Query]:
     return {n: QUERIES[n] for n in OWN}
 
