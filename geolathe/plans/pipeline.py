@@ -162,6 +162,8 @@ class Pipeline:
             return IO.read_shapefile(self.spark, path, c.get("encoding"), name)  # type: ignore[arg-type]
         if kind == "zip":
             return IO.read_zip(self.spark, path, c.get("encoding"))  # type: ignore[arg-type]
+        if kind == "fgb":
+            return IO.read_fgb(self.spark, path, name)
         if kind == "kml":
             return IO.read_kml(self.spark, path, name)
         if kind == "gpkg":
@@ -213,7 +215,7 @@ class Pipeline:
         """
         names = self.chosen(c)
         file = str(c.get("file") or "")
-        form = str(c.get("format") or {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "", "geojson": "geojson", "ndjson": "ndjson", "topojson": "topojson", "shp": "shapefile", "dbf": "dbf", "kml": "kml", "gpkg": "gpkg", "parquet": "geoparquet"}.get(Path(file).suffix.lstrip("."), ""))
+        form = str(c.get("format") or {"csv": "csv", "tsv": "csv", "txt": "csv", "json": "", "geojson": "geojson", "ndjson": "ndjson", "topojson": "topojson", "shp": "shapefile", "dbf": "dbf", "kml": "kml", "gpkg": "gpkg", "fgb": "flatgeobuf", "parquet": "geoparquet"}.get(Path(file).suffix.lstrip("."), ""))
         for name in names:
             x = self.layers[name]
             if c.flag("drop-table"):

@@ -110,6 +110,11 @@ def shapefile_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     return _lead_back(spark, root, "b.shp")
 
 
+@query(NAMED_BOXES)
+def flatgeobuf_roundtrip(spark: SparkSession, root: str) -> DataFrame:
+    return _lead_back(spark, root, "b.fgb")
+
+
 @query(NAMED_BOXES)
 def geopackage_roundtrip(spark: SparkSession, root: str) -> DataFrame:
     return _lead_back(spark, root, "b.gpkg")

@@ -23,6 +23,7 @@ from geolathe.functions.expressions import Translator, Value, text
 from geolathe.layer import FID, GEOM, Layer, LayerError, with_fid
 from geolathe.operators.paths import ARROW, PATH, POINT
 from geolathe.session import written
+from geolathe.sources import flatgeobuf
 from geolathe.sources import formats as fmt
 
 #: Columns that hold no value in number columns of text files, besides the empty text.
@@ -33,7 +34,7 @@ DELIMITERS = ["|", "\t", ",", ";"]
 def file_type(path: str, head: str = "") -> str:
     """The format by extension, then by content."""
     ext = Path(path).suffix.lower().lstrip(".")
-    known = {"csv": "csv", "tsv": "csv", "txt": "csv", "tab": "csv", "json": "json", "geojson": "json", "ndjson": "ndjson", "geojsonl": "ndjson", "topojson": "json", "shp": "shp", "dbf": "dbf", "parquet": "parquet", "geoparquet": "parquet", "gpkg": "gpkg", "kml": "kml", "zip": "zip", "kmz": "zip"}
+    known = {"csv": "csv", "tsv": "csv", "txt": "csv", "tab": "csv", "json": "json", "geojson": "json", "ndjson": "ndjson", "geojsonl": "ndjson", "topojson": "json", "shp": "shp", "dbf": "dbf", "parquet": "parquet", "geoparquet": "parquet", "gpkg": "gpkg", "kml": "kml", "zip": "zip", "kmz": "zip", "fgb": "fgb"}
     if ext == "gz":
         ext = Path(path).with_suffix("").suffix.lower().lstrip(".")
     if ext in known:
@@ -367,6 +368,8 @@ def read_zip(spark: SparkSession, path: str, encoding: str | None = None) -> dic
             text_ = one.select(F.decode("content", "UTF-8").alias("value"))
             if ext == "kml":
                 out |= decoded(one, lambda files, stem=stem: ((stem, k, p, d) for _, k, p, d in fmt.read_kml(files["kml"].decode())), stem)
+            elif ext == "fgb":
+                out |= decoded(one, lambda files, stem=stem: flatgeobuf.read(files["fgb"], stem), stem)
             elif ext == "gpkg":
                 out |= decoded(one, lambda files: fmt.read_gpkg(files["gpkg"], None), stem)
             elif ext in ("json", "geojson", "topojson"):
@@ -388,6 +391,11 @@ def read_kml(spark: SparkSession, path: str, name: str = "") -> dict[str, Layer]
     return decoded(binary(spark, [path]), lambda files: ((label, k, p, d) for _, k, p, d in fmt.read_kml(files["kml"].decode())), label)
 
 
+def read_fgb(spark: SparkSession, path: str, name: str = "") -> dict[str, Layer]:
+    label = name or Path(path).stem
+    return decoded(binary(spark, [path]), lambda files: flatgeobuf.read(files["fgb"], label), label)
+
+
 def read_gpkg(spark: SparkSession, path: str, layers: list[str] | None = None) -> dict[str, Layer]:
     return decoded(binary(spark, [path]), lambda files: fmt.read_gpkg(files["gpkg"], layers), Path(path).stem)
 
@@ -538,6 +546,8 @@ def content(layer: Layer, kind: str, **options: object) -> dict[str, str | bytes
         return {"json": fmt.write_topojson({name: (geo or "point", list(rows_of(layer)))}, options.get("quantization"))}  # type: ignore[arg-type]
     if kind == "kml":
         return {"kml": fmt.write_kml(name, geo or "point", rows_of(layer))}
+    if kind == "flatgeobuf":
+        return {"fgb": flatgeobuf.write(name, geo or "point", rows_of(layer), layer.fields)}
     if kind == "gpkg":
         return {"gpkg": fmt.write_gpkg(name, geo or "point", rows_of(layer), layer.fields)}
     if kind in ("shapefile", "dbf"):

@@ -25,10 +25,10 @@ def test_geometry_formats_lead_back(spark, tmp_path):
     x = IO.read_json(spark, str(tmp_path / "g.geojson"))["g"]
     want = plain(x)
     assert x.geometry_type == "polygon" and len(want) == 2
-    for kind in ("geojson", "topojson", "gpkg", "shapefile"):
+    for kind in ("geojson", "topojson", "gpkg", "shapefile", "flatgeobuf"):
         for ext, data in IO.content(x, kind).items():
             (tmp_path / f"{kind}.{ext}").write_bytes(data if isinstance(data, bytes) else data.encode())
-        back = {"geojson": lambda: IO.read_json(spark, str(tmp_path / "geojson.json")), "topojson": lambda: IO.read_json(spark, str(tmp_path / "topojson.json")), "gpkg": lambda: IO.read_gpkg(spark, str(tmp_path / "gpkg.gpkg")), "shapefile": lambda: IO.read_shapefile(spark, str(tmp_path / "shapefile.shp"))}[kind]()
+        back = {"geojson": lambda: IO.read_json(spark, str(tmp_path / "geojson.json")), "topojson": lambda: IO.read_json(spark, str(tmp_path / "topojson.json")), "gpkg": lambda: IO.read_gpkg(spark, str(tmp_path / "gpkg.gpkg")), "flatgeobuf": lambda: IO.read_fgb(spark, str(tmp_path / "flatgeobuf.fgb")), "shapefile": lambda: IO.read_shapefile(spark, str(tmp_path / "shapefile.shp"))}[kind]()
         assert plain(next(iter(back.values()))) == want, kind
     (tmp_path / "k.kml").write_text(IO.content(x, "kml")["kml"])
     assert [r[GEOM] for r in IO.read_kml(spark, str(tmp_path / "k.kml"))["k"].df.collect()] == [r[GEOM] for r in x.df.collect()]
@@ -136,3 +136,16 @@ def test_archives_sidecars_and_patterns(spark, tmp_path):
     for n in "pq":
         (tmp_path / f"m_{n}.csv").write_text("a\n1\n")
     assert set(Pipeline(spark).run(f"-i {tmp_path}/m_*.csv").layers) == {"m_p", "m_q"}
+
+
+def test_flatgeobuf_by_hand():
+    from geolathe.sources import flatgeobuf as fgb
+
+    rows = [([[1.0, 2.0]], {"a": 1, "b": "ä", "c": None, "d": [1, {"x": None}]}), (None, {"a": None, "b": "", "c": 2.5, "d": None}), ([[3.0, 4.0], [5.0, 6.0]], {"a": -7, "b": None, "c": 1, "d": {}})]
+    data = fgb.write("t", "point", rows, ["a", "b", "c", "d"])
+    assert data[:8] == fgb.MAGIC
+    assert [(k, p, d) for _, k, p, d in fgb.read(data, "t")] == [("point", [[1.0, 2.0]], {**rows[0][1]}), (None, None, rows[1][1]), ("point", [[3.0, 4.0], [5.0, 6.0]], {**rows[2][1], "c": 1.0})]
+    lines = [([[[0.0, 0.0], [1.0, 1.0]], [[2.0, 2.0], [3.0, 3.0], [4.0, 0.0]]], {})]
+    assert [p for _, _, p, _ in fgb.read(fgb.write("l", "polyline", lines, []), "l")] == [lines[0][0]]
+    with pytest.raises(ValueError):
+        list(fgb.read(b"PK..", "t"))
