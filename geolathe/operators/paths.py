@@ -173,7 +173,7 @@ def simplify(layer: Layer, percentage: float | None = None, interval: float | No
     """Drops vertices: Douglas-Peucker (``dp``), Visvalingam (``visvalingam``) or its weighted form.
 
     Each vertex gets a threshold; ``percentage`` keeps that share of the removable vertices of the whole layer (their
-    rank is found by a distributed sort), ``interval`` keeps vertices above a size, ``resolution`` (pixels across the
+    rank is found from a bracket around it), ``interval`` keeps vertices above a size, ``resolution`` (pixels across the
     longer side) half a pixel. Lines are cut at nodes first, so borders between polygons stay common. Rings that
     collapse are dropped, or kept in their smallest form with ``keep_shapes``.
     """
@@ -183,47 +183,56 @@ def simplify(layer: Layer, percentage: float | None = None, interval: float | No
     def thresholds(arc: list) -> list[float]:
         return S.dp_thresholds(arc, sphere) if method == "dp" else S.visvalingam_thresholds(arc, weighting if method == "weighted" else 0.0, sphere)
 
+    def weighed(parts: list, nodes: list) -> list:
+        """The parts from a node on, each vertex with its threshold; ends of arcs have none that removes them."""
+        out = []
+        for p, n in zip(parts, nodes):
+            ring: list = []
+            for arc in S.split_at(p, n):
+                flip = arc[-1] < arc[0] or (arc[0] == arc[-1] and len(arc) > 3 and arc[-2] < arc[1])
+                arc = arc[::-1] if flip else arc
+                new = [[*map(float, q[:2]), t] for q, t in zip(arc, thresholds(arc))]
+                new = new[::-1] if flip else new
+                ring += new if not ring else new[1:]
+            out.append(ring)
+        return out
+
     df = layer.settled
     df = df.join(node_flags(layer), FID, "left") if topology else df.withColumn("_nodes", F.transform(GEOM, lambda p: F.transform(p, lambda q: F.lit(False))))
+    df = written(df.withColumn("_w", kernel(weighed)(F.col(GEOM), F.col("_nodes"))).drop("_nodes"), "thresholds")
     if resolution:
         b = layer_bounds(layer) or [0, 0, 0, 0]
         interval = 0.5 * max(b[2] - b[0], b[3] - b[1]) / resolution
         if sphere:
             interval *= math.radians(1) * S.RADIUS
     if percentage is not None:
-
-        def marks(parts: list, nodes: list) -> list:
-            out = []
-            for p, n in zip(parts, nodes):
-                for arc in S.split_at(p, n):
-                    flip = arc[-1] < arc[0]
-                    arc = arc[::-1] if flip else arc
-                    out.append([[t, *map(float, q[:2])] for q, t in zip(arc, thresholds(arc)) if t < math.inf])
-            return out
-
-        marked = df.select(F.explode(F.flatten(kernel(marks, PATH)(F.col(GEOM), F.col("_nodes")))).alias("m")).distinct()
-        vals = marked.select(F.col("m")[0].alias("v"))
+        # a vertex that neighbours share is one
+        marked = df.select(F.explode(F.flatten("_w")).alias("m")).where(F.col("m")[2] < float("inf")).distinct()
+        vals = marked.select(F.col("m")[2].alias("v"))
         n = vals.count()
         rank = min(n, math.floor((1 - percentage) * n + 1e-9))
         interval = (ranked_values(vals, [rank], n)[0] if rank < n else math.inf) if n else 0.0
-    limit = interval or 0.0
-    is_polygon = layer.geometry_type == "polygon"
+    limit = F.lit(float(interval or 0.0))
 
-    def run(parts: list, nodes: list) -> list | None:
-        out = []
-        for p, n in zip(parts, nodes):
-            new = S.by_arcs(p, n, lambda arc: S.kept(arc, thresholds(arc), limit))
-            if not is_polygon or (len(new) > 3 and S.ring_area(new) * S.ring_area(p) > 0):
-                out.append(new)
-        if not out and keep_shapes and parts:
-            big = max(parts, key=lambda r: abs(S.ring_area(r)))
-            t = S.visvalingam_thresholds(big, 0.0, sphere)
-            order = sorted(range(1, len(big) - 1), key=lambda i: -t[i])[:2]
-            out = [[big[0], *[big[i] for i in sorted(order)], big[-1]]]
-        return out or None
-
-    new = kernel(run)(F.col(GEOM), F.col("_nodes"))
-    return layer.with_df(df.withColumn(GEOM, new).drop("_nodes"))
+    def kept(part: Column) -> Column:
+        new = F.transform(F.filter(part, lambda q: q[2] >= limit), lambda q: F.array(q[0], q[1]))
+        return F.when((F.size(new) > 3) & (G.ring_area(new) * G.ring_area(part) > 0), new) if layer.geometry_type == "polygon" else new
+
+    new = F.array_compact(F.transform("_w", kept))
+    out = layer.with_df(df.withColumn("_new", F.when(F.size(new) > 0, new)).drop("_w"))
+    if not keep_shapes:
+        return out.with_df(out.df.withColumn(GEOM, F.col("_new")).drop("_new"))
+
+    def smallest(parts: list) -> list | None:
+        if not parts:
+            return None
+        big = max(parts, key=lambda r: abs(S.ring_area(r)))
+        t = S.visvalingam_thresholds(big, 0.0, sphere)
+        order = sorted(range(1, len(big) - 1), key=lambda i: -t[i])[:2]
+        return [[big[0], *[big[i] for i in sorted(order)], big[-1]]]
+
+    lost = kernel(smallest)(F.when(F.col("_new").isNull(), F.col(GEOM)))
+    return out.with_df(out.df.withColumn(GEOM, F.coalesce("_new", lost)).drop("_new"))
 
 
 def densify(layer: Layer, interval: float, planar: bool = False) -> Layer:
