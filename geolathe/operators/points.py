@@ -271,6 +271,55 @@ def point_buffer(layer: Layer, radius: float | str, vertices_: int = 72, defs: d
     return layer.with_df(layer.df.withColumn(GEOM, F.when(r > 0, shape)), geometry_type="polygon")
 
 
+#: Corners of regular symbols.
+SIDES = {"triangle": 3, "square": 4, "pentagon": 5, "hexagon": 6, "octagon": 8, "circle": 72}
+
+
+def symbols(layer: Layer, kind: str = "circle", radius: float | str = 5.0, sides: int | None = None, rotation: float | str = 0.0, scale: float = 1.0, points: int = 5, point_ratio: float = 0.5, defs: dict | None = None) -> Layer:
+    """Polygons around points, in the layer's units: regular ones, or stars whose inner corners lie at a share of the radius.
+
+    Radius and rotation (degrees, clockwise) may be expressions; the first corner points up. Symbols without a positive
+    radius are null.
+    """
+    layer.need_geometry("point")
+    column = lambda v: F.lit(float(v)) if isinstance(v, (int, float)) else translator(layer, defs).column(v).col.cast("double")
+    r, turn = column(radius) * float(scale), column(rotation)
+    star = kind == "star"
+    n = 2 * points if star else sides or SIDES.get(kind, 0)
+    if n < 3:
+        raise LayerError(f"unknown symbol {kind}")
+
+    def corner(p: F.Column, i: int) -> F.Column:
+        a = F.radians(F.lit(90.0 - 360.0 * (i % n) / n) - turn)
+        own = r * (point_ratio if star and i % 2 else 1.0)
+        return F.array(p[0] + own * F.cos(a), p[1] + own * F.sin(a))
+
+    shape = F.transform(GEOM, lambda p: F.array(*[corner(p, i) for i in range(n + 1)]))
+    return layer.with_df(layer.df.withColumn(GEOM, F.when(r > 0, shape)), geometry_type="polygon")
+
+
+def frame(spark: SparkSession, bbox: list[float], width: float | None = None, height: float | None = None, aspect_ratio: float | None = None, offset: float = 0.0) -> Layer:
+    """A rectangle around a map, with its size in pixels (800 wide unless said otherwise); the box is widened to fit it."""
+    x0, y0, x1, y1 = map(float, bbox)
+    dx, dy = (x1 - x0) * offset, (y1 - y0) * offset
+    x0, y0, x1, y1 = x0 - dx, y0 - dy, x1 + dx, y1 + dy
+    if not x1 > x0 or not y1 > y0:
+        raise LayerError("a frame needs a box with a width and a height")
+    width = 800.0 if not width and not height else width
+    if aspect_ratio:
+        width, height = width or height * aspect_ratio, height or width / aspect_ratio  # type: ignore[operator]
+    own = (x1 - x0) / (y1 - y0)
+    width, height = width or height * own, height or width / own  # type: ignore[operator]
+    more = (y1 - y0) * width / height - (x1 - x0)
+    if more > 0:
+        x0, x1 = x0 - more / 2, x1 + more / 2
+    else:
+        more = (x1 - x0) * height / width - (y1 - y0)
+        y0, y1 = y0 - more / 2, y1 + more / 2
+    made = rectangle(spark, [x0, y0, x1, y1], "frame")
+    return made.with_df(made.df.withColumns({"type": F.lit("frame"), "width": F.lit(float(width)), "height": F.lit(float(height))}))
+
+
 def rectangles(layer: Layer, offset: float = 0.0) -> Layer:
     """The bounds of each feature as a polygon, widened by ``offset``."""
     b = G.bounds(F.col(GEOM), layer.geometry_type == "point")

@@ -504,7 +504,16 @@ class Pipeline:
         d = c.number("offset") or 0.0
         self._add(c, P.rectangle(self.spark, [box[0] - d, box[1] - d, box[2] + d, box[3] + d]))
 
-    do_frame = do_rectangle
+    def do_frame(self, c: Command) -> None:
+        box = c.numbers("bbox") or T.layer_bounds(self.layers[self.chosen(c)[-1]])
+        if box is None:
+            raise CommandError("-frame needs bounds")
+        self._add(c, P.frame(self.spark, box, c.number("width"), c.number("height"), c.number("aspect-ratio"), c.number("offset") or 0.0))
+
+    def do_scalebar(self, c: Command) -> None:
+        """A row of what a map says about its scale: no geometry, drawn by whoever renders the map."""
+        fields = {"type": "scalebar", **{k: str(v) for k, v in c.options.items() if k not in ("name", "target")}}
+        self._add(c, layer_of(self.spark.createDataFrame([tuple(fields.values())], ", ".join(f"`{k}` string" for k in fields)), str(c.get("name") or "scalebar")))
 
     def do_graticule(self, c: Command) -> None:
         self._add(c, P.graticule(self.spark, c.number("interval") or 10.0))
@@ -672,6 +681,14 @@ def _buffer(p: Pipeline, x: Layer, c: Command) -> Layer:
     return O.line_buffer(x, c.number("radius") or 0.0)
 
 
+def _symbols(p: Pipeline, x: Layer, c: Command) -> Layer:
+    def size(name: str, default: float) -> float | str:
+        v = str(c.get(name) or default)
+        return float(v) if re.fullmatch(r"-?[\d.]+", v) else v
+
+    return P.symbols(x, str(c.get("type") or "circle"), size("radius", 5.0), int(c.number("sides") or 0) or None, size("rotation", 0.0), c.number("scale") or 1.0, int(c.number("points") or 5), c.number("point-ratio") or 0.5, p.defs)
+
+
 def _proj(p: Pipeline, x: Layer, c: Command) -> Layer:
     """Coordinates in another system; layers without one count as degrees."""
     target = str(c.get("crs") or c.get("projection"))
@@ -829,6 +846,7 @@ PER_LAYER: dict[str, Callable] = {
     "rotate": _rotate,
     "dots": _dots,
     "style": _style,
+    "symbols": _symbols,
 }
 
 

@@ -592,6 +592,24 @@ def lines_from_points(spark: SparkSession, root: str) -> DataFrame:
     return x.df.select("c_mktsegment", F.size(F.col(GEOM)[0]).alias("vertices"))
 
 
+@query(f"SELECT c_custkey, round(3 * pow(1 + c_custkey % 4, 2) * sin(pi() / 3), 6) AS hexagon, round(5 * 0.4 * 4 * sin(pi() / 5), 6) AS star, round(x, 6) AS x, round(y + 2, 6) AS top FROM (SELECT c_custkey, {CUSTOMER_XY} FROM customer)")
+def symbols_around_points(spark: SparkSession, root: str) -> DataFrame:
+    """Hexagons of several sizes and stars, as areas; the first corner of a star points up."""
+    inputs = {"c.parquet": customer_points(spark, root)}
+    a = run(spark, inputs, "-i c.parquet -symbols type=hexagon radius='1 + c_custkey % 4'").settled.select("c_custkey", F.round(G.area(F.col(GEOM)), 6).alias("hexagon"))
+    tip = F.col(GEOM)[0][0]
+    b = run(spark, inputs, "-i c.parquet -symbols type=star radius=2 points=5 point-ratio=0.4").settled.select("c_custkey", F.round(G.area(F.col(GEOM)), 6).alias("star"), F.round(tip[0], 6).alias("x"), F.round(tip[1], 6).alias("top"))
+    return a.join(b, "c_custkey")
+
+
+@query("SELECT 'frame' AS type, 1000.0::DOUBLE AS width, 500.0::DOUBLE AS height, 2.0::DOUBLE AS ratio, '20 km' AS label")
+def frame_and_scalebar(spark: SparkSession, root: str) -> DataFrame:
+    p = Pipeline(spark, {"b.parquet": boxes(spark, root)}).run("-i b.parquet -frame width=1000 aspect-ratio=2 name=frame -scalebar label='20 km'")
+    b = G.bounds(F.col(GEOM), False)
+    label = p.layer("scalebar").df.first()["label"]
+    return p.layer("frame").df.select("type", "width", "height", F.round((b["xmax"] - b["xmin"]) / (b["ymax"] - b["ymin"]), 6).alias("ratio"), F.lit(label).alias("label"))
+
+
 @query("SELECT c_custkey, c_custkey * 1.5::DOUBLE AS x, 2.0::DOUBLE AS r FROM customer")
 def style_fields(spark: SparkSession, root: str) -> DataFrame:
     x = layer(spark, root, "customer")
