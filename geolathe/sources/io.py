@@ -408,18 +408,28 @@ def _wkb_json(data: pa.Array) -> pa.Array:
     return pa.array([None if v is None else json.dumps(fmt.from_wkb(v)) for v in data.to_pylist()], type=pa.string())
 
 
+def footer(spark: SparkSession, df: DataFrame, key: str) -> str | None:
+    """What the footer of a table's first Parquet file says under a key, in whatever file system it lies."""
+    files = sorted(df.inputFiles())
+    if not files:
+        return None
+    jvm = spark._jvm
+    where = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(files[0]), spark._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(where)
+    try:
+        return reader.getFooter().getFileMetaData().getKeyValueMetaData().get(key)
+    finally:
+        reader.close()
+
+
 def read_parquet(spark: SparkSession, path: str, geometry: str | None = None, name: str = "", key: str | None = None) -> Layer:
     """A table or, where a WKB column is named or described in the file's ``geo`` metadata, a layer with geometry."""
     df = spark.read.parquet(path)
     name = name or Path(path).stem
     if geometry is None:
-        import pyarrow.parquet as pq
-
-        local = Path(path.removeprefix("file:"))
-        first = local if local.is_file() else next(iter(sorted(local.glob("*.parquet"))), None) if local.exists() else None
-        meta = (pq.read_schema(first).metadata or {}) if first else {}
-        if b"geo" in meta:
-            geometry = json.loads(meta[b"geo"]).get("primary_column")
+        described = footer(spark, df, "geo")
+        if described:
+            geometry = json.loads(described).get("primary_column")
         elif "geometry" in df.columns and dict(df.dtypes)["geometry"] == "binary":
             geometry = "geometry"
     if not geometry:

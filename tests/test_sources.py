@@ -149,3 +149,14 @@ def test_flatgeobuf_by_hand():
     assert [p for _, _, p, _ in fgb.read(fgb.write("l", "polyline", lines, []), "l")] == [lines[0][0]]
     with pytest.raises(ValueError):
         list(fgb.read(b"PK..", "t"))
+
+
+def test_geoparquet_names_its_geometry_in_the_footer(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    wkb = fmt.to_wkb("point", [[1.0, 2.0]])
+    t = pa.table({"shape": pa.array([wkb, None], pa.binary()), "n": [1, 2]}).replace_schema_metadata({"geo": json.dumps({"version": "1.0.0", "primary_column": "shape", "columns": {"shape": {"encoding": "WKB"}}})})
+    pq.write_table(t, tmp_path / "g.parquet")
+    x = IO.read_parquet(spark, str(tmp_path / "g.parquet"))
+    assert x.geometry_type == "point" and x.fields == ["n"] and {r["n"]: r[GEOM] for r in x.df.collect()} == {1: [[1.0, 2.0]], 2: None}
