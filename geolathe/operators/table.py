@@ -128,7 +128,8 @@ def each(layer: Layer, expression: str, where: str | None = None, ids: list[int]
 
     New fields are null where nothing is assigned. ``global.n = (global.n || 0) + x`` is a running total in row order
     over the selected rows, which later statements read as ``global.n``. Assigning to this.x or this.y moves points. ``delete f`` and
-    ``delete this.properties.f`` drop a field. An empty table gets the new fields.
+    ``delete this.properties.f`` drop a field; ``this.properties = {..}`` replaces all fields by those of the object. An
+    empty table gets the new fields.
     """
     df = layer.df
     chosen: Column | None = strict(layer, where, defs) if where else None
@@ -157,6 +158,13 @@ def each(layer: Layer, expression: str, where: str | None = None, ids: list[int]
         t = translator(current, defs)
         t.others = {"global": totals} if totals else t.others
         t.fields.pop("_chosen", None)
+        if target == ("member", ("name", "this"), "properties"):
+            if chosen is not None or node[2][0] != "object":
+                raise ExpressionError("a record can only be replaced by an object, in all rows")
+            made = [(k, t.value(v)) for k, v in node[2][1]]
+            kept = [*layer.system, *[f"_global_{n}" for n in totals]]
+            df = df.select(*kept, *[(v.col.cast("string") if v.kind == "null" else v.col).alias(k) for k, v in made])
+            continue
         value = t.value(node[2])
         if target[0] == "member" and target[1] == ("name", "this") and target[2] in ("x", "y") and layer.geometry_type == "point":
             old = F.col(GEOM)[0]

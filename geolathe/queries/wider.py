@@ -155,6 +155,11 @@ def each_delete(spark: SparkSession, root: str) -> DataFrame:
     return commands(spark, root, ["part"], "-i part.parquet -each 'q = p_size + 1; delete this.properties.p_size'")
 
 
+@query("SELECT CAST(o_orderkey AS DOUBLE) + 1 AS next, o_orderstatus AS status, NULL AS nothing FROM orders")
+def each_replace_record(spark: SparkSession, root: str) -> DataFrame:
+    return commands(spark, root, ["orders"], "-i orders.parquet -each 'this.properties = {next: o_orderkey + 1, status: o_orderstatus, nothing: null}'")
+
+
 @query("SELECT p_partkey, CAST(len(string_split(p_type, ' ')) AS DOUBLE) AS n, lower(replace(p_type, ' ', '-')) AS u, string_split(p_type, ' ')[1] AS f, list_contains(string_split(p_type, ' '), 'TIN') AS t FROM part")
 def array_functions(spark: SparkSession, root: str) -> DataFrame:
     df = commands(spark, root, ["part"], "-i part.parquet -each \"a = p_type.split(' '), n = a.length, u = a.map(x => x.toLowerCase()).join('-'), f = a[0], t = a.includes('TIN')\"")
