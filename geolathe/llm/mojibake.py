@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -31,14 +32,18 @@ from geolathe.session import written
 SAMPLE = 12_000
 #: Buckets that byte bigrams are hashed into.
 BUCKETS = 1 << 14
-#: Nats that a chain's score may lie below that of sound text; every chain nearer than that is tried.
-GATE = 25.0
+#: Nats that a chain's score may lie below that of sound text; every chain nearer than that is tried. The second is for
+#: chains between single-byte pages, which decode anything strictly, and values all of whose characters sound values
+#: hold too: these must look garbled to the classifier by their order.
+GATE, PLAIN_GATE = 25.0, 10.0
 #: Classes of damage that nothing can be put back after.
 DAMAGED = 2
 #: Longer values are judged piece by piece, so that a garbled name in a long text isn't outweighed by the rest.
 PIECE = 200
 #: How many nats better than the value a restored text must read, its chain's prior included.
 MARGIN = 2.0
+#: Nats that a restored text pays for each character that sound values of the sample don't hold.
+STRANGE = 12.0
 #: Expected share of garbled values; only sets the priors.
 PRIOR = 0.05
 
@@ -190,6 +195,7 @@ class Model:
     weights: np.ndarray
     prior: np.ndarray
     held_out: float = 0.0
+    known: frozenset = frozenset()
     chains: list[tuple[Step, ...]] = field(default_factory=lambda: CHAINS)
 
     def scores(self, texts: list[str], classes: slice | int = slice(None)) -> np.ndarray:
@@ -255,7 +261,8 @@ def _count(sound: list[str]) -> Model:
         weights[:, k] = np.log((count + 0.05) / (count.sum() + 0.05 * BUCKETS))
     prior = np.full(len(classes), np.log(PRIOR / (len(CHAINS) + DAMAGED)))
     prior[0] = np.log(1 - PRIOR)
-    return Model(weights, prior)
+    held = Counter(c for v in sound for c in set(v))
+    return Model(weights, prior, known=frozenset(c for c, n in held.items() if n > 1))
 
 
 def lost_forms(text: str, n: int) -> list[str]:
@@ -329,7 +336,9 @@ def _judged(core: list[str], model: Model) -> list[tuple[str | None, str] | None
         return out
     score = model.scores(core) + model.prior
     value = score[:, 0] - model.prior[0]
-    best = _best(core, score[:, 1:-DAMAGED] >= score[:, :1] - GATE, value, model)
+    plain = np.array([all(c.isascii() or c in model.known for c in v) for v in core])
+    paged = np.array([chain[0][0] != "utf-8" for chain in model.chains])
+    best = _best(core, score[:, 1:-DAMAGED] >= score[:, :1] - np.where(plain[:, None] & paged, PLAIN_GATE, GATE), value, model)
     for n, (_, k, text, whole, cut) in best.items():
         again = _judged([text], model)[0] if not text.isascii() and len(text) < len(core[n]) else None
         chain = chain_name(model.chains[k])
@@ -346,8 +355,8 @@ def _judged(core: list[str], model: Model) -> list[tuple[str | None, str] | None
 def _best(core: list[str], tried: np.ndarray, value: np.ndarray, model: Model) -> dict[int, tuple[float, int, str, bool, bool]]:
     """Of the chains tried for each row, the one that gives the text that reads best: (gain, chain, text, whole, cut).
 
-    Only rows that gain more than ``MARGIN`` are given back. A text restored in part pays for it, and one cut off for
-    the character and the end that it lacks.
+    Only rows that gain more than ``MARGIN`` are given back. A text restored in part pays for it, one cut off for the
+    character and the end that it lacks, and every one for characters that sound values don't hold.
     """
     proposals: list[tuple[int, int, str, bool, bool]] = []
     for n, k in np.argwhere(tried).tolist():
@@ -358,7 +367,7 @@ def _best(core: list[str], tried: np.ndarray, value: np.ndarray, model: Model) -
             proposals.append((n, k, part[0], False, part[1]))
     found: dict[int, tuple[float, int, str, bool, bool]] = {}
     for (n, k, text, whole, cut), s in zip(proposals, model.sound([p[2] for p in proposals])):
-        gain = s + model.prior[k + 1] - (value[n] + model.prior[0]) - 12.0 * cut - 1.0 * (not whole) - (30.0 if _damaged(text) and not _damaged(core[n]) else 0.0)
+        gain = s + model.prior[k + 1] - (value[n] + model.prior[0]) - 12.0 * cut - 1.0 * (not whole) - (30.0 if _damaged(text) and not _damaged(core[n]) else 0.0) - STRANGE * len({c for c in text if not c.isascii() and c not in model.known})
         if gain > MARGIN and (n not in found or gain > found[n][0]):
             found[n] = (gain, k, text, whole, cut)
     return found
