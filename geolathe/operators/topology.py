@@ -18,6 +18,7 @@ from geolathe.functions import shapes as S
 from geolathe.functions.expressions import Value
 from geolathe.layer import FID, GEOM, Layer, with_fid
 from geolathe.operators.table import dissolve, translator
+from geolathe.plans.skew import salted_join
 from geolathe.session import written
 
 
@@ -355,6 +356,10 @@ def cluster(layer: Layer, pct: float | None = None, max_width: float | None = No
     return layer.with_df(layer.df.join(made, FID, "left"))
 
 
+#: Cells along an interval: points of one cell or of two that touch are never farther apart than it. Cells along a block.
+FINE, BLOCK = 3, 12
+
+
 def alpha_shapes(layer: Layer, interval: float) -> Layer:
     """Polygons around points that are near each other: Delaunay triangles with no side above the interval, merged.
 
@@ -362,10 +367,9 @@ def alpha_shapes(layer: Layer, interval: float) -> Layer:
     are triangulated one by one, in parallel.
     """
     layer.need_geometry("point")
-    groups = _linked(layer, interval)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted({(float(x), float(y)) for x, y in zip(pdf["x"], pdf["y"])})
+        pts = sorted(zip(pdf["x"].tolist(), pdf["y"].tolist()))
         tiles = []
         for t in S.delaunay([list(p) for p in pts]):
             ring = [list(pts[i]) for i in (*t, t[0])]
@@ -373,36 +377,89 @@ def alpha_shapes(layer: Layer, interval: float) -> Layer:
                 tiles.append([ring if S.ring_area(ring) > 0 else ring[::-1]])
         return pd.DataFrame([{FID: int(pdf["g"].iloc[0]), GEOM: S.merged(tiles) if tiles else None}])
 
-    shapes = groups.groupBy("g").applyInPandas(run, f"{FID} bigint, {GEOM} array<array<array<double>>>")
+    shapes = _linked(_placed(layer), interval).groupBy("g").applyInPandas(run, f"{FID} bigint, {GEOM} array<array<array<double>>>")
     return layer.with_df(shapes.where(F.col(GEOM).isNotNull()), geometry_type="polygon")
 
 
 def filter_points(layer: Layer, interval: float) -> Layer:
     """Points that belong to a Delaunay triangle with all sides up to the interval."""
-    groups = _linked(layer, interval)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pts = sorted({(float(x), float(y)) for x, y in zip(pdf["x"], pdf["y"])})
+        pts = sorted(zip(pdf["x"].tolist(), pdf["y"].tolist()))
         keep = set()
         for t in S.delaunay([list(p) for p in pts]):
             if max(S.hop(list(pts[a]), list(pts[b]), False) for a, b in ((t[0], t[1]), (t[1], t[2]), (t[2], t[0]))) <= interval:
                 keep |= {pts[i] for i in t}
-        hit = [(float(x), float(y)) in keep for x, y in zip(pdf["x"], pdf["y"])]
-        return pdf.loc[hit, [FID]]
+        return pd.DataFrame(sorted(keep), columns=["x", "y"], dtype=float)
 
-    kept = groups.groupBy("g").applyInPandas(run, f"{FID} bigint").distinct()
+    points = _placed(layer)
+    places = _linked(points, interval).groupBy("g").applyInPandas(run, "x double, y double")
+    kept = salted_join(points, places, ["x", "y"], F.col(FID), "inner").select(FID)
     return layer.with_df(layer.df.join(kept, FID, "left_semi"))
 
 
-def _linked(layer: Layer, interval: float) -> DataFrame:
-    """Points (fid, x, y) with ``g``: the group linked by steps of at most the interval."""
-    from geolathe.operators.classify import components
-    from geolathe.operators.proximity import near_planar
-
+def _placed(layer: Layer) -> DataFrame:
+    """(fid, x, y) of the points with finite coordinates; the others are in no triangle."""
     pts = layer.df.where(F.size(GEOM) > 0).select(FID, F.get(GEOM, F.lit(0))[0].alias("x"), F.get(GEOM, F.lit(0))[1].alias("y"))
-    pairs = near_planar(pts, FID, "x", "y", interval)
-    link = F.concat_ws("-", "id_lo", "id_hi")
-    members = pairs.select(F.col("id_lo").alias(FID), link.alias("m")).unionByName(pairs.select(F.col("id_hi").alias(FID), link.alias("m")))
-    grouped = pts.select(FID).join(members, FID, "left").groupBy(FID).agg(F.collect_list("m").alias("m"))
-    return pts.join(components(grouped, FID, "m").withColumnRenamed("component", "g"), FID)
+    return pts.where((F.abs("x") < math.inf) & (F.abs("y") < math.inf))
+
+
+def _linked(points: DataFrame, interval: float) -> DataFrame:
+    """Places (x, y), points at one place being one, with ``g``: the group linked by steps of at most the interval, named
+    by its least fid.
+
+    Pairs of points grow with the square of the points in reach, so the links are between cells, a few each: those
+    that touch are linked whatever they hold. What that leaves apart is linked by the distances of places, tried only
+    between cells of different groups.
+    """
+    side, most = interval / FINE, F.lit(float(interval) ** 2)
+    cell = lambda c: F.floor(F.col(c) / side).cast("double").alias(f"_{c}")
+    places = written(points.groupBy("x", "y").agg(F.min(FID).alias("id")).select("id", "x", "y", cell("x"), cell("y")), "places")
+    box = [f(c).alias(f"{c}{n}") for c in ("x", "y") for n, f in enumerate((F.min, F.max))]
+    cells = written(places.groupBy("_x", "_y").agg(F.min("id").alias("id"), *box), "cells")
+
+    touching = _meeting(cells, 1).where((F.abs(F.col("a._x") - F.col("b._x")) <= 1) & (F.abs(F.col("a._y") - F.col("b._y")) <= 1))
+    groups = _chained(cells.select("id"), touching.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")))
+    cells = written(cells.join(groups, "id"), "cells")
+
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"a.{c}0") - F.col(f"b.{c}1"), F.col(f"b.{c}0") - F.col(f"a.{c}1"))
+    span = lambda c: F.greatest(F.col(f"a.{c}1") - F.col(f"b.{c}0"), F.col(f"b.{c}1") - F.col(f"a.{c}0"))
+    apart = _meeting(cells, FINE + 1).where((F.col("a.g") != F.col("b.g")) & (gap("x") * gap("x") + gap("y") * gap("y") <= most))
+    sure = (span("x") * span("x") + span("y") * span("y") <= most).alias("sure")
+    apart = written(apart.select(sure, F.struct("a.*").alias("a"), F.struct("b.*").alias("b")), "apart")
+    if apart.limit(1).count():
+        ends = [F.least("a.g", "b.g").alias("a"), F.greatest("a.g", "b.g").alias("b")]
+        links = apart.where("sure").select(*ends).unionByName(_close(apart.where("not sure"), places, most).select(*ends)).distinct()
+        groups = _chained(cells.select(F.col("g").alias("id")).distinct(), links)
+        cells = cells.join(groups.withColumnRenamed("id", "_g").withColumnRenamed("g", "_to"), F.col("g") == F.col("_g")).withColumn("g", F.col("_to"))
+    return places.select("x", "y", "_x", "_y").join(cells.select("_x", "_y", "g"), ["_x", "_y"]).select("x", "y", "g")
+
+
+def _meeting(cells: DataFrame, reach: int) -> DataFrame:
+    """Pairs of cells ``a`` and ``b`` in blocks that ``reach`` cells around b touch; each pair once."""
+    block = lambda c, by=0: F.floor((F.col(f"_{c}") + by) / BLOCK).cast("long")
+    visits = cells.withColumn("bx", F.explode(F.sequence(block("x", -reach), block("x", reach)))).withColumn("by", F.explode(F.sequence(block("y", -reach), block("y", reach))))
+    a = cells.select(block("x").alias("bx"), block("y").alias("by"), F.struct(*cells.columns).alias("a"))
+    b = visits.select("bx", "by", F.struct(*cells.columns).alias("b"))
+    return a.join(b, ["bx", "by"]).where(F.col("a.id") < F.col("b.id")).select("a", "b")
+
+
+def _close(pairs: DataFrame, places: DataFrame, most: Column) -> DataFrame:
+    """Pairs of cells that hold places at most the interval apart, its square being ``most``."""
+
+    def held(df: DataFrame, side: str, other: str) -> DataFrame:
+        """Rows with the places of a cell as near to the other cell's box."""
+        own = places.select(F.struct("_x", "_y").alias("_cell"), F.struct("x", "y").alias(f"p{side}"))
+        far = lambda c: F.greatest(F.lit(0.0), F.col(f"{other}.{c}0") - F.col(f"p{side}.{c}"), F.col(f"p{side}.{c}") - F.col(f"{other}.{c}1"))
+        return df.join(own, F.struct(F.col(f"{side}._x").alias("_x"), F.col(f"{side}._y").alias("_y")) == F.col("_cell")).drop("_cell").where(far("x") * far("x") + far("y") * far("y") <= most)
+
+    dx, dy = F.col("pa.x") - F.col("pb.x"), F.col("pa.y") - F.col("pb.y")
+    return held(held(pairs, "a", "b"), "b", "a").where(dx * dx + dy * dy <= most)
+
+
+def _chained(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, g): nodes linked directly or through others, ``g`` being their least id. Links (a, b) have a < b."""
+    from geolathe.operators.classify import components
 
+    members = nodes.select("id", F.array("id").alias("m")).unionByName(links.select(F.col("b").alias("id"), F.array("a").alias("m")))
+    return components(members, "id", "m").withColumnRenamed("component", "g")

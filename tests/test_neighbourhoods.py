@@ -9,6 +9,7 @@ from geolathe.functions import geometry as G
 from geolathe.layer import GEOM, Layer
 from geolathe.operators import paths as PA
 from geolathe.operators import topology as TO
+from geolathe.session import written
 
 SHAPE, POINT = "array<array<array<double>>>", "array<array<double>>"
 
@@ -55,6 +56,43 @@ def test_hulls_of_clouds_and_lone_points(spark):
     assert sorted(r["_fid"] for r in TO.filter_points(clouds(spark), 1.5).df.collect()) == list(range(32))
 
 
+def test_points_close_together_are_linked_by_few_rows(spark, monkeypatch):
+    from geolathe.operators import classify, proximity
+
+    rows = []
+
+    def counted(df, name, by=None):
+        out = written(df, name, by)
+        rows.append(out.count())
+        return out
+
+    for m in (classify, proximity, TO):
+        monkeypatch.setattr(m, "written", counted)
+    rng = random.Random(7)
+    copies = [(float(k % 3), float(k // 3 % 2)) for k in range(600)]
+    crowd = [(50 + rng.random(), rng.random()) for _ in range(300)]
+    beyond = [(50.5 + dx, 2.4 + dy) for dx, dy in ((0.0, 0.0), (0.5, 0.0), (0.0, 0.5))]  # less than the interval from the crowd, not of a cell that touches
+    x = Layer(spark.createDataFrame([(i, [[x, y]]) for i, (x, y) in enumerate(copies + crowd + beyond)], f"_fid bigint, {GEOM} {POINT}"), "p", "point")
+    shapes = {r["_fid"]: r["a"] for r in TO.alpha_shapes(x, 1.9).settled.select("_fid", G.area(F.col(GEOM)).alias("a")).collect()}
+    assert set(shapes) == {0, 600} and shapes[0] == 2.0
+    assert sorted(r["_fid"] for r in TO.filter_points(x, 1.9).df.collect()) == list(range(903))
+    assert max(rows) <= 2 * 903
+
+
+def test_groups_of_points_are_those_of_all_pairs(spark):
+    rng = random.Random(8)
+    for d, n, w in ((1.0, 150, 8.0), (3.0, 60, 20.0)):
+        pts = [(rng.uniform(-w, w), rng.uniform(-w, w)) for _ in range(n)]
+        pts += [(x + d, y) for x, y in pts[:5]] + [(float("inf"), 0.0), (float("inf"), 1.0)]
+        df = spark.createDataFrame([(i, [[x, y]]) for i, (x, y) in enumerate(pts)], f"_fid bigint, {GEOM} {POINT}")
+        got = {(r["x"], r["y"]): r["g"] for r in TO._linked(TO._placed(Layer(df, "p", "point")), d).collect()}
+        pts = pts[:-2]
+        expected = list(range(len(pts)))
+        for _ in pts:
+            expected = [min(g for g, q in zip(expected, pts) if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= d * d) for p in pts]
+        assert got == dict(zip(pts, expected)) and len(set(expected)) > 5
+
+
 def test_smoothing_takes_out_noise(spark):
     rng = random.Random(5)
     ring = [[math.cos(-a * math.pi / 60) * (1 + rng.uniform(-0.02, 0.02)), math.sin(-a * math.pi / 60) * (1 + rng.uniform(-0.02, 0.02))] for a in range(120)]
